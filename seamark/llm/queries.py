@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seamark.llm.consensus import Consensus
 from seamark.llm.leaks import leaked_passages, leaks, without_leaks
 from seamark.llm.repetition import repetition, repetitive
+from seamark.llm.tokens import chunk_reuse, token_ids
 from seamark.llm.topn import top_n
 from seamark.sources.tables import table
 
@@ -18,6 +19,8 @@ def queries() -> dict:
         "p2_agreement": lambda s, d: Consensus(table(s, d, "combined_qrel"), rounds=0).agreement.withColumn("alpha", F.round("alpha", 9)),
         "p7_found": lambda s, d: top_n(table(s, d, "result_bm25"), "query_id", "doc_id", "grade", 10).select("query_id", "doc_id"),
         "p7_top_items": lambda s, d: top_n(table(s, d, "result_bm25"), "query_id", "doc_id", "grade", 10),
+        "p8_ids": lambda s, d: token_ids(table(s, d, "documents")),
+        "p8_chunk_reuse": lambda s, d: chunk_reuse(table(s, d, "documents")),
         "p9_found": lambda s, d: leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_passages": lambda s, d: leaked_passages(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_clean_documents": lambda s, d: without_leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id"),
