@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seamark.llm.consensus import Consensus
 from seamark.llm.leaks import leaked_passages, leaks, without_leaks
+from seamark.llm.neardup import NearDuplicates
 from seamark.llm.repetition import repetition, repetitive
 from seamark.llm.tokens import chunk_reuse, token_ids
 from seamark.llm.topn import top_n
@@ -17,6 +18,8 @@ def queries() -> dict:
         "p2_found": lambda s, d: Consensus(table(s, d, "combined_qrel")).items.select("query_id", "doc_id", "grade"),
         "p2_annotators": lambda s, d: Consensus(table(s, d, "combined_qrel")).annotators,
         "p2_agreement": lambda s, d: Consensus(table(s, d, "combined_qrel"), rounds=0).agreement.withColumn("alpha", F.round("alpha", 9)),
+        "p4_found": lambda s, d: NearDuplicates(table(s, d, "document")).key_pairs(),
+        "p4_classes": lambda s, d: NearDuplicates(table(s, d, "document")).classes(),
         "p7_found": lambda s, d: top_n(table(s, d, "result_bm25"), "query_id", "doc_id", "grade", 10).select("query_id", "doc_id"),
         "p7_top_items": lambda s, d: top_n(table(s, d, "result_bm25"), "query_id", "doc_id", "grade", 10),
         "p8_ids": lambda s, d: token_ids(table(s, d, "documents")),
