@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seamark.llm.boilerplate import frame_lines, main_text
 from seamark.llm.consensus import Consensus
 from seamark.llm.leaks import leaked_passages, leaks, without_leaks
 from seamark.llm.neardup import NearDuplicates
@@ -15,6 +16,8 @@ from seamark.sources.tables import table
 
 def queries() -> dict:
     return {
+        "p1_found": lambda s, d: frame_lines(table(s, d, "document")),
+        "p1_main_text": lambda s, d: main_text(table(s, d, "document")),
         "p2_found": lambda s, d: Consensus(table(s, d, "combined_qrel")).items.select("query_id", "doc_id", "grade"),
         "p2_annotators": lambda s, d: Consensus(table(s, d, "combined_qrel")).annotators,
         "p2_agreement": lambda s, d: Consensus(table(s, d, "combined_qrel"), rounds=0).agreement.withColumn("alpha", F.round("alpha", 9)),
