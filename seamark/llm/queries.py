@@ -9,6 +9,7 @@ from seamark.llm.consensus import Consensus
 from seamark.llm.leaks import leaked_passages, leaks, without_leaks
 from seamark.llm.neardup import NearDuplicates
 from seamark.llm.repetition import repetition, repetitive
+from seamark.llm.spam import page_evidence, spam_pages
 from seamark.llm.tokens import chunk_reuse, token_ids
 from seamark.llm.topn import top_n
 from seamark.sources.tables import table
@@ -23,6 +24,8 @@ def queries() -> dict:
         "p2_agreement": lambda s, d: Consensus(table(s, d, "combined_qrel"), rounds=0).agreement.withColumn("alpha", F.round("alpha", 9)),
         "p4_found": lambda s, d: NearDuplicates(table(s, d, "document")).key_pairs(),
         "p4_classes": lambda s, d: NearDuplicates(table(s, d, "document")).classes(),
+        "p6_found": lambda s, d: spam_pages(table(s, d, "document")),
+        "p6_page_evidence": lambda s, d: page_evidence(table(s, d, "document")),
         "p7_found": lambda s, d: top_n(table(s, d, "result_bm25"), "query_id", "doc_id", "grade", 10).select("query_id", "doc_id"),
         "p7_top_items": lambda s, d: top_n(table(s, d, "result_bm25"), "query_id", "doc_id", "grade", 10),
         "p8_ids": lambda s, d: token_ids(table(s, d, "documents")),
