@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session works with."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, as a compressed columnar table in the shared checkpoint folder.
+
+    For large intermediate tables that are read several times by column; removed when the program ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        try:
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone; the folder's owner cleans up
+            pass
+
+    atexit.register(remove)
+    return spark.read.parquet(path)
