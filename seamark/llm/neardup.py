@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from seamark.llm.words import WORD, blocks
-from seamark.session import cut_lineage
+from seamark.session import store
 
 #: Words of one token.
 SHINGLE = 3
@@ -207,7 +207,7 @@ class NearDuplicates:
         classes, self.members = text_classes(df, key, text)
         kind = classes.schema["rep"].dataType.simpleString()
         sets = classes.mapInArrow(_tokenize(shingle), f"rep {kind}, n int, tokens array<long>").where("n > 0")
-        self.sets = cut_lineage(sets.withColumn("cid", F.monotonically_increasing_id()))
+        self.sets = store(sets.withColumn("cid", F.monotonically_increasing_id()))
         self.pairs = self._compare(self._open(self._matrix()))
 
     def _matrix(self) -> DataFrame:
@@ -218,7 +218,7 @@ class NearDuplicates:
         prefix = self.sets.select("cid", "n", "tokens").mapInArrow(_order(shared, self.threshold), kinds)
         # similar classes are a group: the same rarest token that anything else may hold, and sizes within a quarter
         gid = F.xxhash64("first", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)))
-        return cut_lineage(prefix.withColumn("gid", gid).drop("first"))
+        return store(prefix.withColumn("gid", gid).drop("first"))
 
     def _open(self, prefix: DataFrame) -> DataFrame:
         """Candidate pairs (a, b): members of the groups that qualify for a, none larger than a."""
