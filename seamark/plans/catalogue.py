@@ -1,13 +1,13 @@
-"""All registered queries: the core's, and the subpackage's for training text where it is present."""
+"""Queries of the core."""
 
 from __future__ import annotations
 
-from seamark.plans import problems
+from seamark.plans import problems, reference
 
 
 def queries() -> dict:
-    return problems.queries()
+    return reference.queries() | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.oracle_sql()
+    return reference.oracle_sql() | problems.oracle_sql()
