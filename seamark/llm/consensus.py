@@ -43,69 +43,57 @@ def valid_votes(qrel: DataFrame, grades: tuple[int, ...] = (0, 1, 2)) -> DataFra
 
 
 class Consensus:
-    """The fitted model: ``items``, ``annotators`` and ``agreement`` are DataFrames."""
+    """The fitted model: ``items``, ``annotators`` and ``agreement`` are DataFrames.
+
+    ``table`` has one row per annotator: expected votes n{j}_{l} of class j and label l, and the class mass p{j} of its share
+    of the items.
+    """
 
     def __init__(self, qrel: DataFrame, grades: tuple[int, ...] = (0, 1, 2), rounds: int = ROUNDS):
         self.grades = tuple(grades)
-        self.votes = cut_lineage(valid_votes(qrel, self.grades).repartition("query_id", "doc_id"))
+        self.k = range(len(self.grades))
+        item = W.partitionBy("query_id", "doc_id")
+        votes = valid_votes(qrel, self.grades).withColumn("m", F.count(F.lit(1)).over(item))
+        self.votes = cut_lineage(votes)
         self.small = self.votes.select("assessor_id").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        k = len(self.grades)
         # first posterior: each item's shares of votes
-        share = F.avg((F.col("grade") == F.col("c")).cast("double"))
-        classes = F.explode(F.array(*[F.lit(g) for g in self.grades]))
-        start = self.votes.withColumn("c", classes).groupBy("query_id", "doc_id", "c").agg(share.alias("q"))
-        start = start.groupBy("query_id", "doc_id").agg(*[F.max(F.when(F.col("c") == g, F.col("q"))).alias(f"q{j}") for j, g in enumerate(self.grades)])
-        self.table = cut_lineage(self._counts(self.votes.join(start, ["query_id", "doc_id"])))
+        shares = [F.avg((F.col("grade") == g).cast("double")).over(item).alias(f"q{j}") for j, g in enumerate(self.grades)]
+        self.table = cut_lineage(self._counts(self.votes.select("*", *shares)))
         for _ in range(rounds):
-            self.table = cut_lineage(self._counts(self._posterior(self.table)))
-        self.k = k
+            self.table = cut_lineage(self._counts(self._posterior()))
 
     def _counts(self, votes: DataFrame) -> DataFrame:
-        """Expected votes n0.. per annotator and label; the class sums pi0.. are on every row."""
-        k = range(len(self.grades))
-        # an item's votes carry its posterior each, so its class mass is divided among them
-        mass = [F.sum(F.col(f"q{j}") / F.col("m")).alias(f"p{j}") for j in k]
-        votes = votes if "m" in votes.columns else votes.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("query_id", "doc_id")))
-        per = votes.groupBy("assessor_id", "grade").agg(*[F.sum(f"q{j}").alias(f"n{j}") for j in k], *mass)
-        total = per.agg(*[F.sum(f"p{j}").alias(f"pi{j}") for j in k])
-        return per.drop(*[f"p{j}" for j in k]).crossJoin(F.broadcast(total))  # total is one row
-
-    def _log_rows(self, table: DataFrame) -> DataFrame:
-        """Expected log probability l0.. of the label for each class, per annotator and label, and of the classes c0.."""
-        k = range(len(self.grades))
-        grid = table.select("assessor_id", *[f"pi{j}" for j in k]).distinct().withColumn("grade", F.explode(F.array(*[F.lit(g) for g in self.grades])))
-        full = grid.join(table.drop(*[f"pi{j}" for j in k]), ["assessor_id", "grade"], "left").fillna(0.0, [f"n{j}" for j in k])
-        prior = [F.when(F.col("grade") == g, F.lit(RIGHT_PRIOR)).otherwise(F.lit(WRONG_PRIOR)) for g in self.grades]
-        alpha = full.select("assessor_id", "grade", *[f"pi{j}" for j in k], *[(F.col(f"n{j}") + prior[j]).alias(f"a{j}") for j in k])
-        row = W.partitionBy("assessor_id")
-        alpha = alpha.select("*", *[F.sum(f"a{j}").over(row).alias(f"s{j}") for j in k])
-        pi = [F.col(f"pi{j}") + F.lit(CLASS_PRIOR) for j in k]
-        whole = sum(pi[1:], pi[0])
-        return alpha.select("assessor_id", "grade", *[(digamma(F.col(f"a{j}")) - digamma(F.col(f"s{j}"))).alias(f"l{j}") for j in k], *[(digamma(pi[j]) - digamma(whole)).alias(f"c{j}") for j in k])
-
-    def _posterior(self, table: DataFrame) -> DataFrame:
-        """The votes with the class posterior q0.. of their item and its number of votes m."""
-        k = range(len(self.grades))
-        logs = self._log_rows(table)
-        joined = self.votes.join(F.broadcast(logs) if self.small else logs, ["assessor_id", "grade"])
+        """Expected counts per annotator of votes with a posterior q0..; an item's class mass is divided among its votes."""
+        cells = [F.sum(F.when(F.col("grade") == g, F.col(f"q{j}")).otherwise(0.0)).alias(f"n{j}_{i}") for j in self.k for i, g in enumerate(self.grades)]
+        return votes.groupBy("assessor_id").agg(*cells, *[F.sum(F.col(f"q{j}") / F.col("m")).alias(f"p{j}") for j in self.k])
+
+    def _posterior(self) -> DataFrame:
+        """The votes with the class posterior q0.. of their item."""
+        alpha = lambda j, i: F.col(f"n{j}_{i}") + F.lit(RIGHT_PRIOR if i == j else WRONG_PRIOR)
+        total = self.table.agg(*[(F.sum(f"p{j}") + F.lit(CLASS_PRIOR)).alias(f"t{j}") for j in self.k])
+        whole = sum((F.col(f"t{j}") for j in self.k), F.lit(0.0))
+        classes = F.broadcast(total.select(*[(digamma(F.col(f"t{j}")) - digamma(whole)).alias(f"c{j}") for j in self.k]))  # one row
+        sums = [sum((alpha(j, i) for i in self.k), F.lit(0.0)) for j in self.k]
+        logs = self.table.select("assessor_id", *[F.array(*[digamma(alpha(j, i)) - digamma(sums[j]) for i in self.k]).alias(f"l{j}") for j in self.k])
+        joined = self.votes.join(F.broadcast(logs) if self.small else logs, "assessor_id").crossJoin(classes)
+        at = F.lit(0)
+        for i, g in enumerate(self.grades):
+            at = F.when(F.col("grade") == g, i).otherwise(at)
         item = W.partitionBy("query_id", "doc_id")
-        scored = joined.select("query_id", "doc_id", "assessor_id", "grade", F.count(F.lit(1)).over(item).alias("m"), *[(F.col(f"c{j}") + F.sum(f"l{j}").over(item)).alias(f"z{j}") for j in k])
-        top = F.greatest(*[F.col(f"z{j}") for j in k])
-        e = [F.exp(F.col(f"z{j}") - top) for j in k]
-        whole = sum(e[1:], e[0])
-        return scored.select("query_id", "doc_id", "assessor_id", "grade", "m", *[(e[j] / whole).alias(f"q{j}") for j in k])
+        scored = joined.select("query_id", "doc_id", "assessor_id", "grade", "m", *[(F.col(f"c{j}") + F.sum(F.get(f"l{j}", at)).over(item)).alias(f"z{j}") for j in self.k])
+        top = F.greatest(*[F.col(f"z{j}") for j in self.k])
+        e = [F.exp(F.col(f"z{j}") - top) for j in self.k]
+        return scored.select("query_id", "doc_id", "assessor_id", "grade", "m", *[(e[j] / sum(e[1:], e[0])).alias(f"q{j}") for j in self.k])
 
     @property
     def annotators(self) -> DataFrame:
         """assessor_id, n_votes, reliability (posterior mean share of right labels), its interval low, high, and reliable."""
-        k = range(len(self.grades))
-        right = sum((F.sum(F.when(F.col("grade") == g, F.col(f"n{j}")).otherwise(0.0)) for j, g in enumerate(self.grades)), F.lit(0.0))
-        whole = F.sum(sum((F.col(f"n{j}") for j in k), F.lit(0.0)))
-        a, n = F.col("r") + F.lit(RIGHT_PRIOR), F.col("n") + F.lit(RIGHT_PRIOR + WRONG_PRIOR * (len(self.grades) - 1))
-        mean = a / n
+        right = sum((F.col(f"n{j}_{j}") for j in self.k), F.lit(0.0))
+        votes = sum((F.col(f"n{j}_{i}") for j in self.k for i in self.k), F.lit(0.0))
+        n = votes + F.lit(RIGHT_PRIOR + WRONG_PRIOR * (len(self.grades) - 1))
+        mean = (right + F.lit(RIGHT_PRIOR)) / n
         dev = F.sqrt(mean * (1 - mean) / (n + 1)) * INTERVAL
-        per = self.table.groupBy("assessor_id").agg(right.alias("r"), whole.alias("n"))
-        return per.select("assessor_id", F.round("n").cast("long").alias("n_votes"), mean.alias("reliability"), F.greatest(mean - dev, F.lit(0.0)).alias("low"), F.least(mean + dev, F.lit(1.0)).alias("high"), (mean >= RELIABLE).alias("reliable"))
+        return self.table.select("assessor_id", F.round(votes).cast("long").alias("n_votes"), mean.alias("reliability"), F.greatest(mean - dev, F.lit(0.0)).alias("low"), F.least(mean + dev, F.lit(1.0)).alias("high"), (mean >= RELIABLE).alias("reliable"))
 
     @property
     def items(self) -> DataFrame:
@@ -115,10 +103,10 @@ class Consensus:
         the items that no reliable annotator judged, and equal posteriors go to the smaller grade.
         """
         who = self.annotators.select("assessor_id", "reliable")
-        votes = self._posterior(self.table).join(F.broadcast(who) if self.small else who, "assessor_id")
+        votes = self._posterior().join(F.broadcast(who) if self.small else who, "assessor_id")
         good = [F.sum(F.when(F.col("reliable") & (F.col("grade") == g), 1).otherwise(0)) for g in self.grades]
         best = F.array_max(F.array(*[F.struct(good[j].alias("v"), F.max(f"q{j}").alias("q"), F.lit(-g).alias("g")) for j, g in enumerate(self.grades)]))
-        item = votes.groupBy("query_id", "doc_id").agg(best.alias("b"), F.count(F.lit(1)).alias("n_votes"))
+        item = votes.groupBy("query_id", "doc_id").agg(best.alias("b"), F.max("m").alias("n_votes"))
         return item.select("query_id", "doc_id", (-F.col("b.g")).cast("int").alias("grade"), F.col("b.q").alias("posterior"), "n_votes")
 
     @property
@@ -128,8 +116,7 @@ class Consensus:
         Only items with two votes or more count; alpha is null if there are none or only one grade occurs.
         """
         per = self.votes.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("m"), *[F.count_if(F.col("grade") == g).alias(f"v{j}") for j, g in enumerate(self.grades)])
-        k = range(len(self.grades))
-        apart = sum(((F.col(f"v{j}") * (F.col("m") - F.col(f"v{j}")) for j in k)), F.lit(0))
-        s = per.where("m >= 2").agg(F.count(F.lit(1)).alias("n_items"), F.sum("m").alias("n_pairable"), F.sum(apart / (F.col("m") - 1)).alias("seen"), *[F.sum(f"v{j}").alias(f"t{j}") for j in k])
-        by_chance = sum(((F.col(f"t{j}") * (F.col("n_pairable") - F.col(f"t{j}")) for j in k)), F.lit(0)) / (F.col("n_pairable") - 1)
+        apart = sum(((F.col(f"v{j}") * (F.col("m") - F.col(f"v{j}")) for j in self.k)), F.lit(0))
+        s = per.where("m >= 2").agg(F.count(F.lit(1)).alias("n_items"), F.sum("m").alias("n_pairable"), F.sum(apart / (F.col("m") - 1)).alias("seen"), *[F.sum(f"v{j}").alias(f"t{j}") for j in self.k])
+        by_chance = sum(((F.col(f"t{j}") * (F.col("n_pairable") - F.col(f"t{j}")) for j in self.k)), F.lit(0)) / (F.col("n_pairable") - 1)
         return s.select("n_items", F.coalesce("n_pairable", F.lit(0)).alias("n_pairable"), F.when(by_chance > 0, 1 - F.col("seen") / by_chance).alias("alpha"))

@@ -43,15 +43,15 @@ _TOP = """SELECT query_id, doc_id, grade, row_number() OVER (PARTITION BY query_
     WHERE query_id IS NOT NULL AND doc_id IS NOT NULL AND grade IS NOT NULL AND NOT isnan(grade) GROUP BY query_id, doc_id)"""
 _RUNS = r"""
     WITH l AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
-    r AS (SELECT doc_id, unnest(range(len(ws) - 4)) AS at, ws FROM l WHERE len(ws) >= 5),
-    n AS (SELECT doc_id, at, row_number() OVER (PARTITION BY doc_id, ws[at + 1:at + 5] ORDER BY at) AS nth FROM r),
-    c AS (SELECT DISTINCT doc_id, unnest(range(at, at + 5)) AS w FROM n WHERE nth > 1),
+    r AS (SELECT doc_id, unnest(range(len(ws) - 4)) AS pos, ws FROM l WHERE len(ws) >= 5),
+    n AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, ws[pos + 1:pos + 5] ORDER BY pos) AS nth FROM r),
+    c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 5)) AS w FROM n WHERE nth > 1),
     s AS (SELECT doc_id, count(*) AS repeated FROM c GROUP BY doc_id)"""
 _PASSAGES = r"""
     WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items),
-    ir AS (SELECT DISTINCT item_id, ws[at + 1:at + 12] AS run FROM (SELECT item_id, ws, unnest(range(len(ws) - 11)) AS at FROM i WHERE len(ws) >= 12)),
+    ir AS (SELECT DISTINCT item_id, ws[pos + 1:pos + 12] AS run FROM (SELECT item_id, ws, unnest(range(len(ws) - 11)) AS pos FROM i WHERE len(ws) >= 12)),
     d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
-    dr AS (SELECT DISTINCT doc_id, ws[at + 1:at + 12] AS run FROM (SELECT doc_id, ws, unnest(range(len(ws) - 11)) AS at FROM d WHERE len(ws) >= 12)),
+    dr AS (SELECT DISTINCT doc_id, ws[pos + 1:pos + 12] AS run FROM (SELECT doc_id, ws, unnest(range(len(ws) - 11)) AS pos FROM d WHERE len(ws) >= 12)),
     f AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run))"""
 
 
