@@ -23,12 +23,11 @@ INTERVAL = 1.96
 BROADCAST_ROWS = 200_000
 
 
-def digamma(x: Column) -> Column:
-    """Digamma of a positive column: six recurrence steps, then the asymptotic series."""
-    y = x + 6.0
-    z = 1.0 / (y * y)
-    series = F.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132))))
-    return series - sum((1.0 / (x + float(i)) for i in range(1, 6)), 1.0 / x)
+def digamma(values: str) -> str:
+    """SQL: digamma of every positive number of an array, by six recurrence steps, then the asymptotic series."""
+    steps = " + ".join(f"1D / (p.x + {i}D)" for i in range(6))
+    series = "ln(p.x + 6D) - 0.5D / (p.x + 6D) - p.z * (1D / 12D - p.z * (1D / 120D - p.z * (1D / 252D - p.z * (1D / 240D - p.z / 132D))))"
+    return f"transform(transform({values}, x -> named_struct('x', x, 'z', 1D / ((x + 6D) * (x + 6D)))), p -> {series} - ({steps}))"
 
 
 def valid_votes(qrel: DataFrame, grades: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
@@ -69,12 +68,16 @@ class Consensus:
 
     def _posterior(self) -> DataFrame:
         """The votes with the class posterior q0.. of their item."""
-        alpha = lambda j, i: F.col(f"n{j}_{i}") + F.lit(RIGHT_PRIOR if i == j else WRONG_PRIOR)
-        total = self.table.agg(*[(F.sum(f"p{j}") + F.lit(CLASS_PRIOR)).alias(f"t{j}") for j in self.k])
-        whole = sum((F.col(f"t{j}") for j in self.k), F.lit(0.0))
-        classes = F.broadcast(total.select(*[(digamma(F.col(f"t{j}")) - digamma(whole)).alias(f"c{j}") for j in self.k]))  # one row
-        sums = [sum((alpha(j, i) for i in self.k), F.lit(0.0)) for j in self.k]
-        logs = self.table.select("assessor_id", *[F.array(*[digamma(alpha(j, i)) - digamma(sums[j]) for i in self.k]).alias(f"l{j}") for j in self.k])
+        size = len(self.grades)
+        expected = lambda row: f"transform(slice({row}, 1, {size}), x -> x - {row}[{size}])"
+        whole = " + ".join(f"t{j}" for j in self.k)
+        classes = self.table.agg(*[F.expr(f"sum(p{j}) + {CLASS_PRIOR}D AS t{j}") for j in self.k])
+        classes = classes.select(F.expr(digamma(f"array({', '.join(f't{j}' for j in self.k)}, {whole})") + " AS c"))
+        classes = F.broadcast(classes.select(*[F.expr(f"c[{j}] - c[{size}] AS c{j}") for j in self.k]))  # one row
+        # per class j: digamma of the labels' counts, and last of their sum
+        alpha = [[f"(n{j}_{i} + {RIGHT_PRIOR if i == j else WRONG_PRIOR}D)" for i in self.k] for j in self.k]
+        logs = self.table.select("assessor_id", *[F.expr(digamma(f"array({', '.join(row)}, {' + '.join(row)})") + f" AS d{j}") for j, row in enumerate(alpha)])
+        logs = logs.select("assessor_id", *[F.expr(f"{expected(f'd{j}')} AS l{j}") for j in self.k])
         joined = self.votes.join(F.broadcast(logs) if self.small else logs, "assessor_id").crossJoin(classes)
         at = F.lit(0)
         for i, g in enumerate(self.grades):
