@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seamark.llm.words import WORD, blocks
 from seamark.session import store
@@ -31,6 +31,8 @@ SHINGLE = 3
 BLOCK_BYTES = 2 << 20
 #: The sketch has at most 2^MAX_SKETCH_BITS counters of one byte, and fewer for small input.
 MAX_SKETCH_BITS = 25
+#: Sizes within a group differ by less than this factor.
+BAND = 1.25
 #: A set of n tokens must have 1 + n / HIT_STEP hits in a group before it is opened.
 HIT_STEP = 16
 #: Classes with up to this many ids are written out as all their pairs; larger ones as a star around their first id.
@@ -192,6 +194,11 @@ def _order(shared, threshold: float):
     return run
 
 
+def size_band(n: Column) -> Column:
+    """Number of the band of set sizes, each BAND times as wide as the one before."""
+    return F.floor(F.log(n.cast("double")) / math.log(BAND) + 1e-9)
+
+
 class NearDuplicates:
     """Linked classes of equal texts.
 
@@ -204,7 +211,8 @@ class NearDuplicates:
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be above 0 and at most 1")
         self.threshold = threshold
-        classes, self.members = text_classes(df, key, text)
+        classes, members = text_classes(df, key, text)
+        self.members = store(members)
         kind = classes.schema["rep"].dataType.simpleString()
         sets = classes.mapInArrow(_tokenize(shingle), f"rep {kind}, n int, tokens array<long>").where("n > 0")
         self.sets = store(sets.withColumn("cid", F.monotonically_increasing_id()))
@@ -217,16 +225,17 @@ class NearDuplicates:
         kinds = "token long, cid long, n int, pos int, indexed boolean, first long"
         prefix = self.sets.select("cid", "n", "tokens").mapInArrow(_order(shared, self.threshold), kinds)
         # similar classes are a group: the same rarest token that anything else may hold, and sizes within a quarter
-        gid = F.xxhash64("first", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)))
+        gid = F.xxhash64("first", size_band(F.col("n")))
         return store(prefix.withColumn("gid", gid).drop("first"))
 
     def _open(self, prefix: DataFrame) -> DataFrame:
         """Candidate pairs (a, b): members of the groups that qualify for a, none larger than a."""
         t = self.threshold
         indexed = prefix.where("indexed")
-        groups = indexed.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        # how far before a member's end the token stands; the most of all members that hold it
-        union = indexed.groupBy("token", "gid").agg(F.max(F.col("n") - F.col("pos")).alias("rest")).join(groups, "gid")
+        # how far before a member's end the token stands, the most of all members that hold it; and the bounds of the group's sizes
+        union = indexed.select("token", "gid", "n", (F.col("n") - F.col("pos")).alias("rest")).repartition("token").groupBy("token", "gid").agg(F.max("rest").alias("rest"), F.max("n").alias("n"))
+        band = size_band(F.col("n"))
+        union = union.select("token", "gid", "rest", F.ceil(F.pow(F.lit(BAND), band) - 1e-6).alias("least"), F.floor(F.pow(F.lit(BAND), band + 1) + 1e-6).alias("most"))
         smaller = F.greatest("least", F.ceil(F.col("n") * t - 1e-9))
         need = F.ceil(F.lit(t / (1 + t)) * (F.col("n") + smaller) - 1e-9)
         wanted = 1 + F.floor(F.col("least") / HIT_STEP)
