@@ -25,7 +25,7 @@ SHARD_BYTES = 4 << 20
 TEST_CHARS = 20_000_000
 
 
-class TestSet:
+class HeldOut:
     """Word numbers (from 1) and all suffixes of at least ``run`` words of the test items."""
 
     def __init__(self, items: list[tuple], run: int):
@@ -140,7 +140,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, key: str = "doc_id",
     for k in range(passes):
         part = tests if passes == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
         rows = [(r["item"], r["text"]) for r in part.collect()]  # TEST_CHARS on average
-        shared = spark.sparkContext.broadcast(TestSet(rows, run))
+        shared = spark.sparkContext.broadcast(HeldOut(rows, run))
         one = data.where("text IS NOT NULL").mapInArrow(_search(shared), kinds)
         found = one if found is None else found.unionByName(one)
     return found.withColumnsRenamed({"key": key, "item": item_key})
