@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-TOKEN = r"[\p{L}\p{N}]+"
+BETWEEN_TOKENS = r"[^\p{L}\p{N}]+"
 
 # Words, and stems, that query refinement drops.
 REFINE_WORDS = (
@@ -21,7 +21,8 @@ REFINE_STEMS = [*"side action actual ha studi system someth motiv perpetr ongo m
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order, repeats kept; none for null."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    # only the first and the last part can be empty
+    return F.coalesce(F.array_remove(F.split(F.lower(text), BETWEEN_TOKENS), ""), F.array().cast("array<string>"))
 
 
 def without(terms: Column, words: list[str]) -> Column:

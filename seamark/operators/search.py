@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seamark.functions.text import query_terms
-from seamark.operators.index import corpus_stats, doc_lengths, postings, term_stats
+from seamark.functions.text import query_terms, tokens
+from seamark.operators.index import corpus_stats, postings, term_stats
 
 K1, K2, B = 1.2, 100.0, 0.75
 
@@ -33,12 +33,15 @@ def default_weight() -> Column:
 def match(docs: DataFrame, terms: DataFrame, weight: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, score) of all documents that hold any term of a query (query_id, term, qtf).
 
-    Lengths and statistics cover all documents; only postings of asked terms are counted.
+    Document keys are unique.  Statistics cover all documents; only postings of asked terms are counted, and they carry
+    the length of their document, so no join is needed for it.
     """
-    lengths = doc_lengths(docs, key, text)
-    asked = terms.select("term").distinct()
-    posts = postings(docs, key=key, text=text).join(asked, "term", "left_semi")
-    rows = posts.join(term_stats(posts), "term").join(terms, "term").join(lengths, "doc_id").crossJoin(F.broadcast(corpus_stats(lengths)))
+    words = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("words"))
+    stats = corpus_stats(words.select("doc_id", F.size("words").cast("bigint").alias("len")))
+    terms = terms.select("query_id", "term", "qtf")
+    found = words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    posts = found.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = posts.join(term_stats(posts), "term").join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
     return rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
