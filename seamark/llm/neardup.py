@@ -114,7 +114,8 @@ def _count(bits: int, part: int):
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             tokens = pc.list_flatten(batch.column("tokens"))
-            counts += np.bincount(_slot(np.asarray(tokens), bits), minlength=1 << bits).astype(np.uint32)
+            slots, times = np.unique(_slot(np.asarray(tokens), bits), return_counts=True)
+            counts[slots] += times.astype(np.uint32)
         whole = counts.reshape(-1, part)
         some = np.flatnonzero(whole.any(axis=1))
         for a in range(0, len(some), 256):
