@@ -1,7 +1,8 @@
 """Focused crawl over a static table of pages: a best-first frontier in batches.
 
-Each round takes the best ``batch`` urls of the frontier, joins them with the pages, scores their links and merges
-them into the frontier.  A batch of one is the serial order; larger batches see the scores of the round before.
+Each round takes the best ``batch`` urls of the frontier, scores their links and merges them into the frontier.  Only urls
+that are stored and allowed get there, so the others take no places.  A batch of one is the serial order; larger batches
+see the scores of the round before.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seamark.functions.urls import base_url, inlink_bump, link_score, url_keywords, url_relevance, useful_link
-from seamark.session import cut_lineage
+from seamark.session import cut_lineage, store
+
+MOST = 40_100  # logged pages
 
 
 def robots_allowed(pages: DataFrame, robots: DataFrame) -> DataFrame:
@@ -20,29 +23,48 @@ def robots_allowed(pages: DataFrame, robots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("__ok", F.lit(True))).drop("__base", "__ok")
 
 
-def crawl(links: DataFrame, seeds: DataFrame, rounds: int, batch: int) -> DataFrame:
-    """Crawl log (url, score, wave, turn) over ``links`` (src, dst) from ``seeds`` (url, score, wave)."""
-    links = cut_lineage(links.where(useful_link(F.col("dst"))).select("src", "dst").distinct())
+def _raised(score, n_inlinks, new_links):
+    """Score after ``new_links`` more inlinks; each adds as long as there are fewer than ten with it."""
+    times = F.greatest(F.lit(0), F.least(new_links, 9 - n_inlinks))
+    return F.when(times > 0, F.round(inlink_bump(score, F.lit(0)) + (times - 1) * 0.01, 2)).otherwise(score)
+
+
+def crawl(links: DataFrame, seeds: DataFrame, rounds: int | None, batch: int, pages: DataFrame | None = None, robots: DataFrame | None = None, most: int = MOST) -> DataFrame:
+    """Crawl log (url, score, wave, turn) over ``links`` (src, dst) from ``seeds`` (url, score, wave).
+
+    Ends with an empty frontier, ``most`` logged pages or, if given, after ``rounds``.  ``pages`` (id) are those that can be read and
+    ``robots`` the rules of ``robots_allowed``; without them every url is read.  Pages and rules don't change, so they are applied once.
+    """
+    links = links.where(useful_link(F.col("dst"))).select("src", "dst").distinct()
     start = seeds.select("url", F.col("score").cast("double").alias("score"), F.col("wave").cast("int").alias("wave"))
-    frontier = cut_lineage(start.groupBy("url").agg(F.max("score").alias("score"), F.min("wave").alias("wave")).withColumn("n_inlinks", F.lit(1).cast("long")))
-    log = None
-    for turn in range(1, rounds + 1):
-        taken = frontier.orderBy(F.desc("score"), "url").limit(batch)
-        taken = cut_lineage(taken.select("url", "score", "wave").withColumn("turn", F.lit(turn)))
-        log = taken if log is None else cut_lineage(log.unionByName(taken))
-        out = taken.join(links.withColumnRenamed("src", "url"), "url").groupBy("dst").agg(
-            F.max("score").alias("parent"), F.min("wave").alias("parent_wave"), F.count(F.lit(1)).alias("new_links")
+    if robots is not None:
+        pages = robots_allowed(pages if pages is not None else links.select(F.col("src").alias("id")).union(links.select("dst")).union(start.select("url")), robots)
+    if pages is not None:
+        pages = cut_lineage(pages.select("id").distinct())
+        links = links.join(pages.withColumnRenamed("id", "src"), "src", "left_semi").join(pages.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        start = start.join(pages.withColumnRenamed("id", "url"), "url", "left_semi")
+    links = store(links)
+    first = start.groupBy("url").agg(F.max("score").alias("score"), F.min("wave").alias("wave"))
+    state = cut_lineage(first.withColumns({"n_inlinks": F.lit(0).cast("long"), "turn": F.lit(None).cast("int")}))
+    turn = logged = 0
+    while logged < most and (rounds is None or turn < rounds):
+        turn += 1
+        taken = cut_lineage(state.where("turn IS NULL").orderBy(F.desc("score"), "url").limit(min(batch, most - logged)).select("url", "score", "wave"))
+        n = taken.count()
+        if not n:
+            break
+        logged += n
+        parent = F.min_by(F.struct("score", "wave"), F.struct(-F.col("score"), F.col("src"))).alias("parent")  # the one whose turn is first
+        found = links.join(F.broadcast(taken.withColumnRenamed("url", "src")), "src").groupBy(F.col("dst").alias("url")).agg(parent, F.count(F.lit(1)).alias("new_links"))
+        now = F.broadcast(taken.select("url", F.lit(turn).alias("now")))  # at most ``batch`` rows
+        merged = state.join(now, "url", "left").withColumn("turn", F.coalesce("turn", "now")).drop("now").join(found, "url", "full")
+        wave = F.coalesce(F.col("wave"), F.col("parent.wave") + 1)
+        fresh = link_score(url_relevance(url_keywords(F.col("url"))), F.col("parent.score"), wave)
+        score = (
+            F.when(F.col("score").isNull(), _raised(fresh, F.lit(1), F.col("new_links") - 1))
+            .when(F.col("turn").isNull() & F.col("new_links").isNotNull(), _raised(F.col("score"), F.col("n_inlinks"), F.col("new_links")))
+            .otherwise(F.col("score"))
         )
-        out = out.withColumnRenamed("dst", "url").join(log.select("url"), "url", "left_anti")
-        wave = F.col("parent_wave") + 1
-        score = link_score(url_relevance(url_keywords(F.col("url"))), F.col("parent"), wave)
-        left = frontier.join(taken.select("url"), "url", "left_anti")
-        merged = left.join(out, "url", "full")
-        known = F.col("score").isNotNull()
-        frontier = cut_lineage(merged.select(
-            "url",
-            F.when(known & F.col("new_links").isNotNull(), inlink_bump(F.col("score"), F.col("n_inlinks"))).when(known, F.col("score")).otherwise(score).alias("score"),
-            F.coalesce("wave", wave).cast("int").alias("wave"),
-            (F.coalesce("n_inlinks", F.lit(0)) + F.coalesce("new_links", F.lit(0))).alias("n_inlinks"),
-        ))
-    return log
+        n_inlinks = F.coalesce("n_inlinks", F.lit(0)) + F.coalesce("new_links", F.lit(0))
+        state = cut_lineage(merged.select("url", score.alias("score"), wave.cast("int").alias("wave"), n_inlinks.alias("n_inlinks"), "turn"))
+    return state.where("turn IS NOT NULL").select("url", "score", "wave", "turn")

@@ -172,6 +172,59 @@ def test_robots_and_crawl(spark):
     assert [r["url"] for r in crawl(links, seeds, 3, 1).orderBy("turn").collect()] == ["http://www.a/s", "http://www.a/ship_x", "http://www.a/plane"]
 
 
+def _reference_crawl(links, seeds, ok, most):
+    """The reference's loop: one url at a time, a heap with the order of insertion left out of account."""
+    front, n_in, log, wave = dict(seeds), {u: 0 for u in seeds}, [], {u: 1 for u in seeds}
+    while front and len(log) < most:
+        url = min(front, key=lambda u: (-front[u], u))
+        score = front.pop(url)
+        if url not in ok:
+            continue
+        log.append((url, score))
+        for a, b in links:
+            if a == url:
+                n_in[b] = n_in.get(b, 0) + 1
+                if b in front:
+                    front[b] = round(front[b] + 0.01, 2) if n_in[b] < 10 else front[b]
+                elif b not in dict(log) and b in ok and b not in wave:
+                    wave[b] = wave[url] + 1
+                    front[b] = round(0.4 + 0.3 * score + 0.35 / wave[b] + 1e-9, 2)
+    return log
+
+
+def test_crawl_goes_on_to_the_end_over_stored_and_allowed_pages(spark):
+    u = lambda i: f"http://www.a/{i:03d}"
+    links = {(u(i), u(j)) for i in range(60) for j in (i + 1, (7 * i + 3) % 60, 50)} | {(u(1), "http://www.shut/x"), ("http://www.shut/x", u(90)), (u(1), u(80)), (u(80), u(81))}
+    links = sorted((a, b) for a, b in links if a != b)
+    ok = {u(i) for i in range(60)}
+    args = spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([(u(0), 4.0, 1)], "url string, score double, wave int")
+    pages = spark.createDataFrame([(x,) for x in [*ok, u(90), "http://www.shut/x"]], "id string")
+    shut = spark.createDataFrame([("http://www.shut", 403, True)], "base_url string, status int, allowed boolean")
+    log = lambda batch, most=1000: crawl(*args, None, batch, pages=pages, robots=shut, most=most).orderBy("turn", F.desc("score"), "url").collect()
+    assert [(r["url"], round(r["score"], 2)) for r in log(1, 12)] == _reference_crawl(links, {u(0): 4.0}, ok, 12)
+    assert {r["url"] for r in log(4)} == ok  # neither 80, which is not stored, nor the shut host with what is behind it
+    assert len(log(25, 33)) == 33
+
+
+def test_crawl_counts_every_inlink_of_a_batch(spark):
+    links = [(f"http://www.a/{i:02d}", t) for i in range(12) for t in ("http://www.a/new", "http://www.a/99")]
+    seeds = [(f"http://www.a/{i:02d}", 4.0, 1) for i in range(12)] + [("http://www.a/99", 0.5, 1)]
+    got = crawl(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame(seeds, "url string, score double, wave int"), None, 12)
+    scores = {r["url"]: r["score"] for r in got.collect()}
+    assert scores["http://www.a/99"] == 0.59 and scores["http://www.a/new"] == 1.86  # nine of twelve count, with the new page's first one in its own score
+
+
+def test_registered_crawl_leaves_the_seeds(spark, tmp_path):
+    from seamark.plans import reference as R
+
+    doc = [("http://www.b/1", 200, [], ["http://www.a/s"]), ("http://www.b/2", 404, [], ["http://www.a/s"]), ("http://www.b/3", 200, [], ["http://www.b/1"])]
+    spark.createDataFrame(doc, "id string, http_status int, outlinks array<string>, inlinks array<string>").selectExpr(
+        "*", "timestamp_ntz'2021-03-01 00:00:00' fetched_at", "1 batch_no"
+    ).write.parquet(str(tmp_path / "document.parquet"))
+    spark.createDataFrame([("http://www.a/s", 4.0, 1)], "url string, score double, wave int").write.parquet(str(tmp_path / "crawl_seed.parquet"))
+    assert {r["url"] for r in R.queries()["frontier_simulation"](spark, str(tmp_path)).collect()} == {"http://www.a/s", "http://www.b/1", "http://www.b/3"}
+
+
 def test_stream_upserts(spark, tmp_path):
     from seamark.streaming.indexing import stream_upserts
 
