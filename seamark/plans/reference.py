@@ -132,7 +132,7 @@ def queries() -> dict:
         "pagerank_8": lambda s, d: _round(G.pagerank(*_graph(s, d), rounds=8), "score", places=10),
         "perplexity": lambda s, d: _round(G.perplexity(G.pagerank(*_graph(s, d), rounds=8)), "perplexity", places=4),
         "top500": lambda s, d: _round(G.top_scores(*_graph(s, d), G.degrees(*_graph(s, d)).select("id", F.col("n_in").cast("double").alias("score"))), "score"),
-        "expand_base": lambda s, d: G.expand_base(S.root_set(_pages(s, d), TOPIC), *_graph(s, d), most=20),
+        "expand_base": lambda s, d: G.expand_base(S.root_set(_pages(s, d), TOPIC), *_graph(s, d)),
         "hits_10": lambda s, d: _round(G.hits(*_graph(s, d)), "authority", "hub"),
         "salsa_hub_3": lambda s, d: _round(G.salsa(*_graph(s, d), "hub"), "score"),
         "salsa_auth_5": lambda s, d: _round(G.salsa(*_graph(s, d), "authority"), "score"),

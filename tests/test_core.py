@@ -225,6 +225,16 @@ def test_registered_crawl_leaves_the_seeds(spark, tmp_path):
     assert {r["url"] for r in R.queries()["frontier_simulation"](spark, str(tmp_path)).collect()} == {"http://www.a/s", "http://www.b/1", "http://www.b/3"}
 
 
+def test_registered_base_keeps_up_to_200_sources(spark, tmp_path):
+    from seamark.plans import reference as R
+
+    doc = [("http://www.a/root", "The trawler sank.", [])] + [(f"http://www.a/{i:03d}", "Nothing.", ["http://www.a/root"]) for i in range(60)]
+    spark.createDataFrame(doc, "id string, text string, outlinks array<string>").selectExpr(
+        "*", "timestamp_ntz'2021-03-01 00:00:00' fetched_at", "1 batch_no"
+    ).write.parquet(str(tmp_path / "document.parquet"))
+    assert R.queries()["expand_base"](spark, str(tmp_path)).count() == 61
+
+
 def test_stream_upserts(spark, tmp_path):
     from seamark.streaming.indexing import stream_upserts
 
