@@ -23,8 +23,6 @@ from seamark.session import cut_lineage
 BLOCK_BYTES = 1 << 20
 #: A shape is frame if at least this share of its lines are, and opens a box if this share of them are followed by an entry.
 FRAME_SHARE, OPENER_SHARE = 0.9, 0.6
-#: Lines behind an opener that may be its entries.
-BOX_LINES = 6
 
 _CAPITAL = re.compile(r"(?<=\s)[^\W\d_a-zß-öø-ÿ][\w'’-]*(?: [^\W\d_a-zß-öø-ÿ][\w'’-]*)*")
 _REPEAT = re.compile(r"( ?[^\w\s]* ?X)(?:\1)+")
@@ -52,10 +50,10 @@ def is_entry(line: str) -> bool:
 
 
 def judge(text: str, html: str | None) -> tuple[int, list[int], list[tuple], list[tuple]]:
-    """Quality (2 whole HTML, 1 cut off, 0 none), frame lines, undecided lines (line, shape, sentence, entry), lessons (shape, frame, opener)."""
+    """Quality (2 whole HTML, 1 cut off, 0 none), frame lines, undecided lines (line, shape, sentence, entry, behind content), lessons (shape, frame, opener)."""
     lines = [" ".join(x.split()) for x in text.split("\n")]
     if not html:
-        return 0, [], [(k, shape(x), is_sentence(x), is_entry(x)) for k, x in enumerate(lines, 1) if x], []
+        return 0, [], [(k, shape(x), is_sentence(x), is_entry(x), False) for k, x in enumerate(lines, 1) if x], []
     page = parse(html)
     good, region = content_blocks(page)
     said: dict[str, list[bool]] = {}
@@ -79,15 +77,19 @@ def judge(text: str, html: str | None) -> tuple[int, list[int], list[tuple], lis
         return 2, [k + 1 for k in frame], [], lessons
     frame, undecided = [], []
     last = max((k for k in filled if verdict[k]), default=-1)
+    behind = False  # content since the last undecided line
     for k in filled:
         if verdict[k] is False or verdict[k] is None and over and k > last:
             frame.append(k + 1)
         elif verdict[k] is None:
-            undecided.append((k + 1, shape(lines[k]), is_sentence(lines[k]), is_entry(lines[k])))
+            undecided.append((k + 1, shape(lines[k]), is_sentence(lines[k]), is_entry(lines[k]), behind))
+            behind = False
+        else:
+            behind = True
     return 1, frame, undecided, []
 
 
-_KINDS = "quality int, frame array<int>, undecided array<struct<line:int,shape:long,sentence:boolean,entry:boolean>>, lessons array<struct<shape:long,frame:boolean,opener:boolean>>"
+_KINDS = "quality int, frame array<int>, undecided array<struct<line:int,shape:long,sentence:boolean,entry:boolean,behind:boolean>>, lessons array<struct<shape:long,frame:boolean,opener:boolean>>"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +99,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = xxhash.xxh3_64_intdigest(x)
         return v - (1 << 64) if v >> 63 else v
 
-    undecided = pa.list_(pa.struct([("line", pa.int32()), ("shape", pa.int64()), ("sentence", pa.bool_()), ("entry", pa.bool_())]))
+    undecided = pa.list_(pa.struct([("line", pa.int32()), ("shape", pa.int64()), ("sentence", pa.bool_()), ("entry", pa.bool_()), ("behind", pa.bool_())]))
     lessons = pa.list_(pa.struct([("shape", pa.int64()), ("frame", pa.bool_()), ("opener", pa.bool_())]))
     for block in blocks(batches, "text", BLOCK_BYTES):
         q, f, u, s = [], [], [], []
@@ -105,7 +107,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             quality, frame, open_, learnt = judge(text, html)
             q.append(quality)
             f.append(frame)
-            u.append([{"line": k, "shape": h(x), "sentence": b, "entry": c} for k, x, b, c in open_])
+            u.append([{"line": k, "shape": h(x), "sentence": b, "entry": c, "behind": e} for k, x, b, c, e in open_])
             s.append([{"shape": h(x), "frame": a, "opener": b} for x, a, b in learnt])
         yield pa.RecordBatch.from_arrays(
             [block.column("id"), pa.array(q, pa.int32()), pa.array(f, pa.list_(pa.int32())), pa.array(u, undecided), pa.array(s, lessons)], names=["id", "quality", "frame", "undecided", "lessons"]
@@ -128,10 +130,11 @@ def frame_lines(pages: DataFrame, id: str = "id", text: str = "text", html: str
     shapes = judged.select(F.explode("lessons").alias("x")).groupBy(F.col("x.shape").alias("shape")).agg(
         F.avg(F.col("x.frame").cast("double")).alias("share"), F.avg(F.col("x.opener").cast("double")).alias("opens")
     ).where(F.col("share") >= FRAME_SHARE)
-    lines = rest.select("id", "rid", F.explode("undecided").alias("u")).select("id", "rid", "u.line", "u.shape", "u.sentence", "u.entry")
+    lines = rest.select("id", "rid", F.explode("undecided").alias("u")).select("id", "rid", "u.line", "u.shape", "u.sentence", "u.entry", "u.behind")
     known = lines.join(shapes, "shape", "left")
-    before = W.partitionBy("rid").orderBy("line").rowsBetween(-BOX_LINES, -1)
-    # the last line before that is no entry itself tells whether a box is open
+    # the last line before that is no entry itself tells whether a box is open; content in between closes it
+    known = known.withColumn("run", F.sum(F.col("behind").cast("int")).over(W.partitionBy("rid").orderBy("line").rowsBetween(W.unboundedPreceding, 0)))
+    before = W.partitionBy("rid", "run").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
     mark = F.when(F.col("opens") >= OPENER_SHARE, F.lit(True)).when(F.col("share").isNotNull() & ~F.col("entry"), F.lit(False)).when(F.col("sentence"), F.lit(False))
     verdict = F.col("share").isNotNull() | (~F.col("sentence") & F.coalesce(F.last(F.col("mark"), ignorenulls=True).over(before), F.lit(False)))
     found = known.withColumn("mark", mark).withColumn("frame", verdict).where("frame").select("id", F.col("line").alias("line_no"))

@@ -39,6 +39,13 @@ def test_frame_lines(spark):
     assert frame_lines(df.limit(0)).count() == 0
 
 
+def test_long_box_without_html(spark):
+    entries = "\n".join(f"* the {w} tug" for w in "red blue green grey pale dark long low wide old".split())
+    text = f"{TEXT.rpartition(chr(10))[0]}\n{entries}\nA second report on the ferry was read to the port on Friday.\nPort and crew"
+    got = frame_lines(spark.createDataFrame([("p1", TEXT, HTML, None, 1), ("p2", text, None, None, 1)], PAGE)).where("id = 'p2'").collect()
+    assert {r["line_no"] for r in got} == {1, 4, *range(6, 17)}
+
+
 def test_cut_html_keeps_what_it_says():
     quality, frame, undecided, _ = judge(TEXT, HTML[: HTML.index("Most read")])
     assert quality == 1 and frame == [1, 4, 6, 7] and not undecided
