@@ -15,6 +15,7 @@ from seamark.operators import evaluate as E
 from seamark.operators import graph as G
 from seamark.operators import index as I
 from seamark.operators import search as S
+from seamark.session import cut_lineage
 from seamark.sources import trec as T
 from seamark.sources.tables import table
 
@@ -80,6 +81,12 @@ def _weighted(s, d) -> DataFrame:
     return a.union(b).where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w"))
 
 
+def _top_hits(s, d, kind: str) -> DataFrame:
+    """Top 500 of the HITS scores of a topic's base set."""
+    base = cut_lineage(G.expand_base(S.root_set(_pages(s, d), TOPIC), *_graph(s, d)))
+    return G.top_scores(*_graph(s, d), _round(G.hits(base, _graph(s, d)[1]).select("id", F.col(kind).alias("score")), "score"))
+
+
 _STOPS, _SOURCE, _TARGET, _MOST_STOPS, _HOPS = [1, 4, 7, 10, 13, 16, 19, 22], 0, 18, 2, 8
 
 
@@ -132,6 +139,9 @@ def queries() -> dict:
         "pagerank_8": lambda s, d: _round(G.pagerank(*_graph(s, d), rounds=8), "score", places=10),
         "perplexity": lambda s, d: _round(G.perplexity(G.pagerank(*_graph(s, d), rounds=8)), "perplexity", places=4),
         "top500": lambda s, d: _round(G.top_scores(*_graph(s, d), G.degrees(*_graph(s, d)).select("id", F.col("n_in").cast("double").alias("score"))), "score"),
+        "top500_pagerank": lambda s, d: G.top_scores(*_graph(s, d), _round(G.pagerank(*_graph(s, d), rounds=None), "score", places=10)),
+        "top500_authorities": lambda s, d: _top_hits(s, d, "authority"),
+        "top500_hubs": lambda s, d: _top_hits(s, d, "hub"),
         "expand_base": lambda s, d: G.expand_base(S.root_set(_pages(s, d), TOPIC), *_graph(s, d)),
         "hits_10": lambda s, d: _round(G.hits(*_graph(s, d)), "authority", "hub"),
         "salsa_hub_3": lambda s, d: _round(G.salsa(*_graph(s, d), "hub"), "score"),

@@ -235,6 +235,22 @@ def test_registered_base_keeps_up_to_200_sources(spark, tmp_path):
     assert R.queries()["expand_base"](spark, str(tmp_path)).count() == 61
 
 
+def test_top500_of_computed_scores(spark, tmp_path):
+    from seamark.plans import reference as R
+
+    out = {"a": "b", "b": "c", "c": "b", "d": "e", "f": "e", "e": "g"}  # b and e have two inlinks each, but b gets c's whole score
+    doc = [(f"http://www.a/{x}", "The trawler sank.", [f"http://www.a/{out[x]}"] if x in out else []) for x in "abcdefg"]
+    spark.createDataFrame(doc, "id string, text string, outlinks array<string>").selectExpr(
+        "*", "timestamp_ntz'2021-03-01 00:00:00' fetched_at", "1 batch_no"
+    ).write.parquet(str(tmp_path / "document.parquet"))
+    rows = {q: R.queries()[q](spark, str(tmp_path)).collect() for q in ("top500_pagerank", "top500_authorities", "top500_hubs")}
+    rank = {r["id"][-1]: r for r in rows["top500_pagerank"]}
+    assert set(rank) == set("abcdefg") and rank["b"]["score"] > 2 * rank["e"]["score"] and rank["b"]["n_in"] == rank["e"]["n_in"] == 2
+    nodes, edges = R._graph(spark, str(tmp_path))
+    for q, kind in (("top500_authorities", "authority"), ("top500_hubs", "hub")):
+        assert {r["id"]: r["score"] for r in rows[q]} == {r["id"]: round(r[kind], 8) for r in G.hits(nodes, edges).collect()}
+
+
 def test_stream_upserts(spark, tmp_path):
     from seamark.streaming.indexing import stream_upserts
 
