@@ -98,6 +98,13 @@ def summary(run: DataFrame, qrels: DataFrame) -> DataFrame:
     )
 
 
+def means_at_cutoffs(run: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
+    """(k, n_queries, precision, recall, f1): means of all queries per cutoff; a null F1 counts as 0."""
+    return at_cutoffs(run, qrels, cutoffs).groupBy("k").agg(
+        F.count(F.lit(1)).alias("n_queries"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg(F.coalesce("f1", F.lit(0.0))).alias("f1")
+    )
+
+
 def pr_curve(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """Mean interpolated precision per recall level."""
     return interpolated(run, qrels).groupBy("recall_level").agg(F.avg("precision").alias("precision"))

@@ -156,6 +156,7 @@ def queries() -> dict:
         "interpolated_pr": lambda s, d: _round(E.interpolated(*_judged(s, d)), "precision"),
         "ndcg": lambda s, d: _round(E.ndcg(*_judged(s, d)), "ndcg"),
         "eval_summary": lambda s, d: _round(E.summary(*_judged(s, d)), "map", "r_precision", "ndcg", places=6),
+        "eval_means_at_k": lambda s, d: _round(E.means_at_cutoffs(*_judged(s, d)), "precision", "recall", "f1", places=6),
         "pr_curve": lambda s, d: _round(E.pr_curve(*_judged(s, d)), "precision", places=6),
     }
 
@@ -347,6 +348,10 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT *, unnest([5, 10, 15, 20, 30, 100, 200, 500, 1000])::INT AS k FROM l),
             p AS (SELECT k.query_id, k, hits / k AS p, hits / k.n_rel AS r FROM k JOIN j ON j.query_id = k.query_id AND j.rank = least(k, retrieved))
             SELECT query_id, k, round(p, 8) AS precision, round(r, 8) AS recall, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 8) END AS f1 FROM p""",
+        "eval_means_at_k": f"""{_JUDGED}, l AS (SELECT query_id, max(rank) AS retrieved, max(n_rel) AS n_rel FROM j GROUP BY query_id),
+            k AS (SELECT *, unnest([5, 10, 15, 20, 30, 100, 200, 500, 1000])::INT AS k FROM l),
+            p AS (SELECT k.query_id, k, hits / k AS p, hits / k.n_rel AS r FROM k JOIN j ON j.query_id = k.query_id AND j.rank = least(k, retrieved))
+            SELECT k, count(*) AS n_queries, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM p GROUP BY k""",
         "average_precision": f"{_JUDGED}, {_AP} SELECT query_id, round(ap, 8) AS ap FROM ap",
         "r_precision": f"{_JUDGED}, {_RP} SELECT query_id, round(r_precision, 8) AS r_precision FROM rp",
         "interpolated_pr": f"{_JUDGED}, {_IP} SELECT query_id, recall_level, round(precision, 8) AS precision FROM ip",

@@ -251,6 +251,14 @@ def test_top500_of_computed_scores(spark, tmp_path):
         assert {r["id"]: r["score"] for r in rows[q]} == {r["id"]: round(r[kind], 8) for r in G.hits(nodes, edges).collect()}
 
 
+def test_means_at_cutoffs_count_a_null_f1_as_0(spark):
+    run = spark.createDataFrame([("1", "x", 1.0, 1), ("1", "y", 0.5, 2), ("2", "z", 1.0, 1)], "query_id string, doc_id string, score double, rank int")
+    qrels = spark.createDataFrame([("1", "x", 1), ("2", "m", 1)], "query_id string, doc_id string, grade int")
+    m = {r["k"]: r for r in E.means_at_cutoffs(run, qrels, (1, 2)).collect()}
+    assert m[1]["n_queries"] == 2 and m[1]["precision"] == m[1]["recall"] == m[1]["f1"] == 0.5
+    assert m[2]["precision"] == 0.25 and m[2]["recall"] == 0.5 and math.isclose(m[2]["f1"], 1 / 3)
+
+
 def test_stream_upserts(spark, tmp_path):
     from seamark.streaming.indexing import stream_upserts
 
