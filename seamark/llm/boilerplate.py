@@ -1,8 +1,9 @@
 """Main body of web pages: which lines of a page's text belong to the site's frame.
 
-The page's HTML goes through streaming parser events into blocks and a text-to-tag ratio per line;
+The page's HTML goes through streaming parser events into blocks and a text-to-tag ratio per block line;
 smoothing and threshold clustering choose the content region (see ``pageblocks``), and the lines of the text
-take the verdict of the block they come from.  Lines that no HTML speaks for (it is missing or cut off)
+take the verdict of the block they come from.  Boxes inside the region that the page alone does not decide are
+frame if their shape recurs beside different bodies.  Lines that no HTML speaks for (it is missing or cut off)
 are judged by the shape of lines in pages whose HTML is whole: counts over all of them tell which
 shapes are frame and which of those open a box of entries.
 """
@@ -23,6 +24,8 @@ from seamark.session import cut_lineage
 BLOCK_BYTES = 1 << 20
 #: A shape is frame if at least this share of its lines are, and opens a box if this share of them are followed by an entry.
 FRAME_SHARE, OPENER_SHARE = 0.9, 0.6
+#: Boxes inside content regions are frame if their shape stands beside so many different bodies.
+RECURS = 3
 
 _CAPITAL = re.compile(r"(?<=\s)[^\W\d_a-zß-öø-ÿ][\w'’-]*(?: [^\W\d_a-zß-öø-ÿ][\w'’-]*)*")
 _REPEAT = re.compile(r"( ?[^\w\s]* ?X)(?:\1)+")
@@ -49,32 +52,41 @@ def is_entry(line: str) -> bool:
     return bool(line) and (line[0] in "*-•–·" or line[0].islower()) and not is_sentence(line)
 
 
-def judge(text: str, html: str | None) -> tuple[int, list[int], list[tuple], list[tuple]]:
-    """Quality (2 whole HTML, 1 cut off, 0 none), frame lines, undecided lines (line, shape, sentence, entry, behind content), lessons (shape, frame, opener)."""
+def judge(text: str, html: str | None) -> tuple[int, list[int], list[tuple], list[tuple], str]:
+    """Quality (2 whole HTML, 1 cut off, 0 none), frame lines, undecided lines (line, shape, sentence, entry, behind content), lessons (shape, frame, opener) and the page's longest line of content.
+
+    Lines of boxes that their page leaves undecided give lessons without a verdict.
+    """
     lines = [" ".join(x.split()) for x in text.split("\n")]
     if not html:
-        return 0, [], [(k, shape(x), is_sentence(x), is_entry(x), False) for k, x in enumerate(lines, 1) if x], []
+        return 0, [], [(k, shape(x), is_sentence(x), is_entry(x), False) for k, x in enumerate(lines, 1) if x], [], ""
     page = parse(html)
     good, region = content_blocks(page)
-    said: dict[str, list[bool]] = {}
+    said: dict[str, list[bool | None]] = {}
+    longest = ""
     for k, (block, content) in enumerate(zip(page.blocks, good)):
-        for part in {block[3], *page.split.get(k, ())}:
+        if content and len(block[1]) > len(longest):
+            longest = block[1]
+        for part in {block[1], *page.split.get(k, ())}:
             said.setdefault(part, []).append(content)
-    over = bool(region) and region in page.closed
+    over = bool(region) and region[-1] in page.closed
     verdict: list[bool | None] = []
-    for x in lines:
-        votes = said.get(x)
+    boxed: set[int] = set()  # lines of undecided boxes
+    for k, x in enumerate(lines):
+        votes = said.get(x) if x else None
         # a line that stands in both is taken in the order of the page
-        verdict.append(None if not x or not votes else votes.pop(0) if len(votes) > 1 else votes[0])
+        verdict.append(None if not votes else votes.pop(0) if len(votes) > 1 else votes[0])
+        if votes and verdict[-1] is None:
+            boxed.add(k)
     filled = [k for k, x in enumerate(lines) if x]
     if not page.cut:
         # whole HTML has every frame line; what is not found in it is part of a content block
-        frame = [k for k in filled if verdict[k] is False]
         lessons = []
         for a, b in zip(filled, [*filled[1:], -1]):
             entry = b >= 0 and verdict[a] is False and verdict[b] is False and is_entry(lines[b])
-            lessons.append((shape(lines[a]), verdict[a] is False, entry))
-        return 2, [k + 1 for k in frame], [], lessons
+            lessons.append((shape(lines[a]), None if a in boxed else verdict[a] is False, entry))
+        undecided = [(k + 1, shape(lines[k]), False, False, False) for k in sorted(boxed)]
+        return 2, [k + 1 for k in filled if verdict[k] is False], undecided, lessons, longest
     frame, undecided = [], []
     last = max((k for k in filled if verdict[k]), default=-1)
     behind = False  # content since the last undecided line
@@ -86,10 +98,10 @@ def judge(text: str, html: str | None) -> tuple[int, list[int], list[tuple], lis
             behind = False
         else:
             behind = True
-    return 1, frame, undecided, []
+    return 1, frame, undecided, [], longest
 
 
-_KINDS = "quality int, frame array<int>, undecided array<struct<line:int,shape:long,sentence:boolean,entry:boolean,behind:boolean>>, lessons array<struct<shape:long,frame:boolean,opener:boolean>>"
+_KINDS = "quality int, frame array<int>, undecided array<struct<line:int,shape:long,sentence:boolean,entry:boolean,behind:boolean>>, lessons array<struct<shape:long,frame:boolean,opener:boolean>>, longest long"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,18 +114,38 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     undecided = pa.list_(pa.struct([("line", pa.int32()), ("shape", pa.int64()), ("sentence", pa.bool_()), ("entry", pa.bool_()), ("behind", pa.bool_())]))
     lessons = pa.list_(pa.struct([("shape", pa.int64()), ("frame", pa.bool_()), ("opener", pa.bool_())]))
     for block in blocks(batches, "text", BLOCK_BYTES):
-        q, f, u, s = [], [], [], []
+        q, f, u, s, m = [], [], [], [], []
         for text, html in zip(block.column("text").to_pylist(), block.column("html").to_pylist()):
-            quality, frame, open_, learnt = judge(text, html)
+            quality, frame, open_, learnt, longest = judge(text, html)
             q.append(quality)
             f.append(frame)
             u.append([{"line": k, "shape": h(x), "sentence": b, "entry": c, "behind": e} for k, x, b, c, e in open_])
             s.append([{"shape": h(x), "frame": a, "opener": b} for x, a, b in learnt])
+            m.append(h(longest))
         yield pa.RecordBatch.from_arrays(
-            [block.column("id"), pa.array(q, pa.int32()), pa.array(f, pa.list_(pa.int32())), pa.array(u, undecided), pa.array(s, lessons)], names=["id", "quality", "frame", "undecided", "lessons"]
+            [block.column("id"), pa.array(q, pa.int32()), pa.array(f, pa.list_(pa.int32())), pa.array(u, undecided), pa.array(s, lessons), pa.array(m, pa.int64())],
+            names=["id", "quality", "frame", "undecided", "lessons", "longest"],
         )
 
 
+def learnt_shapes(judged: DataFrame) -> DataFrame:
+    """(shape, share, opens) of the shapes that are frame: the share of their lines that are, and of those that open a box.
+
+    Lines of undecided boxes are frame if boxes of pages with RECURS different bodies have their shape: an article's own
+    list goes with its body, wherever that is copied to, and a prompt stands in any.
+    """
+    rows = judged.select("longest", F.explode("lessons").alias("x"))
+    rows = rows.select("x.shape", F.when(F.col("x.frame").isNull(), F.col("longest")).alias("body"), F.col("x.frame").cast("int").alias("frame"), F.col("x.opener").cast("int").alias("opener"))
+    # a shape that stands on very many pages is counted per body first
+    per = rows.groupBy("shape", "body").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("frame"), F.lit(0)).alias("frames"), F.sum("opener").alias("openers"))
+    boxed = F.col("body").isNotNull()
+    s = per.groupBy("shape").agg(
+        F.sum("n").alias("n"), F.sum("frames").alias("frames"), F.sum("openers").alias("openers"), F.coalesce(F.sum(F.when(boxed, F.col("n"))), F.lit(0)).alias("boxed"), F.count("body").alias("bodies")
+    )
+    share = (F.col("frames") + F.when(F.col("bodies") >= RECURS, F.col("boxed")).otherwise(0)) / F.col("n")
+    return s.select("shape", share.alias("share"), (F.col("openers") / F.col("n")).alias("opens")).where(F.col("share") >= FRAME_SHARE)
+
+
 def frame_lines(pages: DataFrame, id: str = "id", text: str = "text", html: str = "raw_html") -> DataFrame:
     """Distinct (id, line_no) of the frame lines of each page's text, lines counted from 1 at every newline.
 
@@ -124,12 +156,12 @@ def frame_lines(pages: DataFrame, id: str = "id", text: str = "text", html: str
     kind = rows.schema["id"].dataType.simpleString()
     judged = cut_lineage(rows.mapInArrow(_judge, f"id {kind}, {_KINDS}").withColumn("rid", F.monotonically_increasing_id()))
     best = judged.groupBy("id").agg(F.max("quality").alias("quality"))
-    # whole pages decide for themselves; only the others need the comparison
-    sure = judged.where("quality = 2").select("id", F.explode("frame").alias("line_no"))
+    # whole pages decide for themselves, but for the boxes they leave open; only the others need the comparison
+    whole = judged.where("quality = 2")
+    sure = whole.select("id", F.explode("frame").alias("line_no"))
     rest = judged.where("quality < 2").join(best, ["id", "quality"], "left_semi")
-    shapes = judged.select(F.explode("lessons").alias("x")).groupBy(F.col("x.shape").alias("shape")).agg(
-        F.avg(F.col("x.frame").cast("double")).alias("share"), F.avg(F.col("x.opener").cast("double")).alias("opens")
-    ).where(F.col("share") >= FRAME_SHARE)
+    shapes = learnt_shapes(judged)
+    boxes = whole.select("id", F.explode("undecided").alias("u")).select("id", "u.line", "u.shape").join(shapes.select("shape"), "shape").select("id", F.col("line").alias("line_no"))
     lines = rest.select("id", "rid", F.explode("undecided").alias("u")).select("id", "rid", "u.line", "u.shape", "u.sentence", "u.entry", "u.behind")
     known = lines.join(shapes, "shape", "left")
     # the last line before that is no entry itself tells whether a box is open; content in between closes it
@@ -138,7 +170,8 @@ def frame_lines(pages: DataFrame, id: str = "id", text: str = "text", html: str
     mark = F.when(F.col("opens") >= OPENER_SHARE, F.lit(True)).when(F.col("share").isNotNull() & ~F.col("entry"), F.lit(False)).when(F.col("sentence"), F.lit(False))
     verdict = F.col("share").isNotNull() | (~F.col("sentence") & F.coalesce(F.last(F.col("mark"), ignorenulls=True).over(before), F.lit(False)))
     found = known.withColumn("mark", mark).withColumn("frame", verdict).where("frame").select("id", F.col("line").alias("line_no"))
-    return sure.unionByName(rest.select("id", F.explode("frame").alias("line_no"))).unionByName(found).distinct()
+    every = sure.unionByName(boxes).unionByName(rest.select("id", F.explode("frame").alias("line_no"))).unionByName(found)
+    return every.distinct()
 
 
 def main_text(pages: DataFrame, id: str = "id", text: str = "text", html: str = "raw_html") -> DataFrame:

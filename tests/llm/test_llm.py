@@ -8,6 +8,7 @@ from seamark.llm.boilerplate import frame_lines, judge, main_text
 from seamark.llm.consensus import Consensus
 from seamark.llm.leaks import HeldOut, leaked_passages, leaks, without_leaks
 from seamark.llm.neardup import NearDuplicates
+from seamark.llm.pageblocks import content_blocks, parse
 from seamark.llm.repetition import repeats, repetition, repetitive
 from seamark.llm.spam import page_evidence, sentence_words, spam_pages
 from seamark.llm.tokens import _assemble, _chunks, _encode, chunk_reuse, encoder, token_ids, vocabulary
@@ -39,6 +40,50 @@ def test_frame_lines(spark):
     assert frame_lines(df.limit(0)).count() == 0
 
 
+ARTICLE = """<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>
+<article><h2>The ferry and the reef</h2><p>The ferry left the harbour in the evening with more passengers than it was allowed to carry, and nobody checked the list.</p>
+<ul><li>Three of the crew were rescued.</li><li>Two boats were lost.</li></ul>
+<div class="inset"><p>A nested paragraph tells what the pilot saw from the bridge that night, before the lights went out on the shore.</p></div>
+<table><tr><th>Ship</th><th>Lost</th></tr><tr><td>Vasa</td><td>1628</td></tr></table>
+<blockquote>We never saw the reef, said the mate.</blockquote>
+<p>The inquiry opened a week later in the town hall, where the owners and the crew gave very different accounts of it.</p></article>
+<div class="promo"><p>Sign up for our letter</p></div><footer><p>(c) 2020 The Paper. All rights reserved</p></footer></body></html>"""
+FRAME = {"Home", "News", "Sign up for our letter", "(c) 2020 The Paper. All rights reserved"}
+
+
+@pytest.mark.parametrize("change", [
+    lambda h: h, lambda h: h.replace("\n", ""),
+    lambda h: h.replace("<article>", '<div id="wrap"><div id="c">').replace("</article>", "</div>").replace("</footer>", "</footer></div>"),
+    lambda h: h.replace("<article>", "").replace("</article>", ""),
+])
+def test_lists_tables_and_nested_blocks_are_content(spark, change):
+    page = parse(change(ARTICLE))
+    got = {b[1] for b, content in zip(page.blocks, content_blocks(page)[0]) if content is not False}
+    body = {b[1] for b in page.blocks} - FRAME
+    assert body - {"The ferry and the reef"} <= got and not got & (FRAME - {"Sign up for our letter"})
+    text = "\n".join(b[1] for b in page.blocks)
+    lines = {text.split("\n")[r["line_no"] - 1] for r in frame_lines(spark.createDataFrame([("p", text, change(ARTICLE), None, 1)], PAGE)).collect()}
+    assert FRAME - {"Sign up for our letter"} <= lines and not lines & (body - {"The ferry and the reef"})
+
+
+def test_long_frame_lines_need_smoothing_and_clusters():
+    rows = "".join(f"<div class='f'><p><a href='/{i}'>x</a> <b>entry</b> of the day number {i} in the long list</p></div>" for i in range(40))
+    body = "".join(f"<p>{'The pilot saw the reef from the bridge that night. ' * 3}</p>" for _ in range(3))
+    page = parse(f"<html><body><div id='all'><div id='side'>{rows}</div><div id='c'>{body}</div></div></body></html>")
+    content = lambda **how: {b[0] for b, x in zip(page.blocks, content_blocks(page, **how)[0]) if x}
+    assert all(x.endswith("div.c>p") for x in content()) and not all(x.endswith("div.c>p") for x in content(clustered=False))
+
+
+def test_boxes_beside_many_bodies_are_frame(spark):
+    """A prompt in a box of its own recurs beside different bodies; the list of an article that is copied does not."""
+    page = lambda k, box: f"<html><body><div><p>Report {k} tells what the pilot number {k} saw from the bridge that night.</p>{box}<p>Its end came late.</p></div></body></html>"
+    text = lambda k, box: f"Report {k} tells what the pilot number {k} saw from the bridge that night.\n{box}\nIts end came late."
+    rows = [(f"a{k}", text(k, "Follow us"), page(k, "<div><p>Follow us</p></div>"), None, 1) for k in range(4)]
+    rows += [(f"b{k}", text(9, "Three were rescued"), page(9, "<ul><li>Three were rescued</li></ul>"), None, 1) for k in range(6)]
+    got = {(r["id"], r["line_no"]) for r in frame_lines(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {(f"a{k}", 2) for k in range(4)}
+
+
 def test_long_box_without_html(spark):
     entries = "\n".join(f"* the {w} tug" for w in "red blue green grey pale dark long low wide old".split())
     text = f"{TEXT.rpartition(chr(10))[0]}\n{entries}\nA second report on the ferry was read to the port on Friday.\nPort and crew"
@@ -47,7 +92,7 @@ def test_long_box_without_html(spark):
 
 
 def test_cut_html_keeps_what_it_says():
-    quality, frame, undecided, _ = judge(TEXT, HTML[: HTML.index("Most read")])
+    quality, frame, undecided, *_ = judge(TEXT, HTML[: HTML.index("Most read")])
     assert quality == 1 and frame == [1, 4, 6, 7] and not undecided
 
 
