@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pyarrow as pa
@@ -7,10 +8,10 @@ from pyspark.sql import functions as F
 from seamark.llm.boilerplate import frame_lines, judge, main_text
 from seamark.llm.consensus import Consensus
 from seamark.llm.leaks import HeldOut, leaked_passages, leaks, without_leaks
-from seamark.llm.neardup import NearDuplicates
+from seamark.llm.neardup import NearDuplicates, WordHashes
 from seamark.llm.pageblocks import content_blocks, parse
 from seamark.llm.repetition import repeats, repetition, repetitive
-from seamark.llm.spam import page_evidence, sentence_words, spam_pages
+from seamark.llm.spam import page_evidence, sentences, spam_pages
 from seamark.llm.tokens import _assemble, _chunks, _encode, chunk_reuse, encoder, token_ids, vocabulary
 from seamark.llm.topn import top_n
 from seamark.llm.words import words
@@ -150,9 +151,43 @@ def test_large_copy_class_is_a_star(spark, monkeypatch):
     assert {tuple(r) for r in NearDuplicates(df).key_pairs().collect()} == {("k00", f"k{i:02}") for i in range(1, 9)}
 
 
-def test_sentence_words():
-    assert sentence_words("The old ferry sank near the harbour. buy cheap winch buy cheap") == (12, 7)
-    assert sentence_words("") == (0, 0)
+def formal_words(body: str) -> tuple[int, int]:
+    _, _, segment, page, good = sentences([body], WordHashes())
+    return len(segment), int(good[segment].sum()) if len(segment) else 0
+
+
+def test_sentences_by_form():
+    assert formal_words("The old ferry sank near the harbour. buy cheap winch buy cheap") == (12, 7)
+    assert formal_words("") == (0, 0) and formal_words("?!") == (0, 0)
+    assert formal_words("Паром затонул у входа в гавань! см. http://a.b.example/c.d") == (13, 6)
+    assert formal_words("古い船が沈んだ。乗組員は救助された。") == (16, 16)
+    assert formal_words("buy cheap winch buy cheap winch buy cheap winch buy cheap.")[1] == 0
+
+
+REPORTS = {
+    "ru": "Старый паром затонул у входа в гавань во время густого тумана. Всех членов экипажа спас проходивший мимо буксир. Порт начал расследование в понедельник, и водолазы ищут судовой колокол. "
+    "Никто не знает, почему капитан оставил карты дома. На этой неделе ожидался сильный шторм с запада. Владельцы судна пока не ответили на вопросы.",
+    "pl": "Stary prom zatonął przy wejściu do portu podczas gęstej mgły. Całą załogę uratował przepływający obok holownik. Port wszczął w poniedziałek dochodzenie, a nurkowie szukają dzwonu. "
+    "Nikt nie wie, dlaczego kapitan zostawił mapy w domu. W tym tygodniu spodziewano się silnego sztormu z zachodu. Właściciele statku na razie nie odpowiedzieli na pytania.",
+    "ja": "古いフェリーが濃い霧の中で港の入口近くに沈んだ。乗組員は全員、通りかかった曳船に救助された。港は月曜日に調査を始め、潜水士が鐘を探している。船長がなぜ海図を家に置いてきたのかは誰にも分からない。",
+}
+
+
+def test_spam_needs_no_word_list(spark):
+    r = random.Random(8)
+    parts = [
+        ["The old ferry", "A small tug", "The grain ship", "Another trawler"], ["sank near the harbour", "ran onto the reef", "broke her mooring", "was seen off the coast"],
+        ["before dawn on Monday", "in the heavy fog", "during the winter gale", "after the long voyage"],
+        ["and all of the crew were saved", "but nobody was told of it", "while the port was closed", "so the owners asked for help"],
+    ]
+    every = [" ".join(x) + "." for x in itertools.product(*parts)]
+    rows = [(f"http://h{k % 7}/{k}", " ".join(r.sample(every, 8)), None, None, 1) for k in range(60)]
+    rows += [(f"http://{k}/1", t, None, None, 1) for k, t in REPORTS.items()]
+    known = [w for w in {w for x in every for w in words(x)} if len(w) > 3]
+    salad = " ".join(" ".join(r.choices(known, k=7)).capitalize() + "." for _ in range(20))
+    df = spark.createDataFrame([*rows, ("http://spam/1", salad, None, None, 1)], PAGE)
+    assert [x[0] for x in spam_pages(df).collect()] == ["http://spam/1"]
+    assert spam_pages(df, replication=False).count() == 0
 
 
 def test_spam(spark):
