@@ -41,10 +41,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from there."""
+def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and go on from there.
+
+    In a loop, ``instead_of`` is the checkpoint of the round before; its files are deleted when the new one is written.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if instead_of is not None:
+        forget(instead_of)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing needs any more; anything else is left alone."""
+    try:
+        path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    except Exception:  # no checkpoint
+        return
+    if path.isDefined():
+        _delete(df.sparkSession, path.get())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def lay_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Checkpoint of ``df`` that is hash partitioned and sorted by ``keys``, and known to be, so that windows and groups over them need no exchange.
+
+    Adaptive planning would hide the layout, so it is off while this one plan runs.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(parallelism(spark), *keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -65,8 +101,7 @@ def store(df: DataFrame) -> DataFrame:
 
     def remove() -> None:
         try:
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is gone; the folder's owner cleans up
             pass
 
