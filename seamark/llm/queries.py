@@ -21,7 +21,7 @@ def queries() -> dict:
         "p1_main_text": lambda s, d: main_text(table(s, d, "document")),
         "p2_found": lambda s, d: Consensus(table(s, d, "combined_qrel")).items.select("query_id", "doc_id", "grade"),
         "p2_annotators": lambda s, d: Consensus(table(s, d, "combined_qrel")).annotators,
-        "p2_agreement": lambda s, d: Consensus(table(s, d, "combined_qrel"), rounds=0).agreement.withColumn("alpha", F.round("alpha", 9)),
+        "p2_agreement": lambda s, d: Consensus(table(s, d, "combined_qrel"), rounds=0).agreement.withColumns({c: F.round(c, 9) for c in ("alpha", "alpha_ordinal")}),
         "p4_found": lambda s, d: NearDuplicates(table(s, d, "document")).key_pairs(),
         "p4_classes": lambda s, d: NearDuplicates(table(s, d, "document")).classes(),
         "p6_found": lambda s, d: spam_pages(table(s, d, "document")),
@@ -64,8 +64,11 @@ def oracle_sql() -> dict[str, str]:
             i AS (SELECT query_id, doc_id, count(*) AS m, count(*) FILTER (grade = 0) AS a, count(*) FILTER (grade = 1) AS b,
                 count(*) FILTER (grade = 2) AS c FROM v GROUP BY query_id, doc_id HAVING count(*) >= 2),
             s AS (SELECT count(*) AS n_items, sum(m)::BIGINT AS n_pairable, sum((a * (m - a) + b * (m - b) + c * (m - c)) / (m - 1)) AS seen,
+                sum(a * b / (m - 1)) AS ab, sum(b * c / (m - 1)) AS bc, sum(a * c / (m - 1)) AS ac,
                 sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(c)::DOUBLE AS c FROM i)
-            SELECT n_items, n_pairable, round(1 - seen * (n_pairable - 1) / (a * (n_pairable - a) + b * (n_pairable - b) + c * (n_pairable - c)), 9) AS alpha FROM s""",
+            SELECT n_items, n_pairable, round(1 - seen * (n_pairable - 1) / (a * (n_pairable - a) + b * (n_pairable - b) + c * (n_pairable - c)), 9) AS alpha,
+                round(1 - (ab * x * x + bc * y * y + ac * z * z) * (n_pairable - 1) / (a * b * x * x + b * c * y * y + a * c * z * z), 9) AS alpha_ordinal
+            FROM (SELECT *, (a + b) / 2 AS x, (b + c) / 2 AS y, a / 2 + b + c / 2 AS z FROM s)""",
         "p7_found": f"SELECT query_id, doc_id FROM ({_TOP}) WHERE rank <= 10",
         "p7_top_items": f"SELECT * FROM ({_TOP}) WHERE rank <= 10",
         "p9_found": f"{_PASSAGES} SELECT doc_id, item_id FROM f",

@@ -97,7 +97,7 @@ def test_cut_html_keeps_what_it_says():
     assert quality == 1 and frame == [1, 4, 6, 7] and not undecided
 
 
-def test_consensus(spark):
+def test_consensus(spark, monkeypatch):
     random.seed(4)
     truth = {f"d{i}": random.choice((0, 1, 2)) for i in range(120)}
     rows = []
@@ -113,12 +113,19 @@ def test_consensus(spark):
     who = {r["assessor_id"]: r for r in c.annotators.collect()}
     assert [who[f"a{i}"]["reliable"] for i in range(6)] == [True] * 4 + [False] * 2
     assert all(r["low"] <= r["reliability"] <= r["high"] for r in who.values())
+    assert c.turns <= 30 and all(r["model_grade"] in (0, 1, 2) for r in c.items.collect())
+    # items whose votes are parted give the same model
+    monkeypatch.setattr("seamark.llm.consensus.ITEM_VOTES", 2)
+    parted = Consensus(df, rounds=4)
+    assert parted.salted and {r["doc_id"]: (r["grade"], round(r["posterior"], 9), r["n_votes"]) for r in parted.items.collect()} == {
+        r["doc_id"]: (r["grade"], round(r["posterior"], 9), r["n_votes"]) for r in c.items.collect()
+    }
     empty = Consensus(df.limit(0), rounds=1)
     assert empty.items.count() == 0 and empty.agreement.first()["alpha"] is None
 
 
 def test_agreement_is_one_without_disagreement(spark):
-    df = spark.createDataFrame([("q", a, d, g, None) for a in "ab" for d, g in (("x", 0), ("y", 1))], "query_id string, assessor_id string, doc_id string, grade int, graded_at timestamp")
+    df = spark.createDataFrame([("q", a, d, g, None) for a in "ab" for d, g in (("x", 0), ("y", 2))], "query_id string, assessor_id string, doc_id string, grade int, graded_at timestamp")
     assert Consensus(df, rounds=0).agreement.first()["alpha"] == 1.0
 
 
