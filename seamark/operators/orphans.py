@@ -2,8 +2,9 @@
 
 Keys are range-partitioned on their 64-bit hash, whose ranges are even whatever the keys look like.
 Per range the parents form a sorted array; batches of references stream past it and are probed by
-vectorised binary search, the key text deciding where hashes meet.  Ranges that receive more
-references than one task should take are cut by a salt, and their parents (bounded per range) repeated.
+vectorised binary search, the key text deciding where hashes meet.  There are as many ranges as parents and
+references need, and several of them to a task, so tasks are even.  Ranges that receive more
+references than that are cut by a salt, and their parents (bounded per range) repeated.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from seamark.functions.urls import has_path, link_target
-from seamark.session import parallelism
+from seamark.session import cut_lineage, parallelism, store
 
 #: Parents of one range, on average; bounds the sorted array a task holds.
 PARENTS_PER_RANGE = 100_000
-#: References one task should probe.
-REFS_PER_TASK = 500_000
+#: References of one range, and ranges of one task, on average.
+REFS_PER_RANGE, RANGES_PER_TASK = 100_000, 4
+#: Ranges there are at most; beyond it they grow.  The list of hot ranges that is broadcast is no longer than this (12 bytes each).
+MOST_RANGES = 1 << 20
 
 
 def _probe(carried: list[str]):
@@ -78,26 +81,26 @@ def missing_references(refs: DataFrame, key: str, parents: DataFrame, parent_key
     repeated and null parents do no harm, and columns of any name pass through.
     """
     spark = refs.sparkSession
-    known = parents.select(F.col(parent_key).alias("key")).where("key IS NOT NULL").distinct()
-    bits = max(1, math.ceil(math.log2(max(2, known.count() / PARENTS_PER_RANGE, parallelism(spark)))))
-
-    def rng(h: Column) -> Column:
-        return F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), 64 - bits).cast("int")
-
     fields = [f"c{i}" for i in range(len(refs.columns))]
     body = refs.select(F.struct(*[F.col(f"`{c}`").alias(x) for c, x in zip(refs.columns, fields)]).alias("body"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{spread}`")).alias("sp"))
-    body = body.where("key IS NOT NULL").withColumn("h", F.xxhash64("key")).withColumn("rng", rng(F.col("h")))
-    load = {r["rng"]: r["n"] for r in body.groupBy("rng").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per range
-    hot = {r: math.ceil(n / REFS_PER_TASK) for r, n in load.items() if n > 1.5 * REFS_PER_TASK}
-    salts = F.broadcast(spark.createDataFrame(list(hot.items()) or [(-1, 1)], "rng int, salts int"))
+    body = store(body.where("key IS NOT NULL").withColumn("h", F.xxhash64("key")))  # made once, counted and then probed
+    known = store(parents.select(F.col(parent_key).alias("key")).where("key IS NOT NULL").distinct().withColumn("h", F.xxhash64("key")))
+    n_known, n_refs = known.count(), body.count()
+    wanted = max(2, n_known / PARENTS_PER_RANGE, n_refs / REFS_PER_RANGE, RANGES_PER_TASK * parallelism(spark))
+    bits = math.ceil(math.log2(min(wanted, MOST_RANGES)))
+    rng = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 64 - bits).cast("int")
+    body, known = body.withColumn("rng", rng), known.withColumn("rng", rng)
+    # a range is hot with twice its share; the hot ones hold that many references each, so there are less than half of all ranges
+    fair = max(1.0, n_refs / 2**bits)
+    hot = cut_lineage(body.groupBy("rng").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * fair).select("rng", F.ceil(F.col("n") / fair).cast("int").alias("salts")))
+    salts, parts = F.broadcast(hot), (1 << bits) + (hot.agg(F.coalesce(F.sum("salts"), F.lit(0))).first()[0])
     probes = body.join(salts, "rng", "left").withColumn("salt", F.pmod("sp", F.coalesce("salts", F.lit(1))).cast("int"))
-    arrays = known.withColumn("h", F.xxhash64("key")).withColumn("rng", rng(F.col("h"))).join(salts, "rng", "left")
-    arrays = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    arrays = known.join(salts, "rng", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     nothing = F.lit(None).cast(body.schema["body"].dataType)
     both = arrays.select("rng", "salt", F.lit(0).alias("kind"), "h", "key", nothing.alias("body")).unionByName(
         probes.select("rng", "salt", F.lit(1).alias("kind"), "h", "key", "body")
     )
-    placed = both.repartition(F.col("rng"), F.col("salt")).sortWithinPartitions("rng", "salt", "kind", "h")
+    placed = both.repartition(max(parallelism(spark), parts // RANGES_PER_TASK), "rng", "salt").sortWithinPartitions("rng", "salt", "kind", "h")
     found = placed.mapInArrow(_probe(["body"]), T.StructType([T.StructField("body", body.schema["body"].dataType)]))
     return found.select(*[F.col(f"body.{x}").alias(c) for c, x in zip(refs.columns, fields)])
 

@@ -51,7 +51,7 @@ def test_dominant_sources(spark):
 
 
 def test_missing_references_with_hot_key_and_repeats(spark, monkeypatch):
-    monkeypatch.setattr("seamark.operators.orphans.REFS_PER_TASK", 50)
+    monkeypatch.setattr("seamark.operators.orphans.REFS_PER_RANGE", 50)
     refs = [(f"r{i}", "gone") for i in range(500)] + [(f"q{i}", f"k{i}") for i in range(100)] + [("z", None), ("q1", "k1")]
     df = spark.createDataFrame(refs, "key string, target string").withColumn("rng", F.lit(5))
     parents = spark.createDataFrame([(f"k{i}",) for i in range(0, 100, 2)] + [(None,), ("k0",)], "target string")
