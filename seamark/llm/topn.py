@@ -2,8 +2,9 @@
 
 Each block of a partition computes, for every group of which it holds N distinct items, its own N-th
 best (score, item).  Any such pair bounds the group's N-th best from below, so the best bound per group
-is joined back and rows below it are dropped before anything is shuffled by group.  The survivors
-are reduced to one row per item and ranked.
+is joined back and rows below it are dropped before anything is shuffled by group.  The bounds are computed in one
+pass and kept.  Those of the groups with most rows are broadcast, as many as MAX_BOUNDS; the others,
+each from a few blocks only, are joined by a shuffle.  The survivors are reduced to one row per item and ranked.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from seamark.session import cut_lineage
+
 #: Rows of one block; a bound needs N items of a group within a block.
 BLOCK_ROWS = 500_000
-#: Bounds are broadcast up to this number (about 100 bytes each). Beyond it the groups with the most
-#: bounding blocks keep theirs; rows of the others go to the ranking unfiltered, which changes nothing in the result.
+#: Bounds that are broadcast (about 100 bytes each).
 MAX_BOUNDS = 500_000
 
 
@@ -58,10 +60,15 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10) -> Data
     rows = rows.where("g IS NOT NULL AND i IS NOT NULL AND s IS NOT NULL AND NOT isnan(s)").withColumn("s", F.col("s") + F.lit(0.0))
     found = rows.mapInArrow(_block_bounds(n), rows.schema)
     # the best bound of a group is the highest score, then the smallest item
-    best = found.groupBy("g").agg(F.max("s").alias("bs"), F.count(F.lit(1)).alias("blocks"))
-    best = found.join(best, "g").where("s = bs").groupBy("g").agg(F.first("bs").alias("bs"), F.min("i").alias("bi"), F.first("blocks").alias("blocks"))
-    best = best.orderBy(F.desc("blocks"), "g").limit(MAX_BOUNDS).select("g", "bs", "bi")
-    kept = rows.join(F.broadcast(best), "g", "left").where("bs IS NULL OR s > bs OR (s = bs AND i <= bi)")
+    best = found.groupBy("g").agg(F.min(F.struct((-F.col("s")).alias("s"), "i")).alias("b"), F.count(F.lit(1)).alias("blocks"))
+    best = cut_lineage(best.select("g", (-F.col("b.s")).alias("bs"), F.col("b.i").alias("bi"), "blocks"))
+    within = F.expr("bs IS NULL OR s > bs OR (s = bs AND i <= bi)")
+    many = best.count() > MAX_BOUNDS
+    first = best.orderBy(F.desc("blocks"), "g").limit(MAX_BOUNDS) if many else best
+    kept = rows.join(F.broadcast(first.drop("blocks")), "g", "left").where(within)
+    if many:
+        others = best.join(F.broadcast(first.select("g")), "g", "left_anti").drop("blocks")
+        kept = kept.drop("bs", "bi").join(others, "g", "left").where(within)
     each = kept.groupBy("g", "i").agg(F.max("s").alias("s"))
     rank = F.row_number().over(W.partitionBy("g").orderBy(F.desc("s"), F.asc("i")))
     return each.withColumn("rank", rank).where(F.col("rank") <= n).select(

@@ -221,6 +221,10 @@ def test_top_n_with_ties_hot_group_and_dirt(spark, monkeypatch):
             best.setdefault(q, {})[d] = max(best.get(q, {}).get(d, s), s)
     want = {(q, d, r) for q, m in best.items() for r, (d, _) in enumerate(sorted(m.items(), key=lambda x: (-x[1], x[0]))[:7], 1)}
     assert {(r["q"], r["d"], r["rank"]) for r in top_n(df, "q", "d", "s", 7).collect()} == want
+    monkeypatch.setattr("seamark.llm.topn.MAX_BOUNDS", 1)  # the other bounds are joined by a shuffle
+    more = df.unionByName(df.where("q = 'hot'").withColumn("q", F.lit("hot2")))
+    got = {(r["q"], r["d"], r["rank"]) for r in top_n(more, "q", "d", "s", 7).collect()}
+    assert got == want | {("hot2", d, k) for q, d, k in want if q == "hot"}
     assert top_n(df.limit(0), "q", "d", "s").count() == 0
     with pytest.raises(ValueError):
         top_n(df, "q", "d", "s", 0)
