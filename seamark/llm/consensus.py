@@ -60,11 +60,11 @@ class Consensus:
         per = votes.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("m"))
         self.large = cut_lineage(per.where(F.col("m") > ITEM_VOTES))  # at most votes / ITEM_VOTES rows
         self.salted = not self.large.isEmpty()
-        salt = F.lit(0)
+        self.part = ["query_id", "doc_id"]
         if self.salted:
-            votes = votes.join(F.broadcast(self.large), ["query_id", "doc_id"], "left")
-            salt = F.pmod(F.xxhash64("assessor_id"), F.coalesce(F.ceil(F.col("m") / ITEM_VOTES), F.lit(1))).cast("int")
-        self.votes = lay_out(votes.select("query_id", "doc_id", salt.alias("salt"), "assessor_id", "grade"), "query_id", "doc_id", "salt")
+            votes = votes.join(F.broadcast(self.large), self.part, "left").withColumn("salt", F.pmod(F.xxhash64("assessor_id"), F.coalesce(F.ceil(F.col("m") / ITEM_VOTES), F.lit(1))).cast("int"))
+            self.part = [*self.part, "salt"]
+        self.votes = lay_out(votes.select(*self.part, "assessor_id", "grade"), *self.part)
         if not rounds:
             return
         self.small = self.votes.select("assessor_id").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -83,7 +83,7 @@ class Consensus:
     def _item_sums(self, values: list[Column], name: str, votes: DataFrame | None = None) -> DataFrame:
         """Votes with the sums of ``values`` over their item, name0.., and its number of votes m.  No vote is moved."""
         votes = self.votes if votes is None else votes
-        part = W.partitionBy("query_id", "doc_id", "salt")
+        part = W.partitionBy(*self.part)
         sums = {f"{name}{j}": F.sum(v).over(part) for j, v in enumerate(values)} | {"m": F.count(F.lit(1)).over(part)}
         out = votes.withColumns(sums)
         if not self.salted:
@@ -119,7 +119,7 @@ class Consensus:
         scored = self._item_sums([F.get(f"l{j}", at) for j in self.k], "s", joined).withColumns({f"z{j}": F.col(f"c{j}") + F.col(f"s{j}") for j in self.k})
         top = F.greatest(*[F.col(f"z{j}") for j in self.k])
         e = [F.exp(F.col(f"z{j}") - top) for j in self.k]
-        return scored.select("query_id", "doc_id", "salt", "assessor_id", "grade", "m", *[(e[j] / sum(e[1:], e[0])).alias(f"q{j}") for j in self.k])
+        return scored.select(*self.part, "assessor_id", "grade", "m", *[(e[j] / sum(e[1:], e[0])).alias(f"q{j}") for j in self.k])
 
     @property
     def annotators(self) -> DataFrame:
