@@ -1,12 +1,14 @@
 """Near-duplicate texts by a token-group matrix.
 
-Tokens are hashed runs of three words.  All tokens have one order, rare ones first, by a sketch of their
-document counts of fixed size.  Two texts whose similarity reaches the threshold share a token among the
-first ones of either ("prefix"), which is all the matrix has to hold.
+Tokens are hashed runs of three words.  All tokens have one order, rare ones first.  Two texts whose similarity reaches
+the threshold share a token among the first ones of either ("prefix"), which is all the matrix has to hold.
 
+* Document counts of tokens are taken by a distributed group-by over 2^COUNTER_BITS counters.  The most frequent tokens,
+  as many as LISTED, are given to every task with their counts: all that two texts hold, if they are no more, and stock phrases in any
+  case.  Tokens that are not listed are rarer than all listed ones and come first, by their hash.
 * Texts are classes of equal texts; similar classes are put into one group (the same rarest shared token
-  and a similar size).
-* The matrix stores each group's token union: one row per token and group.
+  and a similar size), and groups of very many classes are parted.
+* The matrix stores each group's token union: one row per token and group.  Tokens of very many texts are parted, too.
 * A class probes the matrix with its prefix.  Its hits in a group's union, plus the tokens behind the prefix,
   bound its overlap with every member: with fewer than m hits no member reaches the least overlap.
 * Only groups that qualify are opened, and their members of a fitting size are compared exactly.
@@ -23,18 +25,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seamark.llm.words import WORD, blocks
-from seamark.session import store
+from seamark.session import cut_lineage, store
 
 #: Words of one token.
 SHINGLE = 3
 #: Bytes of text that are looked at together.
 BLOCK_BYTES = 2 << 20
-#: The sketch has at most 2^MAX_SKETCH_BITS counters of one byte, and fewer for small input.
-MAX_SKETCH_BITS = 25
+#: Counters that tokens are counted in; two tokens share one rarely, and then count too high, never too low.
+COUNTER_BITS = 40
+#: Tokens whose counts all tasks hold (9 bytes each).
+LISTED = 4_000_000
 #: Sizes within a group differ by less than this factor.
 BAND = 1.25
 #: A set of n tokens must have 1 + n / HIT_STEP hits in a group before it is opened.
 HIT_STEP = 16
+#: Classes of a group, on average, beyond which it is parted, and texts of a token beyond which it is.
+GROUP_CLASSES, TOKEN_TEXTS = 256, 50_000
+#: Lists of classes or groups up to this many are broadcast (8 bytes each); longer ones are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Classes with up to this many ids are written out as all their pairs; larger ones as a star around their first id.
 FULL_CLASS = 64
 
@@ -102,61 +110,35 @@ def text_classes(df: DataFrame, key: str = "id", text: str = "text") -> tuple[Da
     return classes.select("rep", "text"), members
 
 
-def sketch_bits(total: int) -> int:
-    """Counters for so many tokens: about one per token, within bounds."""
-    return min(MAX_SKETCH_BITS, max(12, math.ceil(math.log2(max(total, 1)))))
-
-
-def _count(bits: int, part: int):
-    """Partial counts of a partition's tokens, as sparse blocks of the sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            tokens = pc.list_flatten(batch.column("tokens"))
-            slots, times = np.unique(_slot(np.asarray(tokens), bits), return_counts=True)
-            counts[slots] += times.astype(np.uint32)
-        whole = counts.reshape(-1, part)
-        some = np.flatnonzero(whole.any(axis=1))
-        for a in range(0, len(some), 256):
-            rows = some[a : a + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([_log(x).tobytes() for x in whole[rows]], pa.binary())], names=["at", "counts"])
-
-    return run
-
-
-def _slot(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return (tokens.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def _log(counts: np.ndarray) -> np.ndarray:
     """Counts as one byte, in steps of a twelfth of a doubling."""
-    return np.where(counts > 0, np.minimum(1 + np.round(12 * np.log2(np.maximum(counts, 1))), 255), 0).astype(np.uint8)
-
-
-def _unlog(steps: np.ndarray) -> np.ndarray:
-    return np.where(steps > 0, 2 ** ((steps.astype(np.float32) - 1) / 12), 0)
-
+    return np.minimum(1 + np.round(12 * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
 
-def document_counts(sets: DataFrame, total: int) -> np.ndarray:
-    """Sketch of how many texts hold a token: about one byte per token, 2^MAX_SKETCH_BITS at most, whatever the input."""
-    bits = sketch_bits(total)
-    part = 1 << min(bits, 12)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, counts in zip(batch.column("at").to_pylist(), batch.column("counts").to_pylist()):
-                more = _unlog(np.frombuffer(counts, np.uint8))
-                sums[at] = sums[at] + more if at in sums else more
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_log(x).tobytes() for x in sums.values()], pa.binary())], names=["at", "counts"])
+def frequent_tokens(sets: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Counters of the most frequent tokens in order, their counts as bytes, and the least count that is listed.
 
-    partial = sets.select("tokens").mapInArrow(_count(bits, part), "at int, counts binary")
-    out = np.zeros(1 << bits, np.uint8)
-    for row in partial.repartition("at").mapInArrow(add, "at int, counts binary").toLocalIterator():
-        out[row["at"] * part : (row["at"] + 1) * part] = np.frombuffer(row["counts"], np.uint8)
-    return out
+    Tokens that are not listed are held by fewer texts than that; if it is two, by one text only.
+    """
+    most = most or LISTED
+    counter = F.shiftrightunsigned(F.col("token"), 64 - COUNTER_BITS)
+    per = sets.select(F.explode("tokens").alias("token")).groupBy(counter.alias("counter")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    per = store(per)
+    # how many have a count of 2^k or more; at most 64 rows
+    steps = {r["k"]: r["c"] for r in per.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    least, listed = 2, sum(steps.values())
+    for k in sorted(steps):
+        if listed <= most:
+            break
+        least, listed = 2 ** (k + 1), listed - steps[k]
+    got = per.where(F.col("n") >= least).toArrow()  # at most ``most`` rows
+    keys, counts = got.column("counter").to_numpy(), got.column("n").to_numpy()
+    turn = np.argsort(keys)
+    return keys[turn], _log(counts[turn]), least
 
 
 def _hits_wanted(n):
@@ -165,16 +147,21 @@ def _hits_wanted(n):
 
 
 def _order(shared, threshold: float):
-    """Prefix tokens of each class, as places in the common order, with their position."""
+    """Prefix of each class: its tokens as places in the common order, the position of the first, how many of them are indexed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        bits = int(len(counts)).bit_length() - 1
+        keys, logs, least = shared.value
+        unlisted = int(_log(np.array([least - 1]))[0])
         for batch in batches:
             n = np.asarray(batch.column("n"), np.int64)
             tokens = np.asarray(pc.list_flatten(batch.column("tokens"))).view(np.uint64)
             row = np.repeat(np.arange(len(n)), n)
-            seen = counts[_slot(tokens.view(np.int64), bits)].astype(np.int64)
+            seen = np.full(len(tokens), unlisted, np.int64)
+            if len(keys):
+                counter = _counter(tokens)
+                at = np.minimum(np.searchsorted(keys, counter), len(keys) - 1)
+                found = keys[at] == counter
+                seen[found] = logs[at[found]]
             place = (seen << 55) | (_mix(tokens) >> np.uint64(9)).astype(np.int64)
             turn = np.lexsort((place, row))
             place, seen = place[turn], seen[turn]
@@ -182,14 +169,16 @@ def _order(shared, threshold: float):
             # against smaller sets, and as the smaller set
             probe = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + _hits_wanted(n)
             index = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + _hits_wanted(n)
-            # a count of one is never too low: nothing else holds that token
-            keep = (pos < probe[row]) & (seen > 1)
-            at = row[keep]
-            first = np.full(len(n), -1, np.int64)
-            first[at[::-1]] = place[keep][::-1]
+            # a token that no other text holds is one of the first, and can be left out
+            alone = np.bincount(row[seen <= 1], minlength=len(n))
+            keep = (pos < probe[row]) & (pos >= alone[row])
+            held = np.bincount(row[keep], minlength=len(n))
+            some = np.flatnonzero(held)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held[some])), pa.int32()), pa.array(place[keep]))
+            first = place[keep][(np.cumsum(held) - held)[some]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(place[keep]), batch.column("cid").take(pa.array(at)), pa.array(n[at], pa.int32()), pa.array(pos[keep], pa.int32()), pa.array(pos[keep] < index[at]), pa.array(first[at])],
-                names=["token", "cid", "n", "pos", "indexed", "first"],
+                [batch.column("cid").take(pa.array(some)), pa.array(n[some], pa.int32()), pa.array(alone[some], pa.int32()), pa.array(np.clip(index - alone, 0, held)[some], pa.int32()), lists, pa.array(first)],
+                names=["cid", "n", "start", "indexed", "tokens", "first"],
             )
 
     return run
@@ -200,6 +189,11 @@ def size_band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(BAND) + 1e-9)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A kept list, to be broadcast if it is short enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 class NearDuplicates:
     """Linked classes of equal texts.
 
@@ -220,57 +214,69 @@ class NearDuplicates:
         self.pairs = self._compare(self._open(self._matrix()))
 
     def _matrix(self) -> DataFrame:
-        """Prefix tokens of all classes with their groups."""
-        total = self.sets.agg(F.sum("n")).first()[0] or 0
-        shared = self.sets.sparkSession.sparkContext.broadcast(document_counts(self.sets, total))
-        kinds = "token long, cid long, n int, pos int, indexed boolean, first long"
+        """Prefixes of all classes with their groups: cid, n, start (position of the first token), indexed (so many of them), tokens, gid."""
+        shared = self.sets.sparkSession.sparkContext.broadcast(frequent_tokens(self.sets))
+        kinds = "cid long, n int, start int, indexed int, tokens array<long>, first long"
         prefix = self.sets.select("cid", "n", "tokens").mapInArrow(_order(shared, self.threshold), kinds)
         # similar classes are a group: the same rarest token that anything else may hold, and sizes within a quarter
-        gid = F.xxhash64("first", size_band(F.col("n")))
-        return store(prefix.withColumn("gid", gid).drop("first"))
+        prefix = store(prefix.withColumn("gid", F.xxhash64("first", size_band(F.col("n")))).drop("first"))
+        large = cut_lineage(prefix.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP_CLASSES))
+        part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / GROUP_CLASSES))
+        return prefix.join(_small(large), "gid", "left").withColumn("gid", F.when(F.col("c").isNull(), F.col("gid")).otherwise(F.xxhash64("gid", part))).drop("c")
 
     def _open(self, prefix: DataFrame) -> DataFrame:
         """Candidate pairs (a, b): members of the groups that qualify for a, none larger than a."""
         t = self.threshold
-        indexed = prefix.where("indexed")
+        # the parts of a token follow from its count, which stands in its place in the order
+        parts = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), (F.shiftright("token", 55) - 1) / 12) / TOKEN_TEXTS)).cast("int")
+        indexed = prefix.select("gid", "n", "start", F.posexplode(F.slice("tokens", F.lit(1), F.col("indexed"))).alias("p", "token"))
         # how far before a member's end the token stands, the most of all members that hold it; and the bounds of the group's sizes
-        union = indexed.select("token", "gid", "n", (F.col("n") - F.col("pos")).alias("rest")).repartition("token").groupBy("token", "gid").agg(F.max("rest").alias("rest"), F.max("n").alias("n"))
+        union = indexed.select("token", F.pmod("gid", parts).cast("int").alias("part"), "gid", "n", (F.col("n") - F.col("start") - F.col("p")).alias("rest"))
+        union = union.repartition("token", "part").groupBy("token", "part", "gid").agg(F.max("rest").alias("rest"), F.max("n").alias("n"))
         band = size_band(F.col("n"))
-        union = union.select("token", "gid", "rest", F.ceil(F.pow(F.lit(BAND), band) - 1e-6).alias("least"), F.floor(F.pow(F.lit(BAND), band + 1) + 1e-6).alias("most"))
+        union = union.select("token", "part", "gid", "rest", F.ceil(F.pow(F.lit(BAND), band) - 1e-6).alias("least"), F.floor(F.pow(F.lit(BAND), band + 1) + 1e-6).alias("most"))
+        probes = prefix.select("cid", "n", "start", F.posexplode("tokens").alias("p", "token")).select("token", "cid", "n", (F.col("start") + F.col("p")).alias("pos"))
+        probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         smaller = F.greatest("least", F.ceil(F.col("n") * t - 1e-9))
         need = F.ceil(F.lit(t / (1 + t)) * (F.col("n") + smaller) - 1e-9)
         wanted = 1 + F.floor(F.col("least") / HIT_STEP)
-        hits = prefix.select("token", "cid", "n", "pos").join(union, "token").where(
+        hits = probes.join(union, ["token", "part"]).where(
             (F.col("least") <= F.col("n")) & (F.col("most") >= F.col("n") * t - 1e-9) & (F.least(F.col("n") - F.col("pos"), F.col("rest")) > need - wanted)
         )
         bound = hits.groupBy("cid", "gid").agg(F.first("n").alias("n_a"), F.first("least").alias("least"), F.count(F.lit(1)).alias("c"))
         opened = bound.where(F.col("c") >= wanted).select("cid", "gid", "n_a")
-        members = indexed.groupBy("gid", "cid").agg(F.first("n").alias("n_b")).withColumnRenamed("cid", "b")
+        members = prefix.where("indexed > 0").select("gid", F.col("cid").alias("b"), F.col("n").alias("n_b"))
         fits = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("cid")))
         return opened.join(members, "gid").where(fits & (F.col("n_b") >= F.col("n_a") * t - 1e-9)).select(F.col("cid").alias("a"), "b")
 
     def _compare(self, pairs: DataFrame) -> DataFrame:
-        left = self.sets.select(F.col("cid").alias("a"), F.col("rep").alias("rep_x"), F.col("tokens").alias("x"))
-        right = self.sets.select(F.col("cid").alias("b"), F.col("rep").alias("rep_y"), F.col("tokens").alias("y"))
+        """Pairs whose sets reach the threshold; only sets of classes in a pair are moved."""
+        pairs = store(pairs)
+        asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        sets = self.sets.join(_small(asked), "cid", "left_semi")
+        left = sets.select(F.col("cid").alias("a"), F.col("rep").alias("rep_x"), F.col("tokens").alias("x"))
+        right = sets.select(F.col("cid").alias("b"), F.col("rep").alias("rep_y"), F.col("tokens").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         scored = pairs.join(left, "a").join(right, "b").select("rep_x", "rep_y", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
         return scored.where(F.col("similarity") >= self.threshold).select(F.least("rep_x", "rep_y").alias("rep_a"), F.greatest("rep_x", "rep_y").alias("rep_b"), "similarity")
 
-    def key_pairs(self) -> DataFrame:
+    def key_pairs(self, full_class: int | None = -1) -> DataFrame:
         """Distinct pairs id_a < id_b (byte order) of keys whose texts reach the threshold.
 
         Members of linked classes are paired, and so are the keys of one class (equal texts).  A class of
-        more than FULL_CLASS keys is a star instead, and linked by its first key, so that copies do not
-        square; ``members`` has them all.  A key with several texts matches by any of them.
+        more than ``full_class`` keys (FULL_CLASS if not given) is a star instead, and linked by its first key, so that copies do not
+        square; ``members`` and ``pairs`` have them all.  With None every pair is written out.  A key with several texts matches by any of them.
         """
+        most = FULL_CLASS if full_class == -1 else full_class
         members = self.members.join(self.sets.select("rep"), "rep", "left_semi")
         sized = members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("size")), "rep")
-        some = sized.where((F.col("size") <= FULL_CLASS) | (F.col("key") == F.col("rep"))).select("rep", "key")
+        full = F.lit(True) if most is None else F.col("size") <= most
+        some = sized.where(full | (F.col("key") == F.col("rep"))).select("rep", "key")
         a, b = some.select(F.col("rep").alias("rep_a"), F.col("key").alias("x")), some.select(F.col("rep").alias("rep_b"), F.col("key").alias("y"))
         linked = self.pairs.join(a, "rep_a").join(b, "rep_b").select("x", "y")
         several = sized.where("size > 1")
         star = several.select(F.col("rep").alias("x"), F.col("key").alias("y"))
-        rest = several.where((F.col("size") <= FULL_CLASS) & (F.col("key") != F.col("rep")))
+        rest = several.where(full & (F.col("key") != F.col("rep")))
         inner = rest.select("rep", F.col("key").alias("x")).join(rest.select("rep", F.col("key").alias("y")), "rep").select("x", "y")
         every = linked.unionByName(star).unionByName(inner).where("x <> y")
         return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

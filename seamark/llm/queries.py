@@ -23,6 +23,7 @@ def queries() -> dict:
         "p2_annotators": lambda s, d: Consensus(table(s, d, "combined_qrel")).annotators,
         "p2_agreement": lambda s, d: Consensus(table(s, d, "combined_qrel"), rounds=0).agreement.withColumns({c: F.round(c, 9) for c in ("alpha", "alpha_ordinal")}),
         "p4_found": lambda s, d: NearDuplicates(table(s, d, "document")).key_pairs(),
+        "p4_class_pairs": lambda s, d: NearDuplicates(table(s, d, "document")).pairs.withColumn("similarity", F.round("similarity", 9)),
         "p4_classes": lambda s, d: NearDuplicates(table(s, d, "document")).classes(),
         "p6_found": lambda s, d: spam_pages(table(s, d, "document")),
         "p6_page_evidence": lambda s, d: page_evidence(table(s, d, "document")),
@@ -55,8 +56,25 @@ _PASSAGES = r"""
     f AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run))"""
 
 
+_SHINGLES = r"""
+    WITH t AS (SELECT DISTINCT id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM document WHERE id IS NOT NULL AND text IS NOT NULL),
+    c AS (SELECT text, min(id) AS rep, count(*) AS size FROM t GROUP BY text),
+    r AS MATERIALIZED (SELECT DISTINCT rep, ws[k:k + 2] AS run FROM (SELECT rep, ws, unnest(range(1, len(ws) - 1)) AS k FROM (SELECT DISTINCT rep, ws FROM c JOIN t USING (text)) WHERE len(ws) >= 3)),
+    n AS (SELECT rep, count(*) AS n FROM r GROUP BY rep),
+    p AS MATERIALIZED (SELECT x.rep AS rep_a, y.rep AS rep_b, count(*) AS held FROM r x JOIN r y ON x.run = y.run AND x.rep < y.rep GROUP BY 1, 2),
+    s AS MATERIALIZED (SELECT rep_a, rep_b, held / (a.n + b.n - held) AS similarity FROM p JOIN n a ON a.rep = rep_a JOIN n b ON b.rep = rep_b WHERE 2 * held >= a.n + b.n - held),
+    m AS MATERIALIZED (SELECT DISTINCT id AS key, rep, size FROM t JOIN c USING (text))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_class_pairs": f"{_SHINGLES} SELECT rep_a, rep_b, round(similarity, 9) AS similarity FROM s",
+        "p4_classes": f"""{_SHINGLES} SELECT key, rep, coalesce(l.n, 0)::BIGINT AS n_links FROM m LEFT JOIN (
+            SELECT rep, count(*) AS n FROM (SELECT rep_a AS rep FROM s UNION ALL SELECT rep_b FROM s) GROUP BY rep) l USING (rep)""",
+        "p4_found": f"""{_SHINGLES}, f AS (SELECT key, rep, size FROM m WHERE rep IN (SELECT rep FROM n)), w AS (SELECT key, rep FROM f WHERE size <= 64 OR key = rep),
+            e AS (SELECT a.key AS x, b.key AS y FROM s JOIN w a ON a.rep = rep_a JOIN w b ON b.rep = rep_b
+                UNION SELECT a.key, b.key FROM f a JOIN f b ON a.rep = b.rep AND a.key < b.key WHERE a.size <= 64 OR a.key = a.rep)
+            SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM e WHERE x <> y""",
         "p2_agreement": """
             WITH v AS (SELECT query_id, doc_id, assessor_id, grade FROM (
                 SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, assessor_id ORDER BY graded_at DESC NULLS LAST, grade DESC) AS n

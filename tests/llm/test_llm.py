@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pyarrow as pa
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from seamark.llm.boilerplate import frame_lines, judge, main_text
 from seamark.llm.consensus import Consensus
 from seamark.llm.leaks import HeldOut, leaked_passages, leaks, without_leaks
-from seamark.llm.neardup import NearDuplicates, WordHashes
+from seamark.llm.neardup import NearDuplicates, WordHashes, frequent_tokens
 from seamark.llm.pageblocks import content_blocks, parse
 from seamark.llm.repetition import repeats, repetition, repetitive
 from seamark.llm.spam import page_evidence, sentences, spam_pages
@@ -129,7 +130,7 @@ def test_agreement_is_one_without_disagreement(spark):
     assert Consensus(df, rounds=0).agreement.first()["alpha"] == 1.0
 
 
-def test_near_duplicates_match_brute_force(spark):
+def test_near_duplicates_match_brute_force(spark, monkeypatch):
     random.seed(7)
     vocab = [f"w{i}" for i in range(60)]
     texts = [[random.choice(vocab) for _ in range(random.choice([3, 8, 30, 60]))] for _ in range(60)]
@@ -150,12 +151,31 @@ def test_near_duplicates_match_brute_force(spark):
     assert {tuple(r) for r in n.key_pairs().collect()} == want and ("c1", "c2") in want
     assert n.classes().where("key = 'c2'").first()["rep"] == "c1"
     assert NearDuplicates(df.limit(0)).key_pairs().count() == 0
+    # few listed tokens, parted groups and tokens, and joins in place of broadcasts change nothing
+    for name, value in (("LISTED", 40), ("GROUP_CLASSES", 2), ("TOKEN_TEXTS", 1), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(f"seamark.llm.neardup.{name}", value)
+    assert {tuple(r) for r in NearDuplicates(df).key_pairs().collect()} == want
+
+
+def test_frequent_tokens_are_the_most_frequent(spark):
+    sets = [[k for k in range(60) if k % 3 == 0 or i % (k + 1) == 0] for i in range(40)]
+    tokens = [[(k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for k in s] for s in sets]
+    df = spark.createDataFrame([(t,) for t in tokens], "tokens array<long>")
+    count = {}
+    for s in sets:
+        for k in s:
+            count[k] = count.get(k, 0) + 1
+    keys, logs, least = frequent_tokens(df)
+    assert least == 2 and len(keys) == sum(n > 1 for n in count.values()) and list(keys) == sorted(keys)
+    keys, logs, least = frequent_tokens(df, 25)
+    assert least > 2 and len(keys) == sum(n >= least for n in count.values()) <= 25 and min(logs) >= 1 + 12 * math.log2(least) - 1
 
 
 def test_large_copy_class_is_a_star(spark, monkeypatch):
     monkeypatch.setattr("seamark.llm.neardup.FULL_CLASS", 5)
     df = spark.createDataFrame([(f"k{i:02}", "one and the same text") for i in range(9)], "id string, text string")
     assert {tuple(r) for r in NearDuplicates(df).key_pairs().collect()} == {("k00", f"k{i:02}") for i in range(1, 9)}
+    assert NearDuplicates(df).key_pairs(full_class=None).count() == 36
 
 
 def formal_words(body: str) -> tuple[int, int]:
