@@ -3,9 +3,10 @@
 1. A rolling hash over the bytes proposes cuts, so equal passages are cut alike wherever they stand.
    A proposed cut moves to the next place, within REACH bytes, where the tokenizer parts words in any
    context; if there is none, the text is cut all the same and the join is marked.
-2. Chunks meet by their hash, whatever document they come from, and each distinct chunk is encoded once
-   in its task.  A chunk that very many documents hold is spread by adaptive rebalancing.
-3. Chunks go back to their documents.  At a marked join, the stretch from the last certain word end before
+2. Hashes of the chunks meet, not the chunks: where one stands more than once, its first place owns it.  The texts are
+   then encoded where they lie.  A text all of whose chunks are its own alone is encoded in one go; else every chunk is encoded
+   by its owner only and its ids are joined to the other places, so each distinct chunk is encoded once in the whole corpus.
+3. Texts with chunks from elsewhere are put together again.  At a marked join, the stretch from the last certain word end before
    it to the first one after it is encoded again; the ids on both sides must then end exactly there,
    or the stretch grows.
 """
@@ -21,6 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from seamark.session import cut_lineage, store
+
 # Fixed values of the public vocabulary: how its tokenizer parts a text before merging bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -28,8 +31,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WINDOW, CUT_BITS = 16, 10
 #: Least bytes of a chunk, and bytes that a cut may move to a certain word end.
 LEAST, REACH = 256, 512
-#: Bytes of chunks a task remembers before it starts to forget.
-MEMORY = 48 << 20
+#: Places of shared chunks that are broadcast (about 40 bytes each); longer lists are joined by a shuffle of the texts.
+BROADCAST_PLACES = 1_000_000
+#: Places from which on a chunk is hot; hot chunks are broadcast to the places that take them.
+HOT_PLACES = 100_000
 
 _CLASS = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 other ASCII, 0 part of a longer character
 _CLASS[:128] = 3
@@ -102,54 +107,77 @@ def chunk_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     return no, lo, hi, marked
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(column: pa.Array):
+    """Chunks of a batch's texts: memory of all texts, and per chunk the row, begin, end, whether its join is marked, and its number in the row."""
+    text = pc.fill_null(column, "").cast(pa.large_binary())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    body = text.buffers()[2]
+    whole = memoryview(body)[: offsets[-1]] if body is not None and offsets[-1] else memoryview(b"")
+    no, lo, hi, marked = chunk_bounds(np.frombuffer(whole, np.uint8), offsets[:-1], offsets[1:])
+    no = np.array(no)
+    first = np.flatnonzero(np.append(True, no[1:] != no[:-1]))
+    seq = np.arange(len(no)) - np.repeat(first, np.diff(np.append(first, len(no))))
+    return whole, no, np.array(lo), np.array(hi), np.array(marked), seq
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        text = pc.fill_null(batch.column("text"), "").cast(pa.large_binary())
-        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        body = text.buffers()[2]
-        whole = memoryview(body)[: offsets[-1]] if body is not None and offsets[-1] else memoryview(b"")
-        data = np.frombuffer(whole, np.uint8)
-        no, lo, hi, marked = chunk_bounds(data, offsets[:-1], offsets[1:])
-        parts = [bytes(whole[a:b]) for a, b in zip(lo, hi)]
-        no, marked = np.array(no), np.array(marked)
-        first = np.flatnonzero(np.append(True, no[1:] != no[:-1]))
-        seq = np.arange(len(no)) - np.repeat(first, np.diff(np.append(first, len(no))))
-        hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in parts], np.uint64).view(np.int64)
-        keep = marked | np.append(marked[1:], False)
-        rows = pa.array(no)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("rid").take(rows), batch.column("key").take(rows), pa.array(seq, pa.int32()), pa.array(marked), pa.array(keep), pa.array(hashes), pa.array(parts, pa.binary())],
-            names=["rid", "key", "seq", "marked", "keep", "h", "chunk"],
-        )
+        whole, no, lo, hi, _, seq = _cut(batch.column("text"))
+        h = np.array([xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(no)), pa.array(seq, pa.int32()), pa.array(h), pa.array(hi - lo)], names=["rid", "seq", "h", "size"])
 
 
-def _width(path: str) -> str:
-    return "<u2" if encoder(path).n_vocab <= 1 << 16 else "<u4"
+_PIECE = "kind int, seq int, marked boolean, h long, chunk binary, ids array<int>, encoded long"
 
 
-def _encode(path: str):
+def _pieces(path: str):
+    """Function for mapInArrow over rid, key, text, places (seq, h, own).  Kinds of rows: 0 a whole text, 1 a piece of a text that takes chunks
+    from elsewhere (ids null where it is taken), 2 a chunk for other places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width = encoder(path).encode_ordinary, _width(path)
-        known: dict[bytes, bytes] = {}
-        held = 0
+        encode = encoder(path).encode_ordinary
         for batch in batches:
-            ids = []
-            for chunk in batch.column("chunk").to_pylist():
-                got = known.get(chunk)
-                if got is None:
-                    got = np.array(encode(chunk.decode()), width).tobytes()
-                    held += len(chunk) + len(got) + 150
-                    if held > MEMORY:
-                        known.clear()
-                        held = 0
-                    known[chunk] = got
-                ids.append(got)
-            chunks = pc.if_else(batch.column("keep"), batch.column("chunk"), pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "key", "seq", "marked")), chunks, pa.array(ids, pa.binary())], names=["rid", "key", "seq", "marked", "chunk", "ids"])
+            if not batch.num_rows:
+                continue
+            texts, places = batch.column("text").to_pylist(), batch.column("places").to_pylist()
+            row, rest = [], {n: [] for n in ("kind", "seq", "marked", "h", "chunk", "ids", "encoded")}
+
+            def put(k, *values):
+                row.append(k)
+                for column, v in zip(rest.values(), values):
+                    column.append(v)
+
+            shared = [k for k, p in enumerate(places) if p]
+            for k, p in enumerate(places):
+                if not p:
+                    put(k, 0, 0, False, 0, None, encode(texts[k]) if texts[k] else [], len((texts[k] or "").encode()))
+            if shared:
+                whole, no, lo, hi, marked, seq = _cut(batch.column("text").take(pa.array(shared)))
+                starts = np.append(np.flatnonzero(seq == 0), len(no))
+                for j, k in enumerate(shared):
+                    at = {p["seq"]: p for p in places[k]}
+                    got, size = [], 0
+                    for c in range(starts[j], starts[j + 1]):
+                        chunk, p = bytes(whole[lo[c] : hi[c]]), at.get(int(seq[c]))
+                        ids = None
+                        if p is None or p["own"]:
+                            ids, size = encode(chunk.decode()), size + len(chunk)
+                            if p is not None:
+                                put(k, 2, 0, False, p["h"], None, ids, 0)
+                        keep = marked[c] or c + 1 < starts[j + 1] and marked[c + 1]
+                        got.append((bool(marked[c]), chunk if keep else None, ids, p["h"] if ids is None else 0))
+                    if all(x[2] is not None for x in got):
+                        put(k, 0, 0, False, 0, None, repaired([(m, t, np.array(i, np.int32)) for m, t, i, _ in got], path), size)
+                    else:
+                        for c, (m, t, i, h) in enumerate(got):
+                            put(k, 1, c, m, h, t, i, size if c == 0 else 0)
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int64())
+            columns = [pa.array(v, t) for v, t in zip(rest.values(), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(row)), batch.column("key").take(pa.array(row)), *columns], names=["rid", "key", *rest])
 
     return run
 
@@ -197,28 +225,13 @@ def repaired(pieces: list[tuple[bool, bytes | None, np.ndarray]], path: str) ->
 
 def _assemble(path: str):
     def finish(table: pa.Table) -> pa.RecordBatch:
-        width = np.dtype(_width(path))
         rid = table.column("rid").to_numpy()
         first = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
-        joint = np.add.reduceat(table.column("marked").to_numpy().astype(np.int64), first) > 0
-        ids = table.column("ids").combine_chunks()
-        if isinstance(ids, pa.ChunkedArray):
-            ids = ids.chunk(0)
-        lengths = np.asarray(pc.binary_length(ids), np.int64) // width.itemsize
-        body = ids.buffers()[2]
-        base = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset] if len(ids) else 0
-        flat = np.frombuffer(body, np.uint8)[base:][: lengths.sum() * width.itemsize].view(width) if body is not None else np.zeros(0, width)
-        counts = np.add.reduceat(lengths, first)
-        if joint.any():
-            cut = np.cumsum(lengths)[:-1]
-            each, parts = np.split(flat, cut), []
-            marked, chunk = table.column("marked").to_pylist(), table.column("chunk").to_pylist()
-            for d, (a, b) in enumerate(zip(first, np.append(first[1:], len(rid)))):
-                parts.append(repaired([(marked[i], chunk[i], each[i]) for i in range(a, b)], path) if joint[d] else np.concatenate(each[a:b]))
-            flat, counts = np.concatenate(parts), np.array([len(p) for p in parts])
-        offsets = np.append(0, np.cumsum(counts))
+        marked, chunk, ids = (table.column(c).to_pylist() for c in ("marked", "chunk", "ids"))
+        parts = [repaired([(marked[i], chunk[i], np.array(ids[i], np.int32)) for i in range(a, b)], path) for a, b in zip(first, np.append(first[1:], len(rid)))]
+        offsets = np.append(0, np.cumsum([len(p) for p in parts]))
         return pa.RecordBatch.from_arrays(
-            [table.column("key").combine_chunks().take(pa.array(first)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32)))], names=["key", "ids"]
+            [table.column("key").combine_chunks().take(pa.array(first)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))], names=["key", "ids"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,30 +254,68 @@ def _assemble(path: str):
     return run
 
 
-def chunks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Content-defined chunks of every row: rid (row number), key, seq, marked, keep, h, chunk.  Null and empty texts are one empty chunk."""
-    data = df.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    kind = data.schema["key"].dataType.simpleString()
-    return data.mapInArrow(_chunks, f"rid long, key {kind}, seq int, marked boolean, keep boolean, h long, chunk binary")
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """rid (row number), key, text.  Rows are numbered where they lie, which must not change from one reading to the next; so anything but a plain scan is stored first."""
+    data = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    nodes = {line.lstrip(" :+-").split(" ")[0] for line in data._jdf.queryExecution().optimizedPlan().toString().splitlines()}
+    if not all(n.startswith(("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation")) for n in nodes if n):
+        data = store(data)
+    return data.select(F.monotonically_increasing_id().alias("rid"), "key", "text")
 
 
-def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """One row per row of ``df``: key and the list of token ids of its text, without special tokens.
+def chunk_hashes(rows: DataFrame) -> DataFrame:
+    """(rid, seq, h, size) of the content-defined chunks of (rid, text).  Null and empty texts are one empty chunk."""
+    return rows.select("rid", "text").mapInArrow(_hashes, "rid long, seq int, h long, size long")
+
+
+def shared_places(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rid, seq, h, own) of all places of chunks that stand more than once, own at the first of them; and the hot ones of these chunks (h)."""
+    found = store(chunk_hashes(rows).where("size > 0").drop("size"))
+    groups = cut_lineage(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "seq")).alias("first")).where("n > 1"))
+    hot = groups.where(F.col("n") >= HOT_PLACES)  # at most chunks / HOT_PLACES rows
+    own = ((F.col("first.rid") == F.col("rid")) & (F.col("first.seq") == F.col("seq"))).alias("own")
+    places = found.join(groups.where(F.col("n") < HOT_PLACES), "h").unionByName(found.join(F.broadcast(hot), "h"))
+    return places.select("rid", "seq", "h", own), hot.select("h")
+
+
+class Encoding:
+    """Token ids of a corpus: ``ids`` (key, ids), one row per row of ``df``, and ``encoded`` (one row, n_bytes): the bytes of chunks that went through the encoder.
 
     Null and empty texts give an empty list, a blank text its usual ids; null and equal keys each keep
     their own row; other columns are ignored.
     """
-    path = path or vocabulary()
-    parts = chunks(df, key, text)
-    kind = parts.schema["key"].dataType.simpleString()
-    encoded = parts.hint("rebalance", "h").mapInArrow(_encode(path), f"rid long, key {kind}, seq int, marked boolean, chunk binary, ids binary")
-    back = encoded.repartition("rid").sortWithinPartitions("rid", "seq")
-    return back.mapInArrow(_assemble(path), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+
+    def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None):
+        path = path or vocabulary()
+        rows = _rows(df, key, text)
+        kind = rows.schema["key"].dataType.simpleString()
+        places, hot = shared_places(rows)
+        places = cut_lineage(places)
+        per = places.groupBy("rid").agg(F.collect_list(F.struct("seq", "h", "own")).alias("places"))  # of one text
+        per = F.broadcast(per) if places.count() <= BROADCAST_PLACES else per
+        done = rows.join(per, "rid", "left").select("rid", "key", "text", "places").mapInArrow(_pieces(path), f"rid long, key {kind}, {_PIECE}")
+        done = store(done)
+        whole = done.where("kind = 0").select("key", "ids")
+        pieces = done.where("kind = 1").select("rid", "key", "seq", "marked", "h", "chunk", "ids")
+        given = done.where("kind = 2").select("h", F.col("ids").alias("given"))
+        # ids of hot chunks are brought to their places, the others meet by a shuffle
+        taken = pieces.where("ids IS NULL").drop("ids")
+        hot = F.broadcast(hot)
+        filled = taken.join(hot, "h", "left_anti").join(given, "h").unionByName(taken.join(F.broadcast(given.join(hot, "h", "left_semi")), "h"))
+        every = pieces.where("ids IS NOT NULL").unionByName(filled.withColumnRenamed("given", "ids")).drop("h")
+        back = every.repartition("rid").sortWithinPartitions("rid", "seq").mapInArrow(_assemble(path), f"key {kind}, ids array<int>")
+        self.ids = whole.unionByName(back).withColumnRenamed("key", key)
+        self.encoded = done.agg(F.coalesce(F.sum("encoded"), F.lit(0)).alias("n_bytes"))
+
+
+def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """One row per row of ``df``: key and the list of token ids of its text, without special tokens (see ``Encoding``)."""
+    return Encoding(df, key, text, path).ids
 
 
 def chunk_reuse(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """How much chunks are shared: chunks, distinct chunks, bytes, bytes of distinct chunks."""
-    per = chunks(df, key, text).select("h", F.length("chunk").cast("long").alias("b")).groupBy("h", "b").agg(F.count(F.lit(1)).alias("n"))
+    per = chunk_hashes(_rows(df, key, text)).groupBy("h", F.col("size").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     return per.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.count(F.lit(1)).alias("n_distinct"),
         F.coalesce(F.sum(F.col("n") * F.col("b")), F.lit(0)).alias("n_bytes"), F.coalesce(F.sum("b"), F.lit(0)).alias("distinct_bytes"),

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from seamark.llm.neardup import NearDuplicates, WordHashes, frequent_tokens
 from seamark.llm.pageblocks import content_blocks, parse
 from seamark.llm.repetition import repeats, repetition, repetitive
 from seamark.llm.spam import page_evidence, sentences, spam_pages
-from seamark.llm.tokens import _assemble, _chunks, _encode, chunk_reuse, encoder, token_ids, vocabulary
+from seamark.llm.tokens import Encoding, _cut, chunk_reuse, encoder, repaired, token_ids, vocabulary
 from seamark.llm.topn import top_n
 from seamark.llm.words import words
 
@@ -269,14 +270,28 @@ def test_token_ids_equal_the_encoder(spark):
     assert chunk_reuse(spark.createDataFrame([], "doc_id long, text string")).first()["n_chunks"] == 0
 
 
-def test_uncertain_joins_are_repaired_across_batches():
+def test_uncertain_joins_are_repaired():
     texts, path = [t for t in odd_texts() if t], vocabulary()
-    batch = pa.record_batch({"rid": list(range(len(texts))), "key": list(range(len(texts))), "text": texts})
-    chunks = list(_chunks([batch]))
-    assert sum(chunks[0].column("marked").to_pylist()) > 10
-    encoded = list(_encode(path)(chunks))[0]
-    got = [x for b in _assemble(path)(encoded.slice(i, 5) for i in range(0, encoded.num_rows, 5)) for x in b.column("ids").to_pylist()]
-    assert got == [encoder(path).encode_ordinary(t) for t in texts]
+    coder = encoder(path)
+    whole, no, lo, hi, marked, _ = _cut(pa.array(texts))
+    assert sum(marked) > 10
+    for k, t in enumerate(texts):
+        pieces = [(bool(m), bytes(whole[a:b]), np.array(coder.encode_ordinary(bytes(whole[a:b]).decode()), np.int32)) for a, b, m, n in zip(lo, hi, marked, no) if n == k]
+        assert repaired(pieces, path).tolist() == coder.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("limits", [(1_000_000, 100_000), (0, 5)])
+def test_each_distinct_chunk_is_encoded_once(spark, monkeypatch, limits):
+    for name, value in zip(("BROADCAST_PLACES", "HOT_PLACES"), limits):
+        monkeypatch.setattr(f"seamark.llm.tokens.{name}", value)
+    r = random.Random(3)
+    lines = [" ".join(r.choices(["ferry", "sank", "harbour", "fog", "1912", "crew", "tug"], k=12)) + f" no {i}.\n" for i in range(400)]
+    texts = ["".join(lines[i : i + 60]) for i in range(0, 400, 60)] + ["".join(lines[30:90]) + "\u6d77" * 3000, "\u6d77\u6c34" * 2500, None, ""]
+    df = spark.createDataFrame([(k * 100 + i, t) for k in range(10) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    e = Encoding(df)
+    coder = encoder(vocabulary())
+    assert {x["doc_id"]: x["ids"] for x in e.ids.collect()} == {k * 100 + i: coder.encode_ordinary(t or "") for k in range(10) for i, t in enumerate(texts)}
+    assert e.encoded.first()["n_bytes"] == chunk_reuse(df).first()["distinct_bytes"] <= sum(len((t or "").encode()) for t in texts)
 
 
 def test_leaks(spark):
