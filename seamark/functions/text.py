@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 BETWEEN_TOKENS = r"[^\p{L}\p{N}]+"
@@ -30,12 +33,10 @@ def without(terms: Column, words: list[str]) -> Column:
     return F.filter(terms, lambda x: ~x.isin(*words)) if words else terms
 
 
-def query_terms(text: Column) -> Column:
-    """Refined terms of a query text, unstemmed: commas and quotes deleted, given words dropped, then analysed and given stems dropped."""
+def refined_tokens(text: Column) -> Column:
+    """Tokens of a query text: commas and quotes deleted, given words dropped, the rest analysed.  Stems are dropped after stemming (see ``search.analyzed_queries``)."""
     words = F.split(F.translate(text, ',"', ""), " ")
-    return without(tokens(F.array_join(without(words, REFINE_WORDS), " ")), REFINE_STEMS)
-
-
+    return tokens(F.array_join(without(words, REFINE_WORDS), " "))
 
 
 def _shape(word: str) -> str:
@@ -105,11 +106,48 @@ def porter(word: str) -> str:
     return word
 
 
-def stem_terms(df: DataFrame, term: str = "term") -> DataFrame:
-    """Replace column ``term`` by its stem; only the distinct vocabulary goes through Python."""
-    @F.pandas_udf("string")
-    def stems(words: pd.Series) -> pd.Series:
-        return words.map(porter, na_action="ignore")
-
-    vocabulary = df.select(F.col(term)).distinct().withColumn("__stem", stems(F.col(term)))
-    return df.join(vocabulary, term).withColumn(term, F.col("__stem")).drop("__stem")
+class Stems(dict):
+    """Stem of each word, remembered while there is room."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = s = porter(word)
+        return s
+
+
+def term_counts(docs: DataFrame, stop: list[str] | None = None, stem: bool = False, stop_first: bool = False) -> DataFrame:
+    """(doc_id, len, term, tf) of (doc_id, words), counted row by row where the rows lie; len is the number of terms that are kept.
+
+    The analyzer stems, then drops stop words; ``stop_first`` turns that round.  Only the distinct words of a
+    batch are stemmed.  Rows without terms give nothing.
+    """
+    drop = frozenset(stop or ())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = Stems()
+        for batch in batches:
+            column = batch.column("words")
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+            coded = pc.list_flatten(column).dictionary_encode()
+            if not len(coded):
+                continue
+            words = coded.dictionary.to_pylist()
+            if stop_first:
+                words = [None if w in drop else w for w in words]
+            if stem:
+                words = [None if w is None else stems[w] for w in words]
+            if not stop_first:
+                words = [None if w in drop else w for w in words]
+            terms = pa.array(words, pa.string()).dictionary_encode()
+            code = np.asarray(pc.fill_null(terms.indices, -1), np.int64)[np.asarray(coded.indices)]
+            row = np.repeat(np.arange(len(sizes)), sizes)[code >= 0]
+            code, many = code[code >= 0], max(len(terms.dictionary), 1)
+            length = np.bincount(row, minlength=len(sizes))
+            both, tf = np.unique(row * many + code, return_counts=True)
+            row, code = both // many, both % many
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row)), pa.array(length[row], pa.int64()), terms.dictionary.take(pa.array(code)), pa.array(tf, pa.int64())], names=["doc_id", "len", "term", "tf"]
+            )
+
+    return docs.select("doc_id", "words").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, len long, term string, tf long")

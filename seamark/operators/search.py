@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seamark.functions.text import query_terms, tokens
-from seamark.operators.index import corpus_stats, postings, term_stats
+from seamark.functions.text import REFINE_STEMS, refined_tokens, term_counts, tokens
+from seamark.operators.index import Index, corpus_stats, term_stats
+from seamark.session import cut_lineage
 
 K1, K2, B = 1.2, 100.0, 0.75
+#: Query terms up to this many are broadcast to the postings (some 60 bytes each); more are joined by a shuffle.
+BROADCAST_TERMS = 500_000
 
 
-def analyzed_queries(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf) of the refined query texts; null texts and queries without terms give nothing."""
-    terms = queries.where("query_id IS NOT NULL").select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
-    return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+def analyzed_queries(queries: DataFrame, stop: list[str] | None = None, stem: bool = True) -> DataFrame:
+    """(query_id, term, qtf) of the refined query texts, stemmed and without stop words; null texts and queries without terms give nothing."""
+    words = queries.where("query_id IS NOT NULL").select(F.col("query_id").alias("doc_id"), refined_tokens(F.col("text")).alias("words"))
+    terms = term_counts(words, stop, stem).where(~F.col("term").isin(*REFINE_STEMS))
+    return terms.groupBy(F.col("doc_id").alias("query_id"), "term").agg(F.sum("tf").alias("qtf"))
 
 
 def bm25_weight(dedupe_terms: bool = False) -> Column:
@@ -30,18 +34,24 @@ def default_weight() -> Column:
     return F.col("qtf") * idf * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
 
 
-def match(docs: DataFrame, terms: DataFrame, weight: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def match(index: Index, terms: DataFrame, weight: Column) -> DataFrame:
     """(query_id, doc_id, score) of all documents that hold any term of a query (query_id, term, qtf).
 
-    Document keys are unique.  Statistics cover all documents; only postings of asked terms are counted, and they carry
-    the length of their document, so no join is needed for it.
+    One scan of the postings; statistics cover all documents.  Scores are added up within the index's buckets.
     """
+    asked = cut_lineage(terms.select("query_id", "term", "qtf").join(index.terms, "term"))
+    small = asked.count() <= BROADCAST_TERMS
+    rows = index.posts.join(F.broadcast(asked) if small else asked, "term").crossJoin(F.broadcast(index.stats))  # stats is one row
+    return rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+
+
+def match_texts(docs: DataFrame, terms: DataFrame, weight: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Like ``match``, of texts without an index, for a few terms; they are not stemmed."""
     words = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("words"))
     stats = corpus_stats(words.select("doc_id", F.size("words").cast("bigint").alias("len")))
-    terms = terms.select("query_id", "term", "qtf")
-    found = words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    found = words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     posts = found.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    rows = posts.join(term_stats(posts), "term").join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    rows = posts.join(F.broadcast(term_stats(posts).join(terms, "term")), "term").crossJoin(F.broadcast(stats))  # as many rows as terms, and one row
     return rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
@@ -52,23 +62,23 @@ def ranked(scores: DataFrame, k: int | None = None, score: str = "score") -> Dat
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 200) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int = 200) -> DataFrame:
     """Top ``k`` documents per query: (query_id, doc_id, score, rank)."""
-    return ranked(match(docs, analyzed_queries(queries), bm25_weight()), k)
+    return ranked(match(index, analyzed_queries(queries, list(index.stop), index.stem), bm25_weight()), k)
 
 
-def default_similarity(docs: DataFrame, queries: DataFrame, k: int = 200) -> DataFrame:
-    return ranked(match(docs, analyzed_queries(queries), default_weight()), k)
+def default_similarity(index: Index, queries: DataFrame, k: int = 200) -> DataFrame:
+    return ranked(match(index, analyzed_queries(queries, list(index.stop), index.stem), default_weight()), k)
 
 
-def page_of_hits(docs: DataFrame, queries: DataFrame, first: int, last: int) -> DataFrame:
+def page_of_hits(index: Index, queries: DataFrame, first: int, last: int) -> DataFrame:
     """Hits of ranks ``first`` to ``last``, as a scrolled search gives them."""
-    return default_similarity(docs, queries, last).where(F.col("rank") >= first)
+    return default_similarity(index, queries, last).where(F.col("rank") >= first)
 
 
-def term_lookup(docs: DataFrame, term: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings of one exact term."""
-    return postings(docs, key=key, text=text).where(F.col("term") == term)
+def term_lookup(index: Index, term: str) -> DataFrame:
+    """Postings (doc_id, term, tf) of one exact term of the index."""
+    return index.posts.where(F.col("term") == term).select("doc_id", "term", "tf")
 
 
 def match_all(docs: DataFrame, *fields: str) -> DataFrame:
@@ -80,4 +90,4 @@ def root_set(docs: DataFrame, words: list[str], k: int = 1000, key: str = "id",
     """(id): the first ``k`` hits of a topic by the default similarity; fewer if there are fewer."""
     spark = docs.sparkSession
     terms = spark.createDataFrame([("topic", w, 1) for w in words], "query_id string, term string, qtf long")
-    return ranked(match(docs, terms, default_weight(), key, text), k).select(F.col("doc_id").alias("id"))
+    return ranked(match_texts(docs, terms, default_weight(), key, text), k).select(F.col("doc_id").alias("id"))

@@ -93,11 +93,15 @@ def store(df: DataFrame) -> DataFrame:
 
     For large intermediate tables that are read several times by column; removed when the program ends.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    sc = spark.sparkContext
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Path for a new table in the shared checkpoint folder, removed when the program ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
 
     def remove() -> None:
         try:
@@ -106,4 +110,4 @@ def store(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(remove)
-    return spark.read.parquet(path)
+    return path
