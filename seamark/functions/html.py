@@ -25,9 +25,17 @@ def title(html: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    """Targets of all anchors in order, without fragments of the page itself."""
-    found = F.regexp_extract_all(html, F.lit(r'<a\s+[^>]*?href="([^"]*)"'), F.lit(1))
-    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda x: ~x.startswith("#") & (x != ""))
+    """Targets of all anchors in order, in any case and quotes, entities decoded, without fragments of the page itself."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1))
+
+    def target(x: Column) -> Column:
+        bare = F.trim(F.regexp_replace(x, r"""^["']|["']$""", ""))
+        for entity, sign in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&")):
+            bare = F.replace(bare, F.lit(entity), F.lit(sign))
+        return bare
+
+    every = F.transform(F.coalesce(found, F.array().cast("array<string>")), target)
+    return F.filter(every, lambda x: ~x.startswith("#") & (x != ""))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -36,74 +44,91 @@ def page_links(pages: DataFrame) -> DataFrame:
     return raw.select("id", canonical_url(F.col("href"), F.col("id")).alias("target")).where("target <> ''").distinct()
 
 
+_QUIET = frozenset(("script", "style", "template"))
+
+
 class _Body(HTMLParser):
-    """Text of paragraphs and of table rows, in document order."""
+    """Texts of paragraphs and tables in the order in which they begin; a paragraph within a table follows it."""
 
     def __init__(self):
         super().__init__()
-        self.out: list[str] = []
-        self.text: list[str] | None = None  # of the paragraph that is open
-        self.cell: list[str] | None = None
-        self.heads: list[str] = []
-        self.cells: list[str] = []
-        self.head = False
-        self.tables = 0
+        self.out: list = []  # parts of a paragraph, or rows of a table with its heads
+        self.open: list[tuple[str, object]] = []  # elements of interest that are open
+        self.quiet = 0
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p":
-            self._paragraph()
-            self.text = []
+        if tag in _QUIET:
+            self.quiet += 1
+        elif tag == "p":
+            self._end("p", "td", "th", "table")  # a paragraph ends where the next begins
+            self._begin(tag, [])
+            self.out.append(self.open[-1][1])
         elif tag == "table":
-            self._paragraph()
-            self.tables += 1
+            self._begin(tag, ([], []))
+            self.out.append(self.open[-1][1])
         elif tag == "tr":
-            self._row()
-        elif tag in ("td", "th") and self.tables:
-            self._cell()
-            self.cell, self.head = [], tag == "th"
+            self._end("tr", "table")
+            row: list = []
+            for name, table in self.open:
+                if name == "table":
+                    table[1].append(row)
+            self._begin(tag, row)
+        elif tag in ("td", "th"):
+            self._end("td", "tr", "table")
+            self._end("th", "tr", "table")
+            cell: list[str] = []
+            for name, it in self.open:
+                if tag == "td" and name == "tr":
+                    it.append(cell)
+                elif tag == "th" and name == "table":
+                    it[0].append(cell)
+            self._begin(tag, cell)
 
     def handle_endtag(self, tag):
-        if tag == "p":
-            self._paragraph()
-        elif tag in ("td", "th"):
-            self._cell()
-        elif tag == "tr":
-            self._row()
-        elif tag == "table":
-            self._row()
-            self.tables = max(0, self.tables - 1)
+        if tag in _QUIET:
+            self.quiet = max(0, self.quiet - 1)
+        elif tag in ("p", "table", "tr", "td", "th"):
+            self._end(tag)
 
     def handle_data(self, data):
-        if self.text is not None:
-            self.text.append(data)
-        if self.cell is not None:
-            self.cell.append(data)
-
-    def _paragraph(self):
-        if self.text is not None:
-            self.out.append("".join(self.text))
-            self.text = None
-
-    def _cell(self):
-        if self.cell is not None:
-            (self.heads if self.head else self.cells).append("".join(self.cell).replace("\n", " "))
-            self.cell = None
-
-    def _row(self):
-        self._cell()
-        if self.cells:
-            pairs = zip(self.heads, self.cells) if len(self.heads) == len(self.cells) else (("", c) for c in self.cells)
-            self.out.extend(f"{h}:{c}\n " if h else f"{c}\n " for h, c in pairs)
-        self.heads, self.cells = [], []
+        if not self.quiet:
+            for name, it in self.open:
+                if name in ("p", "td", "th"):
+                    it.append(data)
+
+    def _begin(self, tag, it):
+        self.open.append((tag, it))
+
+    def _end(self, tag, *walls):
+        """Close the last open ``tag`` and what is open in it, but not through one of ``walls``."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                return
+            if self.open[k][0] in walls:
+                return
+
+    def text(self) -> str:
+        parts = []
+        for it in self.out:
+            if isinstance(it, list):
+                parts.append("".join(it))
+                continue
+            heads, rows = (["".join(x) for x in it[0]], [["".join(x) for x in row] for row in it[1]])
+            cells = "".join(f"{heads[k]}:{c}" if len(heads) == len(row) else c for row in rows for k, c in enumerate(row))
+            parts.append(cells.replace("\n", " ") + "\n ")
+        return "".join(parts)
 
 
 def body_text(html: str | None) -> str:
-    """Paragraph texts without a separator; table cells each on a line, with their head where a row has as many heads as cells."""
+    """Paragraph texts without a separator; per table its cells, each behind its head where the table has as many heads as the row cells, and one line end.
+
+    Paragraphs in cells stand in the table and once more behind it.  A paragraph that is not closed ends where the next one begins.
+    """
     page = _Body()
     page.feed(html or "")
-    page._paragraph()
-    page._row()
-    return "".join(page.out)
+    page.close()
+    return page.text()
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -114,9 +114,15 @@ def url_relevance(keywords: Column) -> Column:
     return F.when(maritime, basic + hits * 1.5 + bonus).otherwise(basic)
 
 
+def country_penalty(keywords: Column, countries: list[str]) -> Column:
+    """1 where a url's one or two keywords are the name of a country, else 0; names are compared in lower case."""
+    name = F.lower(F.array_join(keywords, " "))
+    return F.when((F.size(keywords).between(1, 2)) & name.isin(*[c.lower() for c in countries]), 1.0).otherwise(0.0)
+
+
 def link_score(relevance: Column, parent_score: Column, wave: Column) -> Column:
-    """Frontier score of a link: relevance, the parent's score and the depth, rounded to 2."""
-    return F.round(0.4 * relevance + 0.3 * parent_score + 0.35 / wave, 2)
+    """Frontier score of a link: relevance, the parent's score and the depth, rounded to 2 as decimals are."""
+    return F.round((0.4 * relevance + 0.3 * parent_score + 0.35 / wave).cast("decimal(18,6)"), 2).cast("double")
 
 
 def inlink_bump(score: Column, n_inlinks: Column) -> Column:

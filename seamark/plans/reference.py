@@ -23,6 +23,7 @@ from seamark.sources.tables import table
 TOPIC = ["trawler", "harbour", "sank"]
 #: Stop list of the registered queries; longer ones are read from files (``read_words``).
 STOPS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+COUNTRIES = ["Norway", "South Korea", "Estonia", "Italy", "Ship News"]
 _INDEXES: dict[tuple[str, str], I.Index] = {}
 
 
@@ -93,6 +94,15 @@ def _weighted(s, d) -> DataFrame:
     return a.union(b).where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w"))
 
 
+def _link_scores(s, d) -> DataFrame:
+    """Score of every link between crawled pages; the parent's score is its relevance, countries are penalised."""
+    doc = table(s, d, "document").where("id IS NOT NULL")
+    keys = U.url_keywords(F.col("id"))
+    known = doc.groupBy("id").agg(F.min("wave").alias("wave"), (U.url_relevance(keys) - U.country_penalty(keys, COUNTRIES)).alias("relevance"))
+    edges = G.closed(*_graph(s, d)).join(known.select(F.col("id").alias("src"), "wave", F.col("relevance").alias("parent")), "src").join(known.select(F.col("id").alias("dst"), "relevance"), "dst")
+    return edges.select("src", "dst", U.link_score(F.col("relevance"), F.col("parent"), F.col("wave") + 1).alias("score"))
+
+
 def _top_hits(s, d, kind: str) -> DataFrame:
     """Top 500 of the HITS scores of a topic's base set."""
     base = cut_lineage(G.expand_base(S.root_set(_pages(s, d), TOPIC), *_graph(s, d)))
@@ -133,7 +143,7 @@ def queries() -> dict:
         "useful_links": lambda s, d: _links(s, d).where(U.useful_link(F.col("link"))).select("link").distinct(),
         "url_keywords": lambda s, d: ids(page(s, d)).select("id", F.array_join(U.url_keywords(F.col("id")), " ").alias("keywords")),
         "url_relevance": lambda s, d: ids(page(s, d)).select("id", U.url_relevance(U.url_keywords(F.col("id"))).alias("relevance")),
-        "frontier_score": lambda s, d: page(s, d).where("id IS NOT NULL").select("id", "wave", F.round(0.4 * U.url_relevance(U.url_keywords(F.col("id"))) + 0.3 * 4.0 + 0.35 / F.col("wave"), 6).alias("score")).distinct(),
+        "frontier_score": _link_scores,
         "extract_title": lambda s, d: page(s, d).where("raw_html IS NOT NULL").select("id", H.title(F.col("raw_html")).alias("title")).distinct(),
         "extract_links": lambda s, d: H.page_links(page(s, d)),
         "page_type_filter": lambda s, d: page(s, d).where(H.is_page(F.col("headers"))).groupBy("headers").agg(F.count(F.lit(1)).alias("n")),
@@ -288,6 +298,10 @@ _WHOLE = rf"""CASE WHEN starts_with(bare, '../') THEN {_FOLDER} || substr(bare,
 _CANONICAL = rf"""lower(substr(whole, 1, length({_BASE.format('whole')}))) || substr(whole, length({_BASE.format('whole')}) + 1)"""
 
 
+_HREF = r"""replace(replace(replace(replace(replace(replace(replace(replace(trim(regexp_replace(raw, '^["'']|["'']$', '', 'g')), '&quot;', '"'), '&#34;', '"'), '&#39;', chr(39)), '&apos;', chr(39)),
+    '&lt;', '<'), '&gt;', '>'), '&#38;', '&'), '&amp;', '&')"""
+
+
 def _stripped(link: str) -> str:
     return f"split_part(replace(replace(replace({link}, ':80', ''), ':443', ''), 'https', 'http'), '#', 1)"
 
@@ -327,17 +341,21 @@ def oracle_sql() -> dict[str, str]:
         "match_all_scan": "SELECT doc_id, source, n_chars FROM documents",
         "root_set": f"WITH {_PAGES}, {_ROOT} SELECT id FROM roots",
         "run_lines": f"WITH {_RUN} SELECT query_id || ' ' || doc_id || ' ' || rank || ' ' || score::DECIMAL(18,6) AS value FROM run",
-        "trec_doc_format": r"""SELECT wave, E'<DOC>\n<DOCNO>' || doc_id || E'</DOCNO>\n<HEAD>' || coalesce(source, '') || E'</HEAD>\n<TEXT>' || coalesce(text, '') || E'</TEXT>\n</DOC>' AS value FROM documents""",
+        "trec_doc_format": r"""SELECT wave, E'<DOC>\n<DOCNO>' || doc_id || E'</DOCNO>\n<HEAD>' || coalesce(source, '') || E'</HEAD>\n<TEXT>\n' || coalesce(text, '') || E'\n</TEXT>\n</DOC>\n' AS value FROM documents""",
         "base_url": f"WITH {_LINKS} SELECT DISTINCT link, {_BASE.format('link')} AS base FROM links",
         "canonical_url": f"WITH {_LINKS} SELECT id, link, {_CANONICAL} AS target FROM (SELECT *, {_WHOLE} AS whole FROM (SELECT *, {_stripped('link')} AS bare FROM links))",
         "doc_key": "SELECT DISTINCT id, replace(replace(id, '://', '-'), '/', '-') AS doc_key FROM document WHERE id IS NOT NULL",
         "useful_links": f"WITH {_LINKS} SELECT DISTINCT link FROM links WHERE regexp_matches(link, '^http://(www|en)') AND NOT regexp_matches(link, '{_USEFUL}')",
         "url_keywords": f"WITH {_KEYS} SELECT id, array_to_string(k, ' ') AS keywords FROM keys",
         "url_relevance": f"WITH {_KEYS}, {_RELEVANCE} SELECT id, relevance FROM rel",
-        "frontier_score": f"WITH {_KEYS}, {_RELEVANCE} SELECT DISTINCT id, wave, round(0.4 * relevance + 1.2 + 0.35 / wave, 6) AS score FROM rel JOIN document USING (id)",
+        "frontier_score": f"""WITH {_KEYS}, {_RELEVANCE}, {_GRAPH}, {_CLOSED},
+            pen AS (SELECT id, relevance - (len(k) BETWEEN 1 AND 2 AND lower(array_to_string(k, ' ')) IN ('norway', 'south korea', 'estonia', 'italy', 'ship news'))::INT AS r FROM rel JOIN keys USING (id)),
+            wv AS (SELECT id, min(wave) AS wave FROM document GROUP BY id)
+            SELECT src, dst, round((0.4::DOUBLE * d.r + 0.3::DOUBLE * s.r + 0.35::DOUBLE / (wave + 1))::DECIMAL(18, 6), 2)::DOUBLE AS score
+            FROM closed JOIN pen s ON s.id = src JOIN pen d ON d.id = dst JOIN wv ON wv.id = src""",
         "extract_title": "SELECT DISTINCT id, regexp_extract(raw_html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM document WHERE raw_html IS NOT NULL",
         "extract_links": rf"""SELECT DISTINCT id, {_CANONICAL} AS target FROM (SELECT *, {_WHOLE} AS whole FROM (SELECT id, {_stripped('link')} AS bare FROM (
-            SELECT id, unnest(regexp_extract_all(raw_html, '<a\s+[^>]*?href="([^"]*)"', 1)) AS link FROM document) WHERE link <> '' AND NOT starts_with(link, '#'))) WHERE whole <> ''""",
+            SELECT id, {_HREF} AS link FROM (SELECT id, unnest(regexp_extract_all(raw_html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1)) AS raw FROM document)) WHERE link <> '' AND NOT starts_with(link, '#'))) WHERE whole <> ''""",
         "page_type_filter": f"SELECT headers, count(*) AS n FROM document WHERE headers IN {_list(H.PAGE_TYPES)} GROUP BY headers",
         "robots_filter": f"""WITH d AS (SELECT id, http_status, {_BASE.format('id')} AS base FROM document WHERE id IS NOT NULL),
             r AS (SELECT base, min(http_status) AS status, length(base) % 5 > 0 AS allowed FROM d GROUP BY base)

@@ -98,12 +98,18 @@ def score_lines(top: DataFrame, with_degrees: bool = False) -> DataFrame:
 
 
 def trec_documents(docs: DataFrame, key: str, head: str, text: str, wave: str) -> DataFrame:
-    """(wave, value): each document in TREC form; write it partitioned by wave as text."""
+    """(wave, value): each document in TREC form, the text on lines of its own, with a line end behind the document."""
     c = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
-    value = F.concat(F.lit("<DOC>\n<DOCNO>"), c(key), F.lit("</DOCNO>\n<HEAD>"), c(head), F.lit("</HEAD>\n<TEXT>"), c(text), F.lit("</TEXT>\n</DOC>"))
+    value = F.concat(F.lit("<DOC>\n<DOCNO>"), c(key), F.lit("</DOCNO>\n<HEAD>"), c(head), F.lit("</HEAD>\n<TEXT>\n"), c(text), F.lit("\n</TEXT>\n</DOC>\n"))
     return docs.select(F.col(wave).alias("wave"), value.alias("value"))
 
 
+def write_trec(records: DataFrame, path: str) -> None:
+    """Append TREC records to one folder per wave; the writer adds each record's last line end."""
+    lines = records.withColumn("value", F.regexp_replace("value", r"\n$", ""))
+    lines.write.mode("append").partitionBy("wave").text(path)
+
+
 def write_text(lines: DataFrame, path: str, by: str | None = None) -> None:
     """Write lines; with ``by`` in one folder per value."""
     writer = lines.write.partitionBy(by) if by else lines.write

@@ -11,6 +11,7 @@ from seamark.functions import urls as U
 from seamark.operators import evaluate as E
 from seamark.operators import graph as G
 from seamark.operators import index as I
+from seamark.operators import search as S
 from seamark.operators.crawl import crawl, robots_allowed
 from seamark.operators.heavy_keys import dominant_link_sources, key_load
 from seamark.operators.orphans import missing_references, orphan_references
@@ -98,8 +99,51 @@ def test_url_forms(spark):
 
 
 def test_body_text():
-    assert H.body_text("<p>a<p>b <b>c</b></p><table><tr><th>H</th><td>x\ny</td></tr><tr><td>1</td><td>2</td></tr></table>") == "ab cH:x y\n 1\n 2\n "
+    assert H.body_text("<p>a<p>b <b>c</b></p><table><tr><th>H</th><td>x\ny</td></tr><tr><td>1</td><td>2</td></tr></table>") == "ab cH:x y12\n "
     assert H.body_text(None) == "" and H.body_text("<p>cut") == "cut"
+    rows = "<table><tr><th>Ship</th><th>Lost</th></tr><tr><td>Vasa</td><td>1628</td></tr><tr><td>Arizona</td><td><p>1941</p></td></tr></table>"
+    assert H.body_text(f"<p>before</p>{rows}<p>after</p>") == "beforeShip:VasaLost:1628Ship:ArizonaLost:1941\n 1941after"
+    nested = "<table><tr><td>a<table><tr><td>b</td></tr></table></td></tr></table>"
+    assert H.body_text(nested) == "abb\n b\n "
+    assert H.body_text("<p>a<script>x</script>b</p><td>lost</td><table><tr><td>open") == "abopen\n "
+
+
+def test_anchors_of_all_forms(spark):
+    html = """<A HREF="/x">1</A> <a class='c' href='/y'>2</a> <a href=/z>3</a> <a href="/q?a=1&amp;b=2">4</a> <a data-href="/no">5</a> <a href="#top">6</a> <a href = "/w" >7</a> <abbr href="/v">"""
+    df = spark.createDataFrame([("http://www.h.com/d/p", html), ("http://www.h.com/e", None)], "id string, raw_html string")
+    assert {r["target"] for r in H.page_links(df).collect()} == {f"http://www.h.com/{x}" for x in ("x", "y", "z", "q?a=1&b=2", "w")}
+
+
+def test_trec_records_are_written_apart(spark, tmp_path):
+    docs = spark.createDataFrame([("k1", "h", "one", 1), ("k2", None, None, 1)], "key string, head string, text string, wave int").coalesce(1)
+    records = T.trec_documents(docs, "key", "head", "text", "wave")
+    assert records.first()["value"] == "<DOC>\n<DOCNO>k1</DOCNO>\n<HEAD>h</HEAD>\n<TEXT>\none\n</TEXT>\n</DOC>\n"
+    T.write_trec(records, str(tmp_path / "t"))
+    T.write_trec(records.limit(1), str(tmp_path / "t"))
+    texts = sorted(p.read_text() for p in (tmp_path / "t" / "wave=1").glob("part*"))
+    assert "".join(texts).count("<DOC>\n<DOCNO>k1") == 2 and all(t.endswith("</DOC>\n") and "</DOC>\n<DOC>" in t or t.count("<DOC>") == 1 for t in texts)
+
+
+def test_country_penalty(spark):
+    score = lambda *w: spark.range(1).select(U.country_penalty(F.array(*[F.lit(x) for x in w]), ["South Korea", "Norway"])).first()[0]
+    assert score("norway") == 1.0 and score("South", "Korea") == 1.0 and score("Norway", "ship", "x") == 0.0 and score("ship") == 0.0
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Ships sank, a ship sinks"), (2, "the ship"), (3, None), (4, ""), (5, "the a"), (None, "lost ships")], "doc_id long, text string")
+    index = I.build_index(docs, str(tmp_path / "i"), stop=("a", "the"))
+    index = I.open_index(spark, str(tmp_path / "i"))
+    assert {(r["doc_id"], r["term"], r["tf"], r["len"]) for r in index.posts.collect()} == {(1, "ship", 2, 4), (1, "sank", 1, 4), (1, "sink", 1, 4), (2, "ship", 1, 1), (None, "lost", 1, 2), (None, "ship", 1, 2)}
+    assert tuple(index.stats.first()) == (6, 7, 7 / 6) and index.terms.where("term = 'ship'").first()["df"] == 3
+    queries = spark.createDataFrame([("q1", "the sinking ships"), ("q2", None), ("q3", "area action"), (None, "ship")], "query_id string, text string")
+    terms = {(r["query_id"], r["term"]) for r in S.analyzed_queries(queries, ["a", "the"]).collect()}
+    assert terms == {("q1", "sink"), ("q1", "ship"), ("q3", "area")} - {("q3", "area")}
+    hits = S.default_similarity(index, queries)
+    assert [r["doc_id"] for r in hits.orderBy("rank").collect()][0] == 1 and "Exchange hashpartitioning(query_id" in (plan := hits._jdf.queryExecution().toString())
+    assert "Exchange hashpartitioning(doc_id" not in plan and "hashpartitioning(query_id, doc_id" not in plan
+    assert S.term_lookup(index, "sink").collect()[0]["doc_id"] == 1
+    empty = I.build_index(docs.limit(0), str(tmp_path / "e"))
+    assert S.bm25(empty, queries).count() == 0
 
 
 def test_graph_tiny(spark):
