@@ -319,6 +319,34 @@ _RELEVANCE = rf"""rel AS (SELECT id, 1.0::DOUBLE + len(list_filter(k, lambda w:
 _USEFUL = "^(?:" + "|".join(x.removeprefix("^") for x in U.USELESS_LINKS) + ")"
 
 
+def _crawl_sql(rounds: int = 6) -> str:
+    """The crawl, unrolled; rounds after the frontier is empty add nothing (it takes 3 at sf0.01)."""
+    keys = _KEYS.replace("FROM document WHERE id IS NOT NULL", "FROM (SELECT id FROM document WHERE id IS NOT NULL UNION SELECT url FROM crawl_seed)")
+
+    def raised(score: str, n_in: str, new: str) -> str:
+        times = f"greatest(0, least({new}, 9 - {n_in}))"
+        return f"CASE WHEN {times} > 0 THEN round(round({score} + 0.0125::DOUBLE, 2) + ({times} - 1) * 0.01::DOUBLE, 2) ELSE {score} END"
+
+    wave = "coalesce(z.wave, f.pw + 1)"
+    fresh = f"round((0.4::DOUBLE * relevance + 0.3::DOUBLE * f.ps + 0.35::DOUBLE / {wave})::DECIMAL(18, 6), 2)::DOUBLE"
+    out = [f"""WITH {keys}, {_RELEVANCE}, {_GRAPH}, inl AS (SELECT DISTINCT {_CANON.format(_BARE)} AS src, id AS dst FROM (SELECT id, unnest(inlinks) AS link FROM document WHERE id IS NOT NULL) WHERE link <> ''),
+        rb AS (SELECT base, CASE WHEN status IN (401, 403) THEN false WHEN status >= 400 THEN true ELSE length(base) % 5 > 0 END AS ok FROM (
+            SELECT base, min(http_status) AS status FROM (SELECT http_status, {_BASE.format('id')} AS base FROM document WHERE id IS NOT NULL) GROUP BY base)),
+        there AS (SELECT id FROM (SELECT id, http_status, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, batch_no DESC NULLS LAST, http_status DESC NULLS LAST) AS nth
+            FROM document WHERE id IS NOT NULL) WHERE nth = 1 AND coalesce(http_status NOT IN (404, 410), true) UNION SELECT url FROM crawl_seed),
+        okp AS MATERIALIZED (SELECT id FROM (SELECT id, {_BASE.format('id')} AS base FROM there) LEFT JOIN rb USING (base) WHERE coalesce(ok, true)),
+        lk AS MATERIALIZED (SELECT src, dst FROM (SELECT src, dst FROM edges UNION SELECT src, dst FROM inl) WHERE regexp_matches(dst, '^http://(www|en)') AND NOT regexp_matches(dst, '{_USEFUL}')
+            AND src IN (SELECT id FROM okp) AND dst IN (SELECT id FROM okp)),
+        z0 AS (SELECT url, max(score) AS score, min(wave) AS wave, 0::BIGINT AS n_in, NULL::INT AS turn FROM crawl_seed WHERE url IN (SELECT id FROM okp) GROUP BY url)"""]
+    for i in range(1, rounds + 1):
+        out.append(f"""t{i} AS MATERIALIZED (SELECT url, score, wave FROM z{i - 1} WHERE turn IS NULL ORDER BY score DESC, url LIMIT 1000),
+            f{i} AS MATERIALIZED (SELECT dst AS url, first(score ORDER BY score DESC, src) AS ps, first(wave ORDER BY score DESC, src) AS pw, count(*) AS n FROM lk JOIN t{i} ON url = src GROUP BY dst),
+            y{i} AS (SELECT url, score, wave, n_in, coalesce(turn, CASE WHEN url IN (SELECT url FROM t{i}) THEN {i} END) AS turn FROM z{i - 1}),
+            z{i} AS MATERIALIZED (SELECT coalesce(z.url, f.url) AS url, CASE WHEN z.score IS NULL THEN {raised(fresh, "1", "n - 1")} WHEN z.turn IS NULL AND n IS NOT NULL THEN {raised("z.score", "z.n_in", "n")} ELSE z.score END AS score,
+                {wave} AS wave, coalesce(z.n_in, 0) + coalesce(n, 0) AS n_in, z.turn FROM y{i} z FULL JOIN f{i} f ON z.url = f.url LEFT JOIN rel ON rel.id = coalesce(z.url, f.url))""")
+    return ", ".join(out) + f" SELECT url, score, wave::INT AS wave, turn::INT AS turn FROM z{rounds} WHERE turn IS NOT NULL"
+
+
 def _first_last(order: str) -> str:
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no {order}, fetched_at {order}, http_status {order}) AS nth FROM document WHERE id IS NOT NULL) WHERE nth = 1)"
 
@@ -382,11 +410,12 @@ def oracle_sql() -> dict[str, str]:
         "top500": f"""WITH {_GRAPH}, dg AS (SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS n_in, (SELECT count(*) FROM edges WHERE src = id) AS n_out FROM nodes)
             SELECT id, n_in::DOUBLE AS score, n_in, n_out FROM dg ORDER BY n_in DESC, id LIMIT 500""",
         "expand_base": f"""WITH {_PAGES}, {_ROOT}, {_GRAPH}, {_CLOSED}, i AS (SELECT src, row_number() OVER (PARTITION BY dst ORDER BY src) AS n FROM closed WHERE dst IN (SELECT id FROM roots))
-            SELECT id FROM roots UNION SELECT dst FROM closed WHERE src IN (SELECT id FROM roots) UNION SELECT src FROM i WHERE n <= 21""",
+            SELECT id FROM roots UNION SELECT dst FROM closed WHERE src IN (SELECT id FROM roots) UNION SELECT src FROM i WHERE n <= 201""",
         "hits_10": _hits_sql(),
         "salsa_hub_3": _salsa_sql("src", "dst", 3),
         "salsa_auth_5": _salsa_sql("dst", "src", 5),
         "bounded_path": _path_sql(),
+        "frontier_simulation": _crawl_sql(),
         "merge_assessors": f"WITH {_MERGED} SELECT * FROM merged",
         "precision_recall_f1_at_k": f"""{_JUDGED}, l AS (SELECT query_id, max(rank) AS retrieved, max(n_rel) AS n_rel FROM j GROUP BY query_id),
             k AS (SELECT *, unnest([5, 10, 15, 20, 30, 100, 200, 500, 1000])::INT AS k FROM l),
