@@ -45,9 +45,21 @@ _TOP = """SELECT query_id, doc_id, grade, row_number() OVER (PARTITION BY query_
 _RUNS = r"""
     WITH l AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
     r AS (SELECT doc_id, unnest(range(len(ws) - 4)) AS pos, ws FROM l WHERE len(ws) >= 5),
-    n AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, ws[pos + 1:pos + 5] ORDER BY pos) AS nth FROM r),
+    n AS (SELECT doc_id, pos, ws[pos + 1:pos + 5] AS run, row_number() OVER (PARTITION BY doc_id, ws[pos + 1:pos + 5] ORDER BY pos) AS nth FROM r),
     c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 5)) AS w FROM n WHERE nth > 1),
     s AS (SELECT doc_id, count(*) AS repeated FROM c GROUP BY doc_id)"""
+# repeats of one distance in a row are one longer repeat
+_REPETITION = """, q AS (SELECT a.doc_id, a.pos, b.pos - a.pos AS far FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.pos < b.pos AND a.run = b.run),
+    i AS (SELECT doc_id, far, pos - row_number() OVER (PARTITION BY doc_id, far ORDER BY pos) AS island FROM q),
+    g AS (SELECT doc_id, max(k) + 4 AS longest FROM (SELECT doc_id, count(*) AS k FROM i GROUP BY doc_id, far, island) GROUP BY doc_id)
+    SELECT l.doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(repeated, 0)::BIGINT AS repeated_words, CASE WHEN len(ws) > 0 THEN coalesce(repeated, 0) / len(ws) ELSE 0 END::DOUBLE AS repeated_share,
+        coalesce(longest, 0)::BIGINT AS longest_repeat FROM l LEFT JOIN s USING (doc_id) LEFT JOIN g USING (doc_id)"""
+_LONGEST = """, ip AS (SELECT item_id, ws[pos + 1:pos + 12] AS run, pos AS a FROM (SELECT item_id, ws, unnest(range(len(ws) - 11)) AS pos FROM i WHERE len(ws) >= 12)),
+    dp AS (SELECT doc_id, ws[pos + 1:pos + 12] AS run, pos AS b FROM (SELECT doc_id, ws, unnest(range(len(ws) - 11)) AS pos FROM d WHERE len(ws) >= 12)),
+    q AS (SELECT doc_id, item_id, b, b - a AS far, b - row_number() OVER (PARTITION BY doc_id, item_id, b - a ORDER BY b) AS island FROM ip JOIN dp USING (run)),
+    g AS (SELECT doc_id, item_id, count(*) + 11 AS n_words, min(b) AS first_word FROM q GROUP BY doc_id, item_id, far, island)
+    SELECT doc_id, item_id, n_words::INT AS n_words, first_word::INT AS first_word FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, first_word) AS nth FROM g) WHERE nth = 1"""
 _PASSAGES = r"""
     WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items),
     ir AS (SELECT DISTINCT item_id, ws[pos + 1:pos + 12] AS run FROM (SELECT item_id, ws, unnest(range(len(ws) - 11)) AS pos FROM i WHERE len(ws) >= 12)),
@@ -91,5 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "p7_top_items": f"SELECT * FROM ({_TOP}) WHERE rank <= 10",
         "p9_found": f"{_PASSAGES} SELECT doc_id, item_id FROM f",
         "p9_clean_documents": f"{_PASSAGES} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)",
+        "p9_passages": f"{_PASSAGES} {_LONGEST}",
+        "p10_repetition": f"{_RUNS} {_REPETITION}",
         "p10_found": f"{_RUNS} SELECT doc_id FROM s JOIN l USING (doc_id) WHERE len(ws) >= 20 AND 10 * repeated >= 3 * len(ws)",
     }
