@@ -1,7 +1,8 @@
 """Link graphs: inversion, synchronisation, PageRank, HITS, SALSA, base sets and bounded shortest paths.
 
-A graph is ``nodes`` (id) and distinct ``edges`` (src, dst).  Loops run on the driver, one lineage cut per round;
-sums over all nodes are one-row tables.
+A graph is ``nodes`` (id) and distinct ``edges`` (src, dst).  Loops number the nodes once and carry numbers; edges and state are
+laid out by number once, so that a round ships only sums per target that each task has made.  There is one lineage cut per round, and the
+one before is deleted; sums over all nodes are one-row tables.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seamark.functions.urls import base_url, link_target
-from seamark.session import cut_lineage
+from seamark.session import cut_lineage, forget, keep_layout, lay_out, parallelism, store
 
 
 def page_graph(document: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,6 +37,26 @@ def inlinks(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_set("src")).alias("links"))
 
 
+def inlink_blocks(edges: DataFrame, size: int = 10_000) -> DataFrame:
+    """(id, block, links): the sorted sources of every target in blocks of about ``size``, so that no page's list outgrows a task."""
+    n = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+    block = F.pmod(F.xxhash64("src"), F.coalesce(F.ceil(F.col("n") / size), F.lit(1))).cast("int")
+    return edges.join(n, "dst", "left").groupBy(F.col("dst").alias("id"), block.alias("block")).agg(F.sort_array(F.collect_set("src")).alias("links"))
+
+
+def synced_documents(pages: DataFrame, edges: DataFrame, histories: list[DataFrame] = ()) -> DataFrame:
+    """Stored pages (id, text, inlinks, outlinks, one row per id) with their links made anew from the graph.
+
+    Inlinks are the crawled pages that link to them, outlinks their targets, those that no history knows collapsed to their host; both
+    sorted, empty where there are none.
+    """
+    nodes = pages.select("id")
+    into = inlinks(closed(nodes, edges)).withColumnRenamed("links", "inlinks")
+    out = collapse_uncrawled(nodes, edges, histories).groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("outlinks"))
+    none = F.array().cast("array<string>")
+    return pages.select("id", "text").join(into, "id", "left").join(out, "id", "left").select("id", "text", F.coalesce("inlinks", none).alias("inlinks"), F.coalesce("outlinks", none).alias("outlinks"))
+
+
 def complete(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
     """Adjacency of all nodes, empty where there is none."""
     return nodes.join(adjacency, "id", "left").select("id", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
@@ -70,23 +91,67 @@ def verify_inlinks(stored: DataFrame, edges: DataFrame) -> DataFrame:
     return mine.join(computed, "id", "full").fillna(-1, ["n_stored", "n_computed"]).where("n_stored <> n_computed")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = 8, damping: float = 0.85, calm: int = 8, most: int = 100) -> DataFrame:
+def numbered(nodes: DataFrame) -> DataFrame:
+    """(id, n): the distinct nodes, each with a number."""
+    return store(nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()))
+
+
+def _by_number(edges: DataFrame, names: DataFrame, end: str) -> DataFrame:
+    """Edges with one end as a number; those whose end has none are left out."""
+    return edges.join(names.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n")), end).drop(end).withColumnRenamed(f"{end}_n", end)
+
+
+class Ways:
+    """Edges laid out by one end; those of very large nodes are left spread and meet the state by a broadcast of its few rows."""
+
+    def __init__(self, edges: DataFrame, end: str):
+        self.end = end
+        many = cut_lineage(edges.groupBy(end).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1000))
+        self.some = not many.isEmpty()
+        self.large = many.select(end)
+        if self.some:
+            fair = edges.count() / parallelism(edges.sparkSession)
+            self.large = cut_lineage(many.where(F.col("c") > fair / 2).select(end), many)  # at most 2 per partition
+            self.some = not self.large.isEmpty()
+        self.near = lay_out(edges.join(F.broadcast(self.large), end, "left_anti") if self.some else edges, end)
+        self.spread = cut_lineage(edges.join(F.broadcast(self.large), end, "left_semi")) if self.some else None
+
+    def meet(self, state: DataFrame) -> DataFrame:
+        """The edges with the state (a row per node, laid out) of their end."""
+        out = self.near.join(state, self.end)
+        if not self.some:
+            return out
+        few = F.broadcast(state.join(F.broadcast(self.large), self.end, "left_semi"))
+        return out.unionByName(self.spread.join(few, self.end))
+
+    def forget(self) -> None:
+        for df in (self.near, self.spread, self.large):
+            if df is not None:
+                forget(df)
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = 8, damping: float = 0.85, calm: int = 8, most: int = 100, closed_graph: bool = False) -> DataFrame:
     """(id, score) after ``rounds`` rounds, or with None after ``calm`` rounds in total that changed the perplexity by less than 1.
 
-    Out-degrees count all targets, so mass leaks to targets that are no nodes; sinks share theirs evenly.
+    Out-degrees count all targets, so mass leaks to targets that are no nodes; with ``closed_graph`` only edges between nodes count.
+    Sinks share theirs evenly.
     """
-    n = nodes.count()
+    names = numbered(nodes)
+    n = names.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("score"))
+    edges = closed(nodes, edges) if closed_graph else edges
     weight = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
-    ways = cut_lineage(edges.join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").join(weight, "src"))
-    state = cut_lineage(nodes.join(weight.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("n_out").isNull().alias("sink"), F.lit(1.0 / n).alias("score")))
+    weight = store(_by_number(weight, names, "src"))
+    ways = Ways(_by_number(_by_number(edges, names, "src"), names, "dst"), "src")
+    state = names.select("n").join(weight.withColumnRenamed("src", "n"), "n", "left").select("n", "n_out", F.lit(1.0 / n).alias("score"))
+    state = lay_out(state, "n")
     before, quiet, turn = None, 0, 0
     while turn < (most if rounds is None else rounds):
-        lost = F.broadcast(state.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0)).alias("lost")))  # one row
-        flow = ways.join(state.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("n_out")).alias("flow"))
+        lost = F.broadcast(state.agg(F.coalesce(F.sum(F.when(F.col("n_out").isNull(), F.col("score"))), F.lit(0.0)).alias("lost")))  # one row
+        flow = ways.meet(state.select(F.col("n").alias("src"), (F.col("score") / F.col("n_out")).alias("part"))).groupBy(F.col("dst").alias("n")).agg(F.sum("part").alias("flow"))
         new = (1 - damping) / n + damping * F.col("lost") / n + damping * F.coalesce("flow", F.lit(0.0))
-        state = cut_lineage(state.select("id", "sink").join(flow, "id", "left").crossJoin(lost).select("id", "sink", new.alias("score")))
+        state = keep_layout(state.select("n", "n_out").join(flow, "n", "left").crossJoin(lost).select("n", "n_out", new.alias("score")), state)
         turn += 1
         if rounds is None:
             now = perplexity(state).first()["perplexity"]
@@ -94,7 +159,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = 8, damping
             before = now
             if quiet >= calm:
                 break
-    return state.select("id", "score")
+    ways.forget()
+    return names.join(state, "n").select("id", "score")
 
 
 def perplexity(scores: DataFrame, strict: bool = True) -> DataFrame:
@@ -104,23 +170,36 @@ def perplexity(scores: DataFrame, strict: bool = True) -> DataFrame:
     return scores.agg(F.when(F.coalesce(F.min(p), F.lit(0.0)) <= 0, 0.0).otherwise(value).alias("perplexity") if strict else value.alias("perplexity"))
 
 
-def _norm(scores: DataFrame, out: str) -> DataFrame:
-    length = F.broadcast(scores.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")))
-    return scores.crossJoin(length).select("id", F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(0.0).alias(out))
+def _length(scores: DataFrame, of: str) -> DataFrame:
+    """One row: the length of a column as a vector."""
+    return F.broadcast(scores.agg(F.sqrt(F.sum(F.col(of) * F.col(of))).alias("length")))
 
 
 def hits(base: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, authority, hub), both of length 1, over the edges within ``base``; 0 everywhere if nothing links."""
-    inner = cut_lineage(closed(base, edges))
-    base = cut_lineage(base.select("id").distinct())
-    hub = base.select("id", F.lit(1.0).alias("hub"))
-    authority = base.select("id", F.lit(0.0).alias("authority"))
-    for _ in range(rounds):
-        got = inner.join(hub.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("x"))
-        authority = cut_lineage(_norm(base.join(got, "id", "left").fillna(0.0, ["x"]), "authority"))
-        got = inner.join(authority.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("x"))
-        hub = cut_lineage(_norm(base.join(got, "id", "left").fillna(0.0, ["x"]), "hub"))
-    return authority.join(hub, "id")
+    """(id, authority, hub), both of length 1, over the edges within ``base``; 0 everywhere if nothing links.
+
+    Lengths don't change directions, so a round goes from hubs to authorities to hubs, and hubs are brought to length 1 before the next.
+    """
+    names = numbered(base)
+    inner = cut_lineage(_by_number(_by_number(edges, names, "src"), names, "dst"))
+    by_src, by_dst = Ways(inner, "src"), Ways(inner, "dst")
+    forget(inner)
+    state = lay_out(names.select("n", F.lit(0.0).alias("authority"), F.lit(1.0).alias("hub")), "n")
+    scale = F.lit(1.0)
+    for turn in range(rounds):
+        hub = state.select(F.col("n").alias("src"), "hub")
+        if turn:
+            scale = F.when(F.col("length") > 0, 1 / F.col("length")).otherwise(0.0)
+            hub = hub.crossJoin(_length(state, "hub"))
+        authority = by_src.meet(hub.select("src", (F.col("hub") * scale).alias("hub"))).groupBy("dst").agg(F.sum("hub").alias("authority"))
+        new = by_dst.meet(authority).groupBy("src").agg(F.sum("authority").alias("hub"))
+        both = state.select("n").join(authority.withColumnRenamed("dst", "n"), "n", "left").join(new.withColumnRenamed("src", "n"), "n", "left")
+        state = keep_layout(both.fillna(0.0, ["authority", "hub"]), state)
+    by_src.forget()
+    by_dst.forget()
+    unit = lambda c: F.when(F.col(f"{c}_length") > 0, F.col(c) / F.col(f"{c}_length")).otherwise(0.0).alias(c)
+    lengths = F.broadcast(state.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"{c}_length") for c in ("authority", "hub")]))  # one row
+    return names.join(state, "n").crossJoin(lengths).select("id", unit("authority"), unit("hub"))
 
 
 def salsa(base: DataFrame, edges: DataFrame, kind: str = "hub", rounds: int | None = None) -> DataFrame:
@@ -133,26 +212,38 @@ def salsa(base: DataFrame, edges: DataFrame, kind: str = "hub", rounds: int | No
         raise ValueError("kind is hub or authority")
     own, far = ("src", "dst") if kind == "hub" else ("dst", "src")
     rounds = rounds or (3 if kind == "hub" else 5)
-    deg = edges.groupBy(F.col(own).alias("id")).agg(F.count(F.lit(1)).alias("deg"))
+    names = numbered(base)
+    mine = edges.select(F.col(own).alias("own"), F.col(far).alias("far")).join(names.select(F.col("id").alias("own"), "n"), "own").select("n", "far")
+    far_names = numbered(mine.select(F.col("far").alias("id"))).withColumnsRenamed({"id": "far", "n": "f"})
     far_deg = edges.groupBy(F.col(far).alias("far")).agg(F.count(F.lit(1)).alias("far_deg"))
-    ways = cut_lineage(edges.select(F.col(own).alias("id"), F.col(far).alias("far")))
-    state = base.select("id").distinct().join(deg, "id", "left")
-    begun = F.broadcast(state.agg(F.count("deg").alias("begun")))
-    state = cut_lineage(state.crossJoin(begun).select("id", "deg", F.when(F.col("deg").isNotNull(), 1.0 / F.col("begun")).otherwise(0.0).alias("score")))
+    ways = cut_lineage(mine.join(far_names.join(far_deg, "far"), "far").select("n", "f", "far_deg"))
+    by_own, by_far = Ways(ways.select("n", "f"), "n"), Ways(ways, "f")
+    forget(ways)
+    deg = mine.groupBy("n").agg(F.count(F.lit(1)).alias("deg"))
+    state = names.select("n").join(deg, "n", "left")
+    begun = F.broadcast(deg.agg(F.count(F.lit(1)).alias("begun")))
+    state = lay_out(state.crossJoin(begun).select("n", "deg", F.when(F.col("deg").isNotNull(), 1.0 / F.col("begun")).otherwise(0.0).alias("score")), "n")
     for _ in range(rounds):
-        out = ways.join(state.where("deg IS NOT NULL").select("id", (F.col("score") / F.col("deg")).alias("x")), "id").groupBy("far").agg(F.sum("x").alias("t"))
-        back = out.join(far_deg, "far").select("far", (F.col("t") / F.col("far_deg")).alias("y"))
-        new = ways.join(back, "far").groupBy("id").agg(F.sum("y").alias("z"))
-        state = cut_lineage(state.join(new, "id", "left").select("id", "deg", F.coalesce("z", "score").alias("score")))
-    return state.select("id", "score")
+        out = by_own.meet(state.where("deg IS NOT NULL").select("n", (F.col("score") / F.col("deg")).alias("x"))).groupBy("f").agg(F.sum("x").alias("t"))
+        new = by_far.meet(out).groupBy("n").agg(F.sum(F.col("t") / F.col("far_deg")).alias("z"))
+        state = keep_layout(state.join(new, "n", "left").select("n", "deg", F.coalesce("z", "score").alias("score")), state)
+    by_own.forget()
+    by_far.forget()
+    return names.join(state, "n").select("id", "score")
 
 
-def expand_base(roots: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
-    """Roots, their crawled targets, and their crawled sources: all, or the first ``most`` + 1 in order where there are more than ``most``."""
+def expand_base(roots: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 200, order: str = "id") -> DataFrame:
+    """Roots, their crawled targets, and their crawled sources: all, or ``most`` + 1 of them where there are more than ``most``.
+
+    Those are the first by ``id``, or with ``order`` hash an even sample, the same each time.
+    """
+    if order not in ("id", "hash"):
+        raise ValueError("order is id or hash")
     inner = closed(nodes, edges)
     out = inner.join(roots.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
     into = inner.join(roots.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    some = into.withColumn("n", F.row_number().over(W.partitionBy("dst").orderBy("src"))).where(F.col("n") <= most + 1).select(F.col("src").alias("id"))
+    by = [F.xxhash64("src", "dst"), F.col("src")] if order == "hash" else [F.col("src")]
+    some = into.withColumn("n", F.row_number().over(W.partitionBy("dst").orderBy(*by))).where(F.col("n") <= most + 1).select(F.col("src").alias("id"))
     return roots.select("id").union(out).union(some).distinct()
 
 

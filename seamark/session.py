@@ -70,7 +70,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def lay_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Checkpoint of ``df`` that is hash partitioned and sorted by ``keys``, and known to be, so that windows and groups over them need no exchange.
+    """Checkpoint of ``df`` that is hash partitioned and sorted by ``keys``, and known to be, so that windows, groups and joins over them need no exchange."""
+    return keep_layout(df.repartition(parallelism(df.sparkSession), *keys).sortWithinPartitions(*keys))
+
+
+def keep_layout(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``cut_lineage`` that remembers how the rows are partitioned and sorted.
 
     Adaptive planning would hide the layout, so it is off while this one plan runs.
     """
@@ -78,7 +83,7 @@ def lay_out(df: DataFrame, *keys: str) -> DataFrame:
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut_lineage(df.repartition(parallelism(spark), *keys).sortWithinPartitions(*keys))
+        return cut_lineage(df, instead_of)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 

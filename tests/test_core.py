@@ -328,3 +328,38 @@ def test_catalogue_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and {"p3_found", "p5_found", "bm25_topk"} <= set(entry.queries())
+
+
+def test_large_nodes_are_spread(spark):
+    """A page with most of the edges goes another way than the others, with the same scores."""
+    edges = spark.createDataFrame([(f"s{i}", "hub") for i in range(3000)] + [("hub", f"s{i}") for i in range(1500)] + [(f"s{i}", f"s{i + 1}") for i in range(50)], "src string, dst string")
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    assert G.Ways(edges, "dst").some and G.Ways(edges, "src").some
+    rank = {r["id"]: r["score"] for r in G.pagerank(nodes, edges, rounds=2).collect()}
+    out = {}
+    for s, d in ((r["src"], r["dst"]) for r in edges.collect()):
+        out.setdefault(s, []).append(d)
+    want = dict.fromkeys(rank, 1 / len(rank))
+    for _ in range(2):
+        flow, lost = dict.fromkeys(want, 0.0), sum(v for k, v in want.items() if k not in out)
+        for s, ds in out.items():
+            for d in ds:
+                flow[d] += want[s] / len(ds)
+        want = {k: 0.15 / len(want) + 0.85 * (lost / len(want) + flow[k]) for k in want}
+    assert all(math.isclose(rank[k], want[k]) for k in want)
+    h = G.hits(nodes, edges, 3)
+    assert h.orderBy(F.desc("authority")).first()["id"] == "hub" and math.isclose(h.agg(F.sum(F.pow("authority", 2))).first()[0], 1.0)
+    assert math.isclose(G.salsa(nodes, edges).agg(F.sum("score")).first()[0], 1.0)
+
+
+def test_synced_documents_and_blocks(spark):
+    pages = spark.createDataFrame([("http://a/1", "t", ["x"], None), ("http://b/2", None, None, ["y"])], "id string, text string, inlinks array<string>, outlinks array<string>")
+    edges = spark.createDataFrame([("http://a/1", "http://b/2"), ("http://a/1", "http://c/9"), ("http://b/2", "http://c/8")], "src string, dst string")
+    got = {r["id"]: (r["inlinks"], r["outlinks"]) for r in G.synced_documents(pages, edges, [spark.createDataFrame([("http://c/8",)], "id string")]).collect()}
+    assert got == {"http://a/1": ([], ["http://b/2", "http://c"]), "http://b/2": (["http://a/1"], ["http://c/8"])}
+    many = spark.createDataFrame([(f"s{i:03}", "d") for i in range(95)] + [("s1", "e")], "src string, dst string")
+    blocks = [r for r in G.inlink_blocks(many, 10).collect() if r["id"] == "d"]
+    assert len(blocks) > 5 and sorted(x for b in blocks for x in b["links"]) == [f"s{i:03}" for i in range(95)]
+    with pytest.raises(ValueError):
+        G.expand_base(pages.select("id"), pages.select("id"), edges, order="x")
+    assert G.expand_base(pages.select("id").limit(1), pages.select("id"), edges, order="hash").count() == 2
