@@ -78,12 +78,21 @@ def interpolated(run: DataFrame, qrels: DataFrame, recalls: tuple[float, ...] =
     return rows.groupBy("query_id").agg(F.array(*parts).alias("x")).select("query_id", F.explode("x").alias("x")).select("query_id", "x.*")
 
 
-def ndcg(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(query_id, ndcg): gain of the run over that of its own documents sorted by grade; 0 without any gain."""
+def ndcg(run: DataFrame, qrels: DataFrame, ideal: str = "run") -> DataFrame:
+    """(query_id, ndcg): gain of the run over that of the ideal order; 0 without any gain.
+
+    The ideal order is that of the run's own documents by grade, or with ``ideal`` qrels that of all judged ones, as many as the run has.
+    """
+    if ideal not in ("run", "qrels"):
+        raise ValueError("ideal is run or qrels")
     rows = judged(run, qrels)
-    ideal = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade"), "rank"))
     gain = lambda at: F.when(F.col(at) == 1, F.col("grade").cast("double")).otherwise(F.col("grade") / F.log2(F.col(at)))
-    sums = rows.withColumn("ideal", ideal).groupBy("query_id").agg(F.sum(gain("rank")).alias("dcg"), F.sum(gain("ideal")).alias("idcg"))
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade"), "rank"))
+    sums = rows.withColumn("ideal", best).groupBy("query_id").agg(F.sum(gain("rank")).alias("dcg"), F.sum(gain("ideal")).alias("idcg"), F.count(F.lit(1)).alias("size"))
+    if ideal == "qrels":
+        order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id"))
+        all_ = qrels.withColumn("ideal", order).join(sums.select("query_id", "size"), "query_id").where(F.col("ideal") <= F.col("size"))
+        sums = sums.drop("idcg").join(all_.groupBy("query_id").agg(F.sum(gain("ideal")).alias("idcg")), "query_id")
     return sums.select("query_id", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
 
 
@@ -108,3 +117,27 @@ def means_at_cutoffs(run: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...]
 def pr_curve(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """Mean interpolated precision per recall level."""
     return interpolated(run, qrels).groupBy("recall_level").agg(F.avg("precision").alias("precision"))
+
+
+def report(run: DataFrame, qrels: DataFrame, f1_cutoffs: tuple[int, ...] = (5, 10, 20, 50, 100), per_query: bool = False) -> DataFrame:
+    """The printed report in long form: (measure, cutoff, value), and query_id if ``per_query``; means over all queries, a null F1 counting as 0.
+
+    Measures: retrieved, relevant and relevant_retrieved documents, precision at recall levels (interpolated), ap, precision and f1 at
+    cutoffs, r_precision and ndcg.  The cutoff is null where a measure has none.
+    """
+    rows = judged(run, qrels)
+    per = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved"), F.max("n_rel").alias("relevant"), F.max("hits").alias("relevant_retrieved"))
+    line = lambda df, measure, value, cutoff=None: df.select("query_id", F.lit(measure).alias("measure"), (F.lit(None) if cutoff is None else F.col(cutoff)).cast("double").alias("cutoff"), F.col(value).cast("double").alias("value"))
+    f1 = at_cutoffs(run, qrels, f1_cutoffs).withColumn("f1", F.coalesce("f1", F.lit(0.0)))
+    lines = [line(per, c, c) for c in ("retrieved", "relevant", "relevant_retrieved")] + [
+        line(interpolated(run, qrels), "interpolated", "precision", "recall_level"), line(average_precision(run, qrels), "ap", "ap"),
+        line(at_cutoffs(run, qrels), "precision", "precision", "k"), line(r_precision(run, qrels), "r_precision", "r_precision"),
+        line(f1, "f1", "f1", "k"), line(ndcg(run, qrels), "ndcg", "ndcg"),
+    ]
+    every = lines[0]
+    for x in lines[1:]:
+        every = every.unionByName(x)
+    if per_query:
+        return every
+    total = F.col("measure").isin("retrieved", "relevant", "relevant_retrieved")
+    return every.groupBy("measure", "cutoff").agg(F.sum("value").alias("s"), F.avg("value").alias("m")).select("measure", "cutoff", F.when(total, F.col("s")).otherwise(F.col("m")).alias("value"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from seamark.plans import problems, reference
+from seamark.plans import formats, problems, reference
 
 
 def queries() -> dict:
-    return reference.queries() | problems.queries()
+    return reference.queries() | formats.queries() | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.oracle_sql() | problems.oracle_sql()
+    return reference.oracle_sql() | formats.oracle_sql() | problems.oracle_sql()

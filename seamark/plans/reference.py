@@ -94,6 +94,11 @@ def _weighted(s, d) -> DataFrame:
     return a.union(b).where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w"))
 
 
+def _synced(s, d) -> DataFrame:
+    out = G.synced_documents(_pages(s, d), _graph(s, d)[1], [table(s, d, "crawl_seed").select(F.col("url").alias("id"))])
+    return out.select("id", F.length("text").alias("n_chars"), F.array_join("inlinks", " ").alias("inlinks"), F.array_join("outlinks", " ").alias("outlinks"))
+
+
 def _link_scores(s, d) -> DataFrame:
     """Score of every link between crawled pages; the parent's score is its relevance, countries are penalised."""
     doc = table(s, d, "document").where("id IS NOT NULL")
@@ -159,6 +164,8 @@ def queries() -> dict:
         "crawled_inlinks": lambda s, d: G.inlinks(G.closed(*_graph(s, d))).select("id", F.array_join("links", " ").alias("links")),
         "outlinks_from_inlinks": lambda s, d: G.from_inlinks(page(s, d))[1],
         "domain_collapse": lambda s, d: G.collapse_uncrawled(*_graph(s, d), [table(s, d, "crawl_seed").select(F.col("url").alias("id"))]),
+        "synced_documents": _synced,
+        "inlink_blocks": lambda s, d: G.inlink_blocks(_graph(s, d)[1], 20).groupBy("id").agg(F.sum(F.size("links")).alias("n"), F.array_join(F.sort_array(F.flatten(F.collect_list("links"))), " ").alias("links")),
         "verify_inlinks": lambda s, d: G.verify_inlinks(_pages(s, d).select("id", F.array_distinct(F.coalesce("inlinks", F.array().cast("array<string>"))).alias("links")), G.closed(*_graph(s, d))),
         "pagerank_8": lambda s, d: _round(G.pagerank(*_graph(s, d), rounds=8), "score", places=10),
         "perplexity": lambda s, d: _round(G.perplexity(G.pagerank(*_graph(s, d), rounds=8)), "perplexity", places=4),
@@ -180,6 +187,8 @@ def queries() -> dict:
         "interpolated_pr": lambda s, d: _round(E.interpolated(*_judged(s, d)), "precision"),
         "ndcg": lambda s, d: _round(E.ndcg(*_judged(s, d)), "ndcg"),
         "eval_summary": lambda s, d: _round(E.summary(*_judged(s, d)), "map", "r_precision", "ndcg", places=6),
+        "eval_report": lambda s, d: _round(E.report(*_judged(s, d)), "value", places=6),
+        "ndcg_all_judged": lambda s, d: _round(E.ndcg(*_judged(s, d), ideal="qrels"), "ndcg"),
         "eval_means_at_k": lambda s, d: _round(E.means_at_cutoffs(*_judged(s, d)), "precision", "recall", "f1", places=6),
         "pr_curve": lambda s, d: _round(E.pr_curve(*_judged(s, d)), "precision", places=6),
     }
@@ -402,6 +411,11 @@ def oracle_sql() -> dict[str, str]:
         "crawled_inlinks": f"WITH {_GRAPH}, {_CLOSED} SELECT dst AS id, string_agg(src, ' ' ORDER BY src) AS links FROM closed GROUP BY dst",
         "outlinks_from_inlinks": f"SELECT DISTINCT {_CANON.format(_BARE)} AS src, id AS dst FROM (SELECT id, unnest(inlinks) AS link FROM document WHERE id IS NOT NULL) WHERE link <> ''",
         "domain_collapse": f"WITH {_GRAPH} SELECT DISTINCT src, CASE WHEN dst IN (SELECT id FROM nodes UNION SELECT url FROM crawl_seed) THEN dst ELSE {_BASE.format('dst')} END AS dst FROM edges",
+        "synced_documents": f"""WITH {_PAGES}, {_GRAPH}, {_CLOSED}, i AS (SELECT dst AS id, string_agg(src, ' ' ORDER BY src) AS inlinks FROM closed GROUP BY dst),
+            c AS (SELECT DISTINCT src, CASE WHEN dst IN (SELECT id FROM nodes UNION SELECT url FROM crawl_seed) THEN dst ELSE {_BASE.format('dst')} END AS dst FROM edges),
+            o AS (SELECT src AS id, string_agg(dst, ' ' ORDER BY dst) AS outlinks FROM c GROUP BY src)
+            SELECT id, length(text)::INT AS n_chars, coalesce(i.inlinks, '') AS inlinks, coalesce(o.outlinks, '') AS outlinks FROM pages LEFT JOIN i USING (id) LEFT JOIN o USING (id)""",
+        "inlink_blocks": f"WITH {_GRAPH} SELECT dst AS id, count(*) AS n, string_agg(src, ' ' ORDER BY src) AS links FROM edges GROUP BY dst",
         "verify_inlinks": f"""WITH {_GRAPH}, {_CLOSED}, {_PAGES}, m AS (SELECT id, len(list_distinct(coalesce(inlinks, []))) + (list_contains(list_transform(coalesce(inlinks, []), lambda x: x IS NULL), true))::INT AS n FROM pages),
             c AS (SELECT dst AS id, count(*) AS k FROM closed GROUP BY dst)
             SELECT id, coalesce(n, -1)::BIGINT AS n_stored, coalesce(k, -1)::BIGINT AS n_computed FROM m FULL JOIN c USING (id) WHERE coalesce(n, -1) <> coalesce(k, -1)""",
@@ -432,5 +446,17 @@ def oracle_sql() -> dict[str, str]:
         "eval_summary": f"""{_JUDGED}, {_AP}, {_RP}, {_ND}, q AS (SELECT query_id, count(*) AS retrieved, max(n_rel) AS n_rel, max(hits) AS hits FROM j GROUP BY query_id)
             SELECT count(*) AS n_queries, sum(retrieved)::BIGINT AS retrieved, sum(n_rel)::BIGINT AS relevant, sum(hits)::BIGINT AS relevant_retrieved,
             round(avg(ap), 6) AS map, round(avg(r_precision), 6) AS r_precision, round(avg(ndcg), 6) AS ndcg FROM q JOIN ap USING (query_id) JOIN rp USING (query_id) JOIN nd USING (query_id)""",
+        "ndcg_all_judged": f"""{_JUDGED}, {_ND}, a AS (SELECT query_id, max(rank) AS size, sum(CASE WHEN rank = 1 THEN grade ELSE grade / log2(rank) END) AS dcg FROM j GROUP BY query_id),
+            w AS (SELECT query_id, CASE WHEN grade = 2 THEN 1 ELSE grade END AS grade, row_number() OVER (PARTITION BY query_id ORDER BY (grade > 0)::INT DESC, doc_id) AS ideal FROM merged),
+            b AS (SELECT query_id, sum(CASE WHEN ideal = 1 THEN grade ELSE grade / log2(ideal) END) AS idcg FROM w JOIN a USING (query_id) WHERE ideal <= size GROUP BY query_id)
+            SELECT query_id, round(coalesce(dcg / nullif(idcg, 0), 0), 8) AS ndcg FROM a JOIN b USING (query_id)""",
+        "eval_report": f"""{_JUDGED}, {_AP}, {_RP}, {_ND}, {_IP}, q AS (SELECT query_id, count(*) AS retrieved, max(n_rel) AS n_rel, max(hits) AS hits FROM j GROUP BY query_id),
+            k AS (SELECT query_id, retrieved, n_rel, unnest([5, 10, 15, 20, 30, 50, 100, 200, 500, 1000])::INT AS k FROM q),
+            p AS (SELECT k.query_id, k, j.hits / k AS p, j.hits / k.n_rel AS r FROM k JOIN j ON j.query_id = k.query_id AND j.rank = least(k, retrieved)),
+            v AS (SELECT 'retrieved' AS measure, NULL::DOUBLE AS cutoff, sum(retrieved)::DOUBLE AS value FROM q UNION ALL SELECT 'relevant', NULL, sum(n_rel) FROM q UNION ALL SELECT 'relevant_retrieved', NULL, sum(hits) FROM q
+                UNION ALL SELECT 'interpolated', recall_level, avg(precision) FROM ip GROUP BY recall_level UNION ALL SELECT 'ap', NULL, avg(ap) FROM ap UNION ALL SELECT 'r_precision', NULL, avg(r_precision) FROM rp
+                UNION ALL SELECT 'ndcg', NULL, avg(ndcg) FROM nd UNION ALL SELECT 'precision', k, avg(p) FROM p WHERE k <> 50 GROUP BY k
+                UNION ALL SELECT 'f1', k, avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) FROM p WHERE k IN (5, 10, 20, 50, 100) GROUP BY k)
+            SELECT measure, cutoff, round(value, 6) AS value FROM v""",
         "pr_curve": f"{_JUDGED}, {_IP} SELECT recall_level, round(avg(precision), 6) AS precision FROM ip GROUP BY recall_level",
     }

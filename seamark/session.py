@@ -60,10 +60,11 @@ def forget(df: DataFrame) -> None:
     except Exception:  # no checkpoint
         return
     if path.isDefined():
-        _delete(df.sparkSession, path.get())
+        delete(df.sparkSession, path.get())
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared storage."""
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
@@ -110,7 +111,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     def remove() -> None:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session is gone; the folder's owner cleans up
             pass
 

@@ -12,7 +12,7 @@ from seamark.operators import evaluate as E
 from seamark.operators import graph as G
 from seamark.operators import index as I
 from seamark.operators import search as S
-from seamark.operators.crawl import crawl, robots_allowed
+from seamark.operators.crawl import crawl, robots_allowed, robots_rules
 from seamark.operators.heavy_keys import dominant_link_sources, key_load
 from seamark.operators.orphans import missing_references, orphan_references
 from seamark.sources import trec as T
@@ -258,6 +258,25 @@ def test_crawl_counts_every_inlink_of_a_batch(spark):
     assert scores["http://www.a/99"] == 0.59 and scores["http://www.a/new"] == 1.86  # nine of twelve count, with the new page's first one in its own score
 
 
+def test_broken_crawl_goes_on(spark, tmp_path):
+    links = [(f"http://www.a/{i}", f"http://www.a/{i + 1}") for i in range(8)]
+    args = spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([("http://www.a/0", 4.0, 1)], "url string, score double, wave int")
+    whole = {tuple(r) for r in crawl(*args, None, 2).collect()}
+    saved = str(tmp_path / "saved")
+    assert crawl(*args, 4, 2, saved=saved).count() == 4
+    assert {tuple(r) for r in crawl(*args, None, 2, saved=saved).collect()} == whole and len(list((tmp_path / "saved").iterdir())) == 2
+
+
+def test_robots_rules(spark):
+    body = "User-agent: other\nDisallow: /\n\nUser-agent: a\nUser-agent: *  # all\nAllow: /private/open\nDisallow: /private\nDisallow:\n"
+    robots = spark.createDataFrame([("http://a", 200, body), ("http://b", 200, None), ("http://c", 404, body), (None, 200, body)], "base_url string, status int, body string")
+    rules = robots_rules(robots).join(robots.select("base_url", "status", F.lit(None).cast("boolean").alias("allowed")), "base_url")
+    pages = spark.createDataFrame([(f"http://{h}{p}", 1) for h in "abcd" for p in ("/private/x", "/private/open/y", "/z", "")], "id string, status int")
+    got = {r["id"] for r in robots_allowed(pages, rules).collect()}
+    assert got == {r["id"] for r in pages.collect()} - {"http://a/private/x"}
+    assert robots_rules(robots, agent="Other-bot").where("base_url = 'http://a'").first()["rules"][0]["path"] == "/"
+
+
 def test_registered_crawl_leaves_the_seeds(spark, tmp_path):
     from seamark.plans import reference as R
 
@@ -304,15 +323,17 @@ def test_means_at_cutoffs_count_a_null_f1_as_0(spark):
 
 
 def test_stream_upserts(spark, tmp_path):
-    from seamark.streaming.indexing import stream_upserts
+    from seamark.streaming.indexing import read_upserts, stream_upserts
 
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     S = "id string, text string, inlinks array<string>, outlinks array<string>, fetched_at timestamp"
     for n, rows in enumerate(([("a", "1", ["x"], None, None)], [("a", "2", ["y"], None, None), ("b", "1", None, None, None)])):
         spark.createDataFrame(rows, S).coalesce(1).write.mode("append").parquet(src)
         stream_upserts(spark.readStream.schema(S).parquet(src), out, str(tmp_path / "cp")).awaitTermination()
-    last = max(p.name for p in (tmp_path / "out").iterdir())
-    assert {r["id"]: sorted(r["inlinks"]) for r in spark.read.parquet(f"{out}/{last}").collect()} == {"a": ["x", "y"], "b": []}
+        buckets = {p.name: sorted(v.name for v in p.iterdir() if v.name[0] == "v") for p in (tmp_path / "out").iterdir()}
+    assert {r["id"]: sorted(r["inlinks"] or []) for r in read_upserts(spark, out).collect()} == {"a": ["x", "y"], "b": []}
+    assert sorted(buckets.values()) in ([["version=0", "version=1"], ["version=1"]], [["version=0", "version=1"]])  # only touched buckets are written
+    assert read_upserts(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_nothing_imports_the_optional_subpackage():
