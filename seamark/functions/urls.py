@@ -54,11 +54,25 @@ def base_url(url: Column) -> Column:
     return F.concat(F.regexp_extract(url, r"^([a-zA-Z][^:/?#]*)://", 1), F.lit("://"), F.regexp_extract(url, AUTHORITY, 1))
 
 
+def without_dots(url: Column) -> Column:
+    """Url whose path has no ``.`` and ``..`` parts; those that would leave the root are dropped."""
+    head = F.regexp_extract(url, r"^([a-zA-Z][^:/?#]*://[^/?#]*)", 1)
+    path, rest = F.regexp_extract(url, r"^[a-zA-Z][^:/?#]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, r"([?#].*)$", 1)
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.regexp_replace(done, "/[^/]*$", "")).when(part == ".", done).otherwise(F.concat(done, F.lit("/"), part))
+
+    # a path begins with a slash, so its first part is empty
+    clean = F.aggregate(F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/"))), F.lit(""), step)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(head, F.when(clean == "", "/").otherwise(clean), F.when(path.rlike(r"/\.\.?$") & ~clean.endswith("/") & (clean != ""), "/").otherwise(""), rest)).otherwise(url)
+
+
 def canonical_url(url: Column, parent: Column) -> Column:
     """Canonical form of a link found on page ``parent``.
 
     ``:80``, ``:443`` and the s of https go wherever they stand, the part from ``#`` goes, a leading ``../``
-    or ``/`` is resolved against the parent, and scheme and host become lower case.
+    or ``/`` is resolved against the parent (what is left of the link may lead further up), parts that are dots go, and scheme and host
+    become lower case.
     """
     bare = F.replace(F.replace(F.replace(url, F.lit(":80"), F.lit("")), F.lit(":443"), F.lit("")), F.lit("https"), F.lit("http"))
     bare = F.substring_index(bare, "#", 1)
@@ -69,6 +83,7 @@ def canonical_url(url: Column, parent: Column) -> Column:
         .when(bare.startswith("/"), F.concat(base_url(parent), bare))
         .otherwise(bare)
     )
+    whole = without_dots(whole)
     base = base_url(whole)
     return F.concat(F.lower(F.substring(whole, F.lit(1), F.length(base))), F.substring(whole, F.length(base) + 1, F.length(whole)))
 

@@ -78,12 +78,12 @@ def _crawl(s, d) -> DataFrame:
     return C.crawl(links, seeds, None, 1000, pages=there, robots=_rules(s, d))
 
 
-def _upserted(s, d) -> DataFrame:
+def _upserted(s, d, keep_if_empty: bool = False) -> DataFrame:
     """First fetch of every page, merged with its last."""
     doc = table(s, d, "document").where("id IS NOT NULL")
     pick = lambda o: doc.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(*o))).where("n = 1").select("id", "text", "inlinks", "outlinks")
     time = [F.col(c) for c in ("batch_no", "fetched_at", "http_status")]
-    out = I.upsert(pick([c.asc_nulls_first() for c in time]).where("size(inlinks) > 0 OR text IS NOT NULL"), pick([c.desc_nulls_last() for c in time]))
+    out = I.upsert(pick([c.asc_nulls_first() for c in time]).where("size(inlinks) > 0 OR text IS NOT NULL"), pick([c.desc_nulls_last() for c in time]), keep_if_empty)
     return out.select("id", F.length("text").alias("n_chars"), F.size("inlinks").alias("n_in"), F.size("outlinks").alias("n_out"), "action")
 
 
@@ -156,6 +156,7 @@ def queries() -> dict:
         "robots_filter": lambda s, d: C.robots_allowed(ids(page(s, d)), _rules(s, d)),
         "merge_partitions": lambda s, d: I.last_wins(page(s, d).select("id", "batch_no", "http_status"), "id", "batch_no"),
         "upsert_documents": _upserted,
+        "upsert_keep_empty": lambda s, d: _upserted(s, d, True),
         # graph
         "invert_edges": lambda s, d: G.inlinks(_graph(s, d)[1]).select("id", F.size("links").alias("n"), F.array_join("links", " ").alias("links")),
         "complete_missing": lambda s, d: G.complete(_graph(s, d)[0], G.inlinks(_graph(s, d)[1])).select("id", F.size("links").alias("n")),
@@ -168,6 +169,8 @@ def queries() -> dict:
         "inlink_blocks": lambda s, d: G.inlink_blocks(_graph(s, d)[1], 20).groupBy("id").agg(F.sum(F.size("links")).alias("n"), F.array_join(F.sort_array(F.flatten(F.collect_list("links"))), " ").alias("links")),
         "verify_inlinks": lambda s, d: G.verify_inlinks(_pages(s, d).select("id", F.array_distinct(F.coalesce("inlinks", F.array().cast("array<string>"))).alias("links")), G.closed(*_graph(s, d))),
         "pagerank_8": lambda s, d: _round(G.pagerank(*_graph(s, d), rounds=8), "score", places=10),
+        "pagerank_closed": lambda s, d: _round(G.pagerank(*_graph(s, d), rounds=4, closed_graph=True), "score", places=10),
+        "perplexity_lenient": lambda s, d: _round(G.perplexity(G.pagerank(*_graph(s, d), rounds=2).select((F.col("score") - 0.0005).alias("score")), strict=False), "perplexity", places=4),
         "perplexity": lambda s, d: _round(G.perplexity(G.pagerank(*_graph(s, d), rounds=8)), "perplexity", places=4),
         "top500": lambda s, d: _round(G.top_scores(*_graph(s, d), G.degrees(*_graph(s, d)).select("id", F.col("n_in").cast("double").alias("score"))), "score"),
         "top500_pagerank": lambda s, d: G.top_scores(*_graph(s, d), _round(G.pagerank(*_graph(s, d), rounds=None), "score", places=10)),
@@ -253,14 +256,40 @@ def _pagerank_sql(rounds: int = 8) -> str:
     return ", ".join(out)
 
 
-def _hits_sql(rounds: int = 10) -> str:
-    out = [f"WITH {_GRAPH}, {_CLOSED}, h0 AS (SELECT id, 1.0::DOUBLE AS hub FROM nodes)"]
+def _hits_ctes(rounds: int = 10, before: str = "") -> list[str]:
+    out = [f"WITH {before}{_GRAPH if not before else ''}{', ' if not before else ''}{_CLOSED}, h0 AS (SELECT id, 1.0::DOUBLE AS hub FROM nodes)"]
     for i in range(rounds):
         out.append(f"""x{i} AS MATERIALIZED (SELECT nodes.id, coalesce(x, 0) AS x FROM nodes LEFT JOIN (SELECT dst AS id, sum(hub) AS x FROM closed JOIN h{i} ON src = id GROUP BY dst) USING (id)),
             a{i + 1} AS MATERIALIZED (SELECT id, coalesce(x / nullif((SELECT sqrt(sum(x * x)) FROM x{i}), 0), 0) AS authority FROM x{i}),
             y{i} AS MATERIALIZED (SELECT nodes.id, coalesce(x, 0) AS x FROM nodes LEFT JOIN (SELECT src AS id, sum(authority) AS x FROM closed JOIN a{i + 1} ON dst = id GROUP BY src) USING (id)),
             h{i + 1} AS MATERIALIZED (SELECT id, coalesce(x / nullif((SELECT sqrt(sum(x * x)) FROM y{i}), 0), 0) AS hub FROM y{i})""")
-    return ", ".join(out) + f" SELECT id, round(authority, 8) AS authority, round(hub, 8) AS hub FROM a{rounds} JOIN h{rounds} USING (id)"
+    return out
+
+
+def _hits_sql(rounds: int = 10) -> str:
+    return ", ".join(_hits_ctes(rounds)) + f" SELECT id, round(authority, 8) AS authority, round(hub, 8) AS hub FROM a{rounds} JOIN h{rounds} USING (id)"
+
+
+def _top_sql(kind: str) -> str:
+    """Top 500 of HITS scores over the base set of a topic: the base takes the place of the nodes."""
+    graph = _GRAPH.replace("nodes AS", "allnodes AS")
+    base = f"""{_PAGES}, {_ROOT}, {graph}, inner_ AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM allnodes) AND dst IN (SELECT id FROM allnodes)),
+        i AS (SELECT src, row_number() OVER (PARTITION BY dst ORDER BY src) AS n FROM inner_ WHERE dst IN (SELECT id FROM roots)),
+        nodes AS MATERIALIZED (SELECT id FROM roots UNION SELECT dst FROM inner_ WHERE src IN (SELECT id FROM roots) UNION SELECT src FROM i WHERE n <= 201), """
+    best = f"(SELECT id, round({kind}, 8) AS score FROM {kind[0]}10)"
+    return ", ".join(_hits_ctes(10, base)) + f", {_DEGREES} SELECT id, score, n_in, n_out FROM {best} JOIN dg USING (id) ORDER BY score DESC, id LIMIT 500"
+
+
+_DEGREES = "dg AS (SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS n_in, (SELECT count(*) FROM edges WHERE src = id) AS n_out FROM (SELECT DISTINCT id FROM document WHERE id IS NOT NULL))"
+
+
+def _settled_sql(most: int = 60) -> str:
+    """PageRank that ends with the eighth round in total that changed the perplexity by less than 1."""
+    px = " UNION ALL ".join(f"SELECT {i} AS turn, CASE WHEN min(score) <= 0 THEN 0 ELSE pow(2, sum(-score * log2(score))) END AS p FROM pr{i}" for i in range(1, most + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS turn, id, score FROM pr{i}" for i in range(1, most + 1))
+    return f"""{_pagerank_sql(most)}, px AS ({px}), calm AS (SELECT turn, sum((abs(p - before) < 1)::INT) OVER (ORDER BY turn) AS quiet FROM (SELECT *, lag(p) OVER (ORDER BY turn) AS before FROM px)),
+        last AS (SELECT min(turn) AS turn FROM calm WHERE quiet >= 8), {_DEGREES}
+        SELECT id, round(score, 10) AS score, n_in, n_out FROM ({every}) JOIN last USING (turn) JOIN dg USING (id) ORDER BY round(score, 10) DESC, id LIMIT 500"""
 
 
 def _salsa_sql(own: str, far: str, rounds: int) -> str:
@@ -307,6 +336,15 @@ _WHOLE = rf"""CASE WHEN starts_with(bare, '../') THEN {_FOLDER} || substr(bare,
 _CANONICAL = rf"""lower(substr(whole, 1, length({_BASE.format('whole')}))) || substr(whole, length({_BASE.format('whole')}) + 1)"""
 
 
+def _dots(url: str) -> str:
+    """A url without parts of its path that are dots."""
+    head, path = rf"regexp_extract({url}, '^([a-zA-Z][^:/?#]*://[^/?#]*)', 1)", rf"regexp_extract({url}, '^[a-zA-Z][^:/?#]*://[^/?#]*([^?#]*)', 1)"
+    step = "CASE WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN x = '.' THEN done ELSE done || '/' || x END"
+    clean = f"list_reduce(list_prepend('', string_split({path}, '/')[2:]), lambda done, x: {step})"
+    return rf"""CASE WHEN regexp_matches({path}, '/\.\.?(/|$)') THEN {head} || CASE WHEN {clean} = '' THEN '/' ELSE {clean} END
+        || CASE WHEN regexp_matches({path}, '/\.\.?$') AND {clean} <> '' AND NOT ends_with({clean}, '/') THEN '/' ELSE '' END || regexp_extract({url}, '([?#].*)$', 1) ELSE {url} END"""
+
+
 _HREF = r"""replace(replace(replace(replace(replace(replace(replace(replace(trim(regexp_replace(raw, '^["'']|["'']$', '', 'g')), '&quot;', '"'), '&#34;', '"'), '&#39;', chr(39)), '&apos;', chr(39)),
     '&lt;', '<'), '&gt;', '>'), '&#38;', '&'), '&amp;', '&')"""
 
@@ -380,7 +418,7 @@ def oracle_sql() -> dict[str, str]:
         "run_lines": f"WITH {_RUN} SELECT query_id || ' ' || doc_id || ' ' || rank || ' ' || score::DECIMAL(18,6) AS value FROM run",
         "trec_doc_format": r"""SELECT wave, E'<DOC>\n<DOCNO>' || doc_id || E'</DOCNO>\n<HEAD>' || coalesce(source, '') || E'</HEAD>\n<TEXT>\n' || coalesce(text, '') || E'\n</TEXT>\n</DOC>\n' AS value FROM documents""",
         "base_url": f"WITH {_LINKS} SELECT DISTINCT link, {_BASE.format('link')} AS base FROM links",
-        "canonical_url": f"WITH {_LINKS} SELECT id, link, {_CANONICAL} AS target FROM (SELECT *, {_WHOLE} AS whole FROM (SELECT *, {_stripped('link')} AS bare FROM links))",
+        "canonical_url": f"WITH {_LINKS} SELECT id, link, {_CANONICAL} AS target FROM (SELECT *, {_dots('joined')} AS whole FROM (SELECT *, {_WHOLE} AS joined FROM (SELECT *, {_stripped('link')} AS bare FROM links)))",
         "doc_key": "SELECT DISTINCT id, replace(replace(id, '://', '-'), '/', '-') AS doc_key FROM document WHERE id IS NOT NULL",
         "useful_links": f"WITH {_LINKS} SELECT DISTINCT link FROM links WHERE regexp_matches(link, '^http://(www|en)') AND NOT regexp_matches(link, '{_USEFUL}')",
         "url_keywords": f"WITH {_KEYS} SELECT id, array_to_string(k, ' ') AS keywords FROM keys",
@@ -391,8 +429,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT src, dst, round((0.4::DOUBLE * d.r + 0.3::DOUBLE * s.r + 0.35::DOUBLE / (wave + 1))::DECIMAL(18, 6), 2)::DOUBLE AS score
             FROM closed JOIN pen s ON s.id = src JOIN pen d ON d.id = dst JOIN wv ON wv.id = src""",
         "extract_title": "SELECT DISTINCT id, regexp_extract(raw_html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM document WHERE raw_html IS NOT NULL",
-        "extract_links": rf"""SELECT DISTINCT id, {_CANONICAL} AS target FROM (SELECT *, {_WHOLE} AS whole FROM (SELECT id, {_stripped('link')} AS bare FROM (
-            SELECT id, {_HREF} AS link FROM (SELECT id, unnest(regexp_extract_all(raw_html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1)) AS raw FROM document)) WHERE link <> '' AND NOT starts_with(link, '#'))) WHERE whole <> ''""",
+        "extract_links": rf"""SELECT DISTINCT id, {_CANONICAL} AS target FROM (SELECT *, {_dots('joined')} AS whole FROM (SELECT *, {_WHOLE} AS joined FROM (SELECT id, {_stripped('link')} AS bare FROM (
+            SELECT id, {_HREF} AS link FROM (SELECT id, unnest(regexp_extract_all(raw_html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1)) AS raw FROM document)) WHERE link <> '' AND NOT starts_with(link, '#')))) WHERE whole <> ''""",
         "page_type_filter": f"SELECT headers, count(*) AS n FROM document WHERE headers IN {_list(H.PAGE_TYPES)} GROUP BY headers",
         "robots_filter": f"""WITH d AS (SELECT id, http_status, {_BASE.format('id')} AS base FROM document WHERE id IS NOT NULL),
             r AS (SELECT base, min(http_status) AS status, length(base) % 5 > 0 AS allowed FROM d GROUP BY base)
@@ -404,6 +442,12 @@ def oracle_sql() -> dict[str, str]:
             a AS (SELECT *, CASE WHEN fresh THEN 'insert' WHEN len(un) > len(list_distinct(oi)) THEN 'update' ELSE 'keep' END AS action FROM b)
             SELECT id, length(CASE WHEN action = 'keep' THEN ot ELSE nt END)::INT AS n_chars, len(CASE action WHEN 'insert' THEN ni WHEN 'update' THEN un ELSE oi END)::INT AS n_in,
             len(CASE WHEN action = 'keep' THEN oo ELSE no END)::INT AS n_out, action FROM a""",
+        "upsert_keep_empty": f"""WITH o AS (SELECT id, text, {nn.format('inlinks')} AS inlinks, {nn.format('outlinks')} AS outlinks FROM {_first_last('ASC NULLS FIRST')} WHERE len(inlinks) > 0 OR text IS NOT NULL),
+            n AS (SELECT id, text, {nn.format('inlinks')} AS inlinks, {nn.format('outlinks')} AS outlinks FROM {_first_last('DESC NULLS LAST')}),
+            b AS (SELECT n.id, o.text AS ot, n.text AS nt, o.inlinks AS oi, n.inlinks AS ni, o.outlinks AS oo, n.outlinks AS no, list_distinct(o.inlinks || n.inlinks) AS un, o.id IS NULL AS fresh FROM n LEFT JOIN o USING (id)),
+            a AS (SELECT *, CASE WHEN fresh THEN 'insert' WHEN len(un) > len(list_distinct(oi)) AND len(oi) > 0 THEN 'update' ELSE 'keep' END AS action FROM b)
+            SELECT id, length(CASE WHEN action = 'keep' THEN ot ELSE nt END)::INT AS n_chars, len(CASE action WHEN 'insert' THEN ni WHEN 'update' THEN un ELSE oi END)::INT AS n_in,
+            len(CASE WHEN action = 'keep' THEN oo ELSE no END)::INT AS n_out, action FROM a""",
         "invert_edges": f"WITH {_GRAPH} SELECT dst AS id, count(*)::INT AS n, string_agg(src, ' ' ORDER BY src) AS links FROM edges GROUP BY dst",
         "complete_missing": f"WITH {_GRAPH} SELECT id, coalesce(n, 0)::INT AS n FROM nodes LEFT JOIN (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst) USING (id)",
         "degrees": f"WITH {_GRAPH} SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS n_in, (SELECT count(*) FROM edges WHERE src = id) AS n_out FROM nodes",
@@ -419,6 +463,11 @@ def oracle_sql() -> dict[str, str]:
         "verify_inlinks": f"""WITH {_GRAPH}, {_CLOSED}, {_PAGES}, m AS (SELECT id, len(list_distinct(coalesce(inlinks, []))) + (list_contains(list_transform(coalesce(inlinks, []), lambda x: x IS NULL), true))::INT AS n FROM pages),
             c AS (SELECT dst AS id, count(*) AS k FROM closed GROUP BY dst)
             SELECT id, coalesce(n, -1)::BIGINT AS n_stored, coalesce(k, -1)::BIGINT AS n_computed FROM m FULL JOIN c USING (id) WHERE coalesce(n, -1) <> coalesce(k, -1)""",
+        "top500_pagerank": _settled_sql(),
+        "top500_authorities": _top_sql("authority"),
+        "top500_hubs": _top_sql("hub"),
+        "pagerank_closed": _pagerank_sql(4).replace("edges AS MATERIALIZED", "every AS MATERIALIZED").replace(", outd AS", ", edges AS MATERIALIZED (SELECT src, dst FROM every WHERE dst IN (SELECT id FROM nodes)), outd AS") + " SELECT id, round(score, 10) AS score FROM pr4",
+        "perplexity_lenient": f"{_pagerank_sql(2)} SELECT round(pow(2, coalesce(sum(CASE WHEN p > 0 THEN -p * log2(p) END), 0)), 4) AS perplexity FROM (SELECT score - 0.0005::DOUBLE AS p FROM pr2)",
         "pagerank_8": f"{_pagerank_sql()} SELECT id, round(score, 10) AS score FROM pr8",
         "perplexity": f"{_pagerank_sql()} SELECT CASE WHEN min(score) <= 0 THEN 0 ELSE round(pow(2, sum(-score * log2(score))), 4) END AS perplexity FROM pr8",
         "top500": f"""WITH {_GRAPH}, dg AS (SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS n_in, (SELECT count(*) FROM edges WHERE src = id) AS n_out FROM nodes)

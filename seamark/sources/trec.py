@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from seamark.functions.text import term_counts
+
 
 def _lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Lines with a number that keeps their order within a file."""
@@ -65,9 +67,13 @@ def read_crawl_log(spark: SparkSession, path: str, plain_http: bool = False) ->
     return spark.read.text(path).select((F.replace(first, F.lit("https"), F.lit("http")) if plain_http else first).alias("id")).where("id <> ''").distinct()
 
 
-def read_words(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """(word): a list with one word per line."""
-    return _lines(spark, path, encoding).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+def read_words(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", stop: list[str] | None = None, stem: bool = False) -> DataFrame:
+    """(word): a list with one word per line; with ``stop`` and ``stem`` analysed as keywords are, stop words first, then stems."""
+    words = _lines(spark, path, encoding).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+    if not stop and not stem:
+        return words
+    rows = words.select(F.col("word").alias("doc_id"), F.array(F.lower("word")).alias("words"))
+    return term_counts(rows, stop, stem, stop_first=True).select(F.col("term").alias("word")).distinct()
 
 
 def read_partitions(spark: SparkSession, path: str) -> DataFrame:

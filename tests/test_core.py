@@ -91,6 +91,7 @@ def test_url_forms(spark):
     assert canon("https://A.B:443/X#y") == "http://a.b/X"
     assert canon("http://a.b:8080/") == "http://a.b80/"  # cut anywhere, as the contract says
     assert canon("../x") == "http://h.com/d/x" and canon("/x") == "http://h.com/x" and canon("//C/x") == "http://c/x"
+    assert canon("../../x") == "http://h.com/x" and canon("/a/./b/../c?q=../z") == "http://h.com/a/c?q=../z" and canon("/../..") == "http://h.com/" and canon("/a/b/..") == "http://h.com/a/"
     keys = lambda u: one(spark, U.url_keywords(F.col("u")), u=u)
     assert keys("http://www.bbc.com/") == ["bbc"] and keys("http://w.x/a/The_(old)_ship.html") == ["The", "old", "ship"]
     assert keys("http://w.x/Category:Lost_ships") == ["Category", "Lost", "ships"] and keys("http://w.x/a/b-c/") == ["b", "c"]
@@ -204,6 +205,8 @@ def test_text_formats(spark, tmp_path):
     assert [tuple(r) for r in T.read_queries(spark, str(tmp_path / "q")).collect()] == [("1", "Ferry. disaster")]
     (tmp_path / "stop").write_bytes("été\nthe\n\n".encode("latin-1"))
     assert {r[0] for r in T.read_words(spark, str(tmp_path / "stop")).collect()} == {"été", "the"}
+    (tmp_path / "planes").write_text("Engines\nthe\nlanding\n")
+    assert {r[0] for r in T.read_words(spark, str(tmp_path / "planes"), "UTF-8", stop=["the"], stem=True).collect()} == {"engin", "land"}
     assert [r[0] for r in T.adjacency_lines(spark.createDataFrame([("a", ["b", "c"])], "id string, links array<string>")).collect()] == ["a b c"]
 
 
