@@ -21,8 +21,10 @@ from seamark.llm.words import Numbers, blocks, suffix_array, words
 RUN = 12
 #: Bytes of text in one shard; a longer text is a shard of its own.
 SHARD_BYTES = 4 << 20
-#: Characters of test texts that one pass over the corpus looks for; more are taken in several passes.
+#: Characters of test texts that a task holds at a time; more are taken in several parts, one after the other past the same shards.
 TEST_CHARS = 20_000_000
+#: Bytes of corpus text that are kept for all parts, if there are several.
+KEPT_BYTES = 16 << 20
 
 
 class HeldOut:
@@ -128,37 +130,49 @@ def leaked_passages(documents: DataFrame, items: DataFrame, key: str = "doc_id",
     Columns: key, item key, n_words of the longest shared passage, first_word of it in the document
     (from 0).  Null and empty texts share nothing, as do items of fewer words; rows with null keys are
     searched like others, repeated rows give repeated pairs.  Test texts are held by every task in
-    passes of bounded size, so any number of items can be searched for.
+    parts of bounded size, so any number of items can be searched for in one reading of the corpus.
     """
     spark = documents.sparkSession
     data = documents.select(F.col(f"`{key}`").alias("key"), F.col("text").alias("text"))
     tests = items.select(F.col(f"`{item_key}`").alias("item"), F.col("text").alias("text")).where("text IS NOT NULL")
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = 1 + chars // TEST_CHARS
+    many = 1 + chars // TEST_CHARS
     kinds = f"key {data.schema['key'].dataType.simpleString()}, item {tests.schema['item'].dataType.simpleString()}, n_words int, first_word int"
-    found = None
-    for k in range(passes):
-        part = tests if passes == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
-        rows = [(r["item"], r["text"]) for r in part.collect()]  # TEST_CHARS on average
-        shared = spark.sparkContext.broadcast(HeldOut(rows, run))
-        one = data.where("text IS NOT NULL").mapInArrow(_search(shared), kinds)
-        found = one if found is None else found.unionByName(one)
+    parts = []
+    for k in range(many):
+        part = tests if many == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == k)
+        parts.append(spark.sparkContext.broadcast(HeldOut([(r["item"], r["text"]) for r in part.collect()], run)))  # TEST_CHARS on average
+    found = data.where("text IS NOT NULL").mapInArrow(_search(parts), kinds)
     return found.withColumnsRenamed({"key": key, "item": item_key})
 
 
+def _search(parts: list):
+    """Function for mapInArrow over key and text, with the broadcast parts of the test items; the corpus is read and cut into words once."""
+
+    def look(held: list[tuple[pa.RecordBatch, list[list[str]]]]) -> Iterator[pa.RecordBatch]:
+        for shared in parts:
+            tests = shared.value
+            for block, docs in held:
+                hits = tests.search(docs)
+                if hits:
+                    d, i, n, p = zip(*hits)
+                    yield pa.RecordBatch.from_arrays(
+                        [block.column("key").take(pa.array(d)), pa.array([tests.ids[x] for x in i]), pa.array(n, pa.int32()), pa.array(p, pa.int32())],
+                        names=["key", "item", "n_words", "first_word"],
+                    )
+            if len(parts) > 1:
+                del tests
+                shared.__dict__.pop("_value", None)  # read again from the worker's disk when its turn comes, so that one part is held at a time
 
-
-def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = shared.value
+        held, size = [], 0
         for block in blocks(batches, "text", SHARD_BYTES):
-            hits = tests.search([words(x) for x in block.column("text").to_pylist()])
-            if hits:
-                d, i, n, p = zip(*hits)
-                yield pa.RecordBatch.from_arrays(
-                    [block.column("key").take(pa.array(d)), pa.array([tests.ids[x] for x in i]), pa.array(n, pa.int32()), pa.array(p, pa.int32())],
-                    names=["key", "item", "n_words", "first_word"],
-                )
+            held.append((block, [words(x) for x in block.column("text").to_pylist()]))
+            size += block.column("text").nbytes
+            if len(parts) == 1 or size >= KEPT_BYTES:
+                yield from look(held)
+                held, size = [], 0
+        yield from look(held)
 
     return run
 

@@ -2,7 +2,8 @@
 
 Word numbers differ from document to document, so suffixes of different documents never match.
 Intervals of the sorted suffixes whose longest common prefixes reach RUN words are the repeated
-runs; every occurrence but the first counts, and overlapping occurrences count once.
+runs; every occurrence but the first counts, and overlapping occurrences count once.  A text is worked on whole in one task:
+one of n words whose longest repeat has r takes some (100 + 4 log2 r) n bytes, so 10 million words take 2 GB at most.
 """
 
 from __future__ import annotations

@@ -50,13 +50,18 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """Encoder of a vocabulary file in rank form."""
+def coder_of(ranks: bytes):
+    """Encoder of a vocabulary in rank form, one token in base 64 and its rank per line."""
     import tiktoken
 
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+def encoder(path: str):
+    """Encoder of a vocabulary file."""
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return coder_of(f.read())
 
 
 def certain_ends(data: np.ndarray) -> np.ndarray:
@@ -134,12 +139,13 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PIECE = "kind int, seq int, marked boolean, h long, chunk binary, ids array<int>, encoded long"
 
 
-def _pieces(path: str):
-    """Function for mapInArrow over rid, key, text, places (seq, h, own).  Kinds of rows: 0 a whole text, 1 a piece of a text that takes chunks
+def _pieces(ranks):
+    """Function for mapInArrow, with the broadcast vocabulary, over rid, key, text, places (seq, h, own).  Kinds of rows: 0 a whole text, 1 a piece of a text that takes chunks
     from elsewhere (ids null where it is taken), 2 a chunk for other places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        coder = coder_of(ranks.value)
+        encode = coder.encode_ordinary
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -171,7 +177,7 @@ def _pieces(path: str):
                         keep = marked[c] or c + 1 < starts[j + 1] and marked[c + 1]
                         got.append((bool(marked[c]), chunk if keep else None, ids, p["h"] if ids is None else 0))
                     if all(x[2] is not None for x in got):
-                        put(k, 0, 0, False, 0, None, repaired([(m, t, np.array(i, np.int32)) for m, t, i, _ in got], path), size)
+                        put(k, 0, 0, False, 0, None, repaired([(m, t, np.array(i, np.int32)) for m, t, i, _ in got], coder), size)
                     else:
                         for c, (m, t, i, h) in enumerate(got):
                             put(k, 1, c, m, h, t, i, size if c == 0 else 0)
@@ -182,9 +188,8 @@ def _pieces(path: str):
     return run
 
 
-def repaired(pieces: list[tuple[bool, bytes | None, np.ndarray]], path: str) -> np.ndarray:
+def repaired(pieces: list[tuple[bool, bytes | None, np.ndarray]], coder) -> np.ndarray:
     """Ids of one document from its chunks (marked join before, text if it has a marked join, ids)."""
-    coder = encoder(path)
     out: list[np.ndarray] = []
     k = 0
     while k < len(pieces):
@@ -223,12 +228,13 @@ def repaired(pieces: list[tuple[bool, bytes | None, np.ndarray]], path: str) ->
     return np.concatenate(out)
 
 
-def _assemble(path: str):
+def _assemble(ranks):
     def finish(table: pa.Table) -> pa.RecordBatch:
+        coder = coder_of(ranks.value)
         rid = table.column("rid").to_numpy()
         first = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
         marked, chunk, ids = (table.column(c).to_pylist() for c in ("marked", "chunk", "ids"))
-        parts = [repaired([(marked[i], chunk[i], np.array(ids[i], np.int32)) for i in range(a, b)], path) for a, b in zip(first, np.append(first[1:], len(rid)))]
+        parts = [repaired([(marked[i], chunk[i], np.array(ids[i], np.int32)) for i in range(a, b)], coder) for a, b in zip(first, np.append(first[1:], len(rid)))]
         offsets = np.append(0, np.cumsum([len(p) for p in parts]))
         return pa.RecordBatch.from_arrays(
             [table.column("key").combine_chunks().take(pa.array(first)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))], names=["key", "ids"]
@@ -286,14 +292,15 @@ class Encoding:
     """
 
     def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None):
-        path = path or vocabulary()
+        with open(path or vocabulary(), "rb") as f:  # only the driver needs the file
+            ranks = df.sparkSession.sparkContext.broadcast(f.read())
         rows = _rows(df, key, text)
         kind = rows.schema["key"].dataType.simpleString()
         places, hot = shared_places(rows)
         places = cut_lineage(places)
         per = places.groupBy("rid").agg(F.collect_list(F.struct("seq", "h", "own")).alias("places"))  # of one text
         per = F.broadcast(per) if places.count() <= BROADCAST_PLACES else per
-        done = rows.join(per, "rid", "left").select("rid", "key", "text", "places").mapInArrow(_pieces(path), f"rid long, key {kind}, {_PIECE}")
+        done = rows.join(per, "rid", "left").select("rid", "key", "text", "places").mapInArrow(_pieces(ranks), f"rid long, key {kind}, {_PIECE}")
         done = store(done)
         whole = done.where("kind = 0").select("key", "ids")
         pieces = done.where("kind = 1").select("rid", "key", "seq", "marked", "h", "chunk", "ids")
@@ -303,7 +310,7 @@ class Encoding:
         hot = F.broadcast(hot)
         filled = taken.join(hot, "h", "left_anti").join(given, "h").unionByName(taken.join(F.broadcast(given.join(hot, "h", "left_semi")), "h"))
         every = pieces.where("ids IS NOT NULL").unionByName(filled.withColumnRenamed("given", "ids")).drop("h")
-        back = every.repartition("rid").sortWithinPartitions("rid", "seq").mapInArrow(_assemble(path), f"key {kind}, ids array<int>")
+        back = every.repartition("rid").sortWithinPartitions("rid", "seq").mapInArrow(_assemble(ranks), f"key {kind}, ids array<int>")
         self.ids = whole.unionByName(back).withColumnRenamed("key", key)
         self.encoded = done.agg(F.coalesce(F.sum("encoded"), F.lit(0)).alias("n_bytes"))
 

@@ -54,7 +54,8 @@ def suffix_array(words_of: np.ndarray, ends: np.ndarray, levels: bool = False, d
     rank = np.empty(n, np.int64)
     start = _starts(key)
     rank[order] = start
-    kept = [rank.copy()] if levels else []
+    small = np.int32 if n < 1 << 31 else np.int64  # levels take most of the memory
+    kept = [rank.astype(small)] if levels else []
     active = order[_crowded(start)]
     step = 1
     while len(active) and (depth is None or step < depth):
@@ -73,7 +74,7 @@ def suffix_array(words_of: np.ndarray, ends: np.ndarray, levels: bool = False, d
         active = active[_crowded(fresh)]
         step *= 2
         if levels:
-            kept.append(rank.copy())
+            kept.append(rank.astype(small))
     order = np.argsort(rank, kind="stable")
     return (order, kept) if levels else order
 

@@ -271,13 +271,12 @@ def test_token_ids_equal_the_encoder(spark):
 
 
 def test_uncertain_joins_are_repaired():
-    texts, path = [t for t in odd_texts() if t], vocabulary()
-    coder = encoder(path)
+    texts, coder = [t for t in odd_texts() if t], encoder(vocabulary())
     whole, no, lo, hi, marked, _ = _cut(pa.array(texts))
     assert sum(marked) > 10
     for k, t in enumerate(texts):
         pieces = [(bool(m), bytes(whole[a:b]), np.array(coder.encode_ordinary(bytes(whole[a:b]).decode()), np.int32)) for a, b, m, n in zip(lo, hi, marked, no) if n == k]
-        assert repaired(pieces, path).tolist() == coder.encode_ordinary(t)
+        assert repaired(pieces, coder).tolist() == coder.encode_ordinary(t)
 
 
 @pytest.mark.parametrize("limits", [(1_000_000, 100_000), (0, 5)])
@@ -294,7 +293,7 @@ def test_each_distinct_chunk_is_encoded_once(spark, monkeypatch, limits):
     assert e.encoded.first()["n_bytes"] == chunk_reuse(df).first()["distinct_bytes"] <= sum(len((t or "").encode()) for t in texts)
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     r = random.Random(3)
     vocab = list("abcdefgh")
     items = [(i, " ".join(r.choices(vocab, k=30))) for i in range(6)] + [(6, None), (7, "short one"), (8, "")]
@@ -320,6 +319,10 @@ def test_leaks(spark):
     assert [(x["n_words"], x["first_word"]) for x in whole] == [(30, 0)]
     assert without_leaks(D, Q).count() == len(docs) - len({d for d, _ in want if d is not None})
     assert leaks(D, Q.limit(0)).count() == 0 and leaks(D.limit(0), Q).count() == 0
+    # test items in several parts, past the same shards
+    monkeypatch.setattr("seamark.llm.leaks.TEST_CHARS", 100)
+    monkeypatch.setattr("seamark.llm.leaks.KEPT_BYTES", 500)
+    assert {tuple(x) for x in leaks(D, Q).collect()} == want
 
 
 def test_long_match_is_found_whole():
