@@ -16,7 +16,7 @@ from seamark.operators import graph as G
 from seamark.operators import index as I
 from seamark.operators import search as S
 from seamark.plans.porter_sql import stems
-from seamark.session import cut_lineage, shared_folder
+from seamark.session import cut_lineage, shared_folder, store
 from seamark.sources import trec as T
 from seamark.sources.tables import table
 
@@ -43,6 +43,15 @@ def _graph(s, d):
     return G.page_graph(table(s, d, "document"))
 
 
+def _trade(s, d):
+    """A larger graph: customers and suppliers by order lines, with some ways back."""
+    lines = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c, p = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    back = lines.where("l_returnflag = 'R' AND l_suppkey % 3 <> 0").select(p.alias("src"), c.alias("dst"))
+    edges = store(lines.select(c.alias("src"), p.alias("dst")).union(back).distinct())
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), edges
+
+
 def _pages(s, d) -> DataFrame:
     """One row per page: the last fetched."""
     return I.last_wins(table(s, d, "document"), "id", "fetched_at", "batch_no")
@@ -169,6 +178,9 @@ def queries() -> dict:
         "inlink_blocks": lambda s, d: G.inlink_blocks(_graph(s, d)[1], 20).groupBy("id").agg(F.sum(F.size("links")).alias("n"), F.array_join(F.sort_array(F.flatten(F.collect_list("links"))), " ").alias("links")),
         "verify_inlinks": lambda s, d: G.verify_inlinks(_pages(s, d).select("id", F.array_distinct(F.coalesce("inlinks", F.array().cast("array<string>"))).alias("links")), G.closed(*_graph(s, d))),
         "pagerank_8": lambda s, d: _round(G.pagerank(*_graph(s, d), rounds=8), "score", places=10),
+        "pagerank_8_trade": lambda s, d: _round(G.pagerank(*_trade(s, d), rounds=8), "score", places=10),
+        "hits_10_trade": lambda s, d: _round(G.hits(*_trade(s, d)), "authority", "hub"),
+        "salsa_hub_3_trade": lambda s, d: _round(G.salsa(*_trade(s, d), "hub"), "score"),
         "pagerank_closed": lambda s, d: _round(G.pagerank(*_graph(s, d), rounds=4, closed_graph=True), "score", places=10),
         "perplexity_lenient": lambda s, d: _round(G.perplexity(G.pagerank(*_graph(s, d), rounds=2).select((F.col("score") - 0.0005).alias("score")), strict=False), "perplexity", places=4),
         "perplexity": lambda s, d: _round(G.perplexity(G.pagerank(*_graph(s, d), rounds=8)), "perplexity", places=4),
@@ -238,6 +250,8 @@ _CANON = r"""CASE WHEN regexp_matches({0}, '^(?i)https?://') THEN 'http://' || r
 _BARE = "split_part(link, '#', 1)"
 _GRAPH = f"""nodes AS MATERIALIZED (SELECT DISTINCT id FROM document WHERE id IS NOT NULL),
     edges AS MATERIALIZED (SELECT DISTINCT id AS src, {_CANON.format(_BARE)} AS dst FROM (SELECT id, unnest(outlinks) AS link FROM document WHERE id IS NOT NULL) WHERE link <> '')"""
+_TRADE = """lines AS MATERIALIZED (SELECT 'c' || o_custkey AS c, 's' || l_suppkey AS p, l_returnflag = 'R' AND l_suppkey % 3 <> 0 AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    edges AS MATERIALIZED (SELECT c AS src, p AS dst FROM lines UNION SELECT p, c FROM lines WHERE back), nodes AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"""
 _CLOSED = "closed AS MATERIALIZED (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))"
 _LINKS = "links AS MATERIALIZED (SELECT DISTINCT id, link FROM (SELECT id, unnest(outlinks) AS link FROM document WHERE id IS NOT NULL) WHERE link <> '')"
 _BASE = r"regexp_extract({0}, '^([a-zA-Z][^:/?#]*)://', 1) || '://' || regexp_extract({0}, '^[a-zA-Z][^:/?#]*://([^/?#]*)', 1)"
@@ -463,6 +477,9 @@ def oracle_sql() -> dict[str, str]:
         "verify_inlinks": f"""WITH {_GRAPH}, {_CLOSED}, {_PAGES}, m AS (SELECT id, len(list_distinct(coalesce(inlinks, []))) + (list_contains(list_transform(coalesce(inlinks, []), lambda x: x IS NULL), true))::INT AS n FROM pages),
             c AS (SELECT dst AS id, count(*) AS k FROM closed GROUP BY dst)
             SELECT id, coalesce(n, -1)::BIGINT AS n_stored, coalesce(k, -1)::BIGINT AS n_computed FROM m FULL JOIN c USING (id) WHERE coalesce(n, -1) <> coalesce(k, -1)""",
+        "pagerank_8_trade": _pagerank_sql().replace(_GRAPH, _TRADE) + " SELECT id, round(score, 10) AS score FROM pr8",
+        "hits_10_trade": _hits_sql().replace(_GRAPH, _TRADE),
+        "salsa_hub_3_trade": _salsa_sql("src", "dst", 3).replace(_GRAPH, _TRADE),
         "top500_pagerank": _settled_sql(),
         "top500_authorities": _top_sql("authority"),
         "top500_hubs": _top_sql("hub"),
