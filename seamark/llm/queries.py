@@ -20,7 +20,7 @@ def queries() -> dict:
         "p1_found": lambda s, d: frame_lines(table(s, d, "document")),
         "p1_main_text": lambda s, d: main_text(table(s, d, "document")),
         "p2_found": lambda s, d: Consensus(table(s, d, "combined_qrel")).items.select("query_id", "doc_id", "grade"),
-        "p2_annotators": lambda s, d: Consensus(table(s, d, "combined_qrel")).annotators,
+        "p2_annotators": lambda s, d: Consensus(table(s, d, "combined_qrel")).annotators.withColumns({c: F.round(c, 6) for c in ("reliability", "low", "high")}),
         "p2_agreement": lambda s, d: Consensus(table(s, d, "combined_qrel"), rounds=0).agreement.withColumns({c: F.round(c, 9) for c in ("alpha", "alpha_ordinal")}),
         "p4_found": lambda s, d: NearDuplicates(table(s, d, "document")).key_pairs(),
         "p4_class_pairs": lambda s, d: NearDuplicates(table(s, d, "document")).pairs.withColumn("similarity", F.round("similarity", 9)),
@@ -39,6 +39,47 @@ def queries() -> dict:
     }
 
 
+def _psi(x: str) -> str:
+    """Digamma by the recurrence psi(x) = psi(x + 6) - 1/x - ... - 1/(x + 5) and the asymptotic series."""
+    y = f"({x} + 6.0::DOUBLE)"
+    series = " ".join(f"{sign} 1.0::DOUBLE / ({k} * pow({y}, {n}))" for sign, k, n in (("-", 12, 2), ("+", 120, 4), ("-", 252, 6), ("+", 240, 8), ("-", 132, 10)))
+    return f"(ln({y}) - 0.5::DOUBLE / {y} {series} - (" + " + ".join(f"1.0::DOUBLE / ({x} + {i})" for i in range(6)) + "))"
+
+
+def _consensus_sql(rounds: int = 12) -> str:
+    """The variational model over grades 0, 1, 2, unrolled; it ends with the first round that moves no reliability by more than 0.001 (the fifth at sf0.01)."""
+    k, cells = (0, 1, 2), [(j, g) for j in (0, 1, 2) for g in (0, 1, 2)]
+    count = ", ".join(f"sum(CASE WHEN grade = {g} THEN q{j} ELSE 0 END) AS n{j}{g}" for j, g in cells) + ", " + ", ".join(f"sum(q{j} / m) AS p{j}" for j in k)
+    right, votes = "n00 + n11 + n22", " + ".join(f"n{j}{g}" for j, g in cells)
+    out = [f"""WITH v AS MATERIALIZED (SELECT query_id, doc_id, assessor_id, grade FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, assessor_id ORDER BY graded_at DESC NULLS LAST, grade DESC) AS n
+            FROM combined_qrel WHERE grade IN (0, 1, 2) AND query_id IS NOT NULL AND assessor_id IS NOT NULL AND doc_id IS NOT NULL) WHERE n = 1),
+        sz AS MATERIALIZED (SELECT query_id, doc_id, count(*) AS m, {", ".join(f"avg((grade = {j})::INT) AS q{j}" for j in k)} FROM v GROUP BY ALL),
+        t0 AS MATERIALIZED (SELECT assessor_id, {count} FROM v JOIN sz USING (query_id, doc_id) GROUP BY assessor_id)"""]
+    for i in range(1, rounds + 1):
+        whole = " + ".join(f"sum(p{j}) + 1" for j in k)
+        alpha = {j: [f"(n{j}{g} + {2 if j == g else 1})" for g in k] for j in k}
+        logs = ", ".join(f"{_psi(alpha[j][g])} - {_psi('(' + ' + '.join(alpha[j]) + ')')} AS l{j}{g}" for j, g in cells)
+        pick = lambda j: f"CASE grade WHEN 0 THEN l{j}0 WHEN 1 THEN l{j}1 ELSE l{j}2 END"
+        out.append(f"""c{i} AS MATERIALIZED (SELECT {", ".join(f"{_psi(f'(sum(p{j}) + 1)')} - {_psi(f'({whole})')} AS c{j}" for j in k)} FROM t{i - 1}), l{i} AS MATERIALIZED (SELECT assessor_id, {logs} FROM t{i - 1}),
+            z{i} AS MATERIALIZED (SELECT query_id, doc_id, count(*) AS m, {", ".join(f"any_value(c{j}) + sum({pick(j)}) AS z{j}" for j in k)} FROM v JOIN l{i} USING (assessor_id), c{i} GROUP BY query_id, doc_id),
+            q{i} AS MATERIALIZED (SELECT query_id, doc_id, m, {", ".join(f"exp(z{j} - greatest(z0, z1, z2)) / (exp(z0 - greatest(z0, z1, z2)) + exp(z1 - greatest(z0, z1, z2)) + exp(z2 - greatest(z0, z1, z2))) AS q{j}" for j in k)} FROM z{i}),
+            t{i} AS MATERIALIZED (SELECT assessor_id, {count} FROM v JOIN q{i} USING (query_id, doc_id) GROUP BY assessor_id)""")
+    moved = " UNION ALL ".join(f"SELECT {i} AS turn, max(abs((a.r + 2) / (a.n + 4) - (b.r + 2) / (b.n + 4))) AS moved FROM w a JOIN w b USING (assessor_id) WHERE a.turn = {i} AND b.turn = {i - 1}" for i in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS turn, assessor_id, {right} AS r, {votes} AS n FROM t{i}" for i in range(rounds + 1))
+    return ", ".join(out) + f""", w AS MATERIALIZED ({every}), stop AS MATERIALIZED (SELECT min(turn) AS turn FROM ({moved}) WHERE moved <= 0.001),
+        who AS MATERIALIZED (SELECT assessor_id, round(n)::BIGINT AS n_votes, (r + 2) / (n + 4) AS reliability, 1.96::DOUBLE * sqrt((r + 2) / (n + 4) * (1 - (r + 2) / (n + 4)) / (n + 5)) AS dev FROM w JOIN stop USING (turn))"""
+
+
+def _items_sql(rounds: int = 12) -> str:
+    """Grades of most reliable annotators; the posterior of one round more settles ties, and the smaller grade does where they are equal."""
+    post = " UNION ALL ".join(f"SELECT {i} AS turn, query_id, doc_id, q0, q1, q2 FROM q{i}" for i in range(1, rounds + 1))
+    return f"""{_consensus_sql(rounds)}, q AS (SELECT * FROM ({post}) p JOIN stop ON p.turn = stop.turn + 1),
+        g AS (SELECT query_id, doc_id, {", ".join(f"count(*) FILTER (grade = {j} AND reliability >= 0.6) AS v{j}" for j in (0, 1, 2))} FROM v JOIN who USING (assessor_id) GROUP BY query_id, doc_id),
+        o AS (SELECT query_id, doc_id, unnest([{{'v': v0, 'q': q0, 'g': 0}}, {{'v': v1, 'q': q1, 'g': 1}}, {{'v': v2, 'q': q2, 'g': 2}}]) AS x FROM g JOIN q USING (query_id, doc_id))
+        SELECT query_id, doc_id, x.g::INT AS grade FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY x.v DESC, x.q DESC, x.g) AS nth FROM o) WHERE nth = 1"""
+
+
 _TOP = """SELECT query_id, doc_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id)::INT AS rank FROM (
     SELECT query_id, doc_id, max(grade) AS grade FROM result_bm25
     WHERE query_id IS NOT NULL AND doc_id IS NOT NULL AND grade IS NOT NULL AND NOT isnan(grade) GROUP BY query_id, doc_id)"""
@@ -99,6 +140,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT n_items, n_pairable, round(1 - seen * (n_pairable - 1) / (a * (n_pairable - a) + b * (n_pairable - b) + c * (n_pairable - c)), 9) AS alpha,
                 round(1 - (ab * x * x + bc * y * y + ac * z * z) * (n_pairable - 1) / (a * b * x * x + b * c * y * y + a * c * z * z), 9) AS alpha_ordinal
             FROM (SELECT *, (a + b) / 2 AS x, (b + c) / 2 AS y, a / 2 + b + c / 2 AS z FROM s)""",
+        "p2_annotators": f"""{_consensus_sql()} SELECT assessor_id, n_votes, round(reliability, 6) AS reliability, round(greatest(reliability - dev, 0), 6) AS low, round(least(reliability + dev, 1), 6) AS high,
+            reliability >= 0.6 AS reliable FROM who""",
+        "p2_found": _items_sql(),
         "p7_found": f"SELECT query_id, doc_id FROM ({_TOP}) WHERE rank <= 10",
         "p7_top_items": f"SELECT * FROM ({_TOP}) WHERE rank <= 10",
         "p9_found": f"{_PASSAGES} SELECT doc_id, item_id FROM f",
