@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from seamark.functions.html import extract_text, is_page, page_links
 from seamark.functions.urls import base_url, inlink_bump, link_score, url_keywords, url_relevance, useful_link
 from seamark.session import cut_lineage, delete, forget, store
 
@@ -79,12 +80,13 @@ def _saved_rounds(spark, saved: str) -> list[int]:
     return sorted(int(p.getName()[6:]) for p in paths if p.getName().startswith("round=") and fs.exists(sc._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def crawl(links: DataFrame, seeds: DataFrame, rounds: int | None, batch: int, pages: DataFrame | None = None, robots: DataFrame | None = None, most: int = MOST, saved: str | None = None) -> DataFrame:
+def crawl(links: DataFrame, seeds: DataFrame, rounds: int | None, batch: int, pages: DataFrame | None = None, robots: DataFrame | None = None, most: int = MOST, saved: str | None = None, open_until: int | None = None) -> DataFrame:
     """Crawl log (url, score, wave, turn) over ``links`` (src, dst) from ``seeds`` (url, score, wave).
 
     Ends with an empty frontier, ``most`` logged pages or, if given, after ``rounds``.  ``pages`` (id) are those that can be read and
     ``robots`` the rules of ``robots_allowed``; without them every url is read.  Pages and rules don't change, so they are applied once.  With ``saved``, a shared folder, the state of
-    the last two rounds is kept there, and a crawl that was broken off goes on from it.
+    the last two rounds is kept there, and a crawl that was broken off goes on from it.  With ``open_until`` no new urls
+    are taken up once so many pages are logged, known ones still rise.
     """
     links = links.where(useful_link(F.col("dst"))).select("src", "dst").distinct()
     start = seeds.select("url", F.col("score").cast("double").alias("score"), F.col("wave").cast("int").alias("wave"))
@@ -115,7 +117,7 @@ def crawl(links: DataFrame, seeds: DataFrame, rounds: int | None, batch: int, pa
         parent = F.min_by(F.struct("score", "wave"), F.struct(-F.col("score"), F.col("src"))).alias("parent")  # the one whose turn is first
         found = links.join(F.broadcast(taken.withColumnRenamed("url", "src")), "src").groupBy(F.col("dst").alias("url")).agg(parent, F.count(F.lit(1)).alias("new_links"))
         now = F.broadcast(taken.select("url", F.lit(turn).alias("now")))  # at most ``batch`` rows
-        merged = state.join(now, "url", "left").withColumn("turn", F.coalesce("turn", "now")).drop("now").join(found, "url", "full")
+        merged = state.join(now, "url", "left").withColumn("turn", F.coalesce("turn", "now")).drop("now").join(found, "url", "left" if open_until is not None and logged >= open_until else "full")
         wave = F.coalesce(F.col("wave"), F.col("parent.wave") + 1)
         fresh = link_score(url_relevance(url_keywords(F.col("url"))), F.col("parent.score"), wave)
         score = (
@@ -131,3 +133,22 @@ def crawl(links: DataFrame, seeds: DataFrame, rounds: int | None, batch: int, pa
             for old in _saved_rounds(state.sparkSession, saved)[:-2]:
                 delete(state.sparkSession, f"{saved}/round={old}")
     return state.where("turn IS NOT NULL").select("url", "score", "wave", "turn")
+
+
+def read_pages(pages: DataFrame, robots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a crawler takes from stored pages (id, headers, raw_html, one row per id): readable pages (id, title, text) and their links (src, dst).
+
+    Readable are those that the robots rules allow and that are pages by their content type; links are the distinct anchors in canonical
+    form, useful or not.
+    """
+    there = pages.where(is_page(F.col("headers")) & F.col("raw_html").isNotNull())
+    there = robots_allowed(there, robots) if robots is not None else there
+    links = page_links(there).select(F.col("id").alias("src"), F.col("target").alias("dst"))
+    return extract_text(there), links
+
+
+def crawl_stored(pages: DataFrame, seeds: DataFrame, batch: int, robots: DataFrame | None = None, most: int = MOST, open_until: int | None = 10_000, saved: str | None = None) -> DataFrame:
+    """Crawl log over stored pages from their HTML on: content types, robots rules, links, scores, and the limits of the serial crawler."""
+    there = pages.where(is_page(F.col("headers")) & F.col("raw_html").isNotNull())
+    links = page_links(there).select(F.col("id").alias("src"), F.col("target").alias("dst"))
+    return crawl(links, seeds, None, batch, there.select("id"), robots, most, saved, open_until)

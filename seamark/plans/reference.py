@@ -87,6 +87,13 @@ def _crawl(s, d) -> DataFrame:
     return C.crawl(links, seeds, None, 1000, pages=there, robots=_rules(s, d))
 
 
+def _crawl_stored(s, d) -> DataFrame:
+    """Crawl from the HTML of stored pages; the pages that seeds are said to link to are the entry here."""
+    pages, seeds = _pages(s, d), table(s, d, "crawl_seed")
+    entry = G.from_inlinks(table(s, d, "document"))[1].join(seeds.withColumnRenamed("url", "src"), "src").groupBy(F.col("dst").alias("url")).agg(F.max("score").alias("score"), F.min("wave").alias("wave"))
+    return C.crawl_stored(pages, entry, 1000, _rules(s, d))
+
+
 def _upserted(s, d, keep_if_empty: bool = False) -> DataFrame:
     """First fetch of every page, merged with its last."""
     doc = table(s, d, "document").where("id IS NOT NULL")
@@ -194,6 +201,7 @@ def queries() -> dict:
         "salsa_auth_5": lambda s, d: _round(G.salsa(*_graph(s, d), "authority"), "score"),
         "bounded_path": lambda s, d: G.bounded_path(_weighted(s, d), _SOURCE, _TARGET, _STOPS, _MOST_STOPS, _HOPS),
         "frontier_simulation": _crawl,
+        "crawl_stored_pages": _crawl_stored,
         # evaluation
         "merge_assessors": _qrels,
         "precision_recall_f1_at_k": lambda s, d: _round(E.at_cutoffs(*_judged(s, d)), "precision", "recall", "f1"),
@@ -380,7 +388,12 @@ _RELEVANCE = rf"""rel AS (SELECT id, 1.0::DOUBLE + len(list_filter(k, lambda w:
 _USEFUL = "^(?:" + "|".join(x.removeprefix("^") for x in U.USELESS_LINKS) + ")"
 
 
-def _crawl_sql(rounds: int = 6) -> str:
+_THERE = """SELECT id FROM (SELECT id, http_status, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, batch_no DESC NULLS LAST, http_status DESC NULLS LAST) AS nth
+    FROM document WHERE id IS NOT NULL) WHERE nth = 1 AND coalesce(http_status NOT IN (404, 410), true) UNION SELECT url FROM crawl_seed"""
+_ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)"""
+
+
+def _crawl_sql(rounds: int = 6, stored: bool = False) -> str:
     """The crawl, unrolled; rounds after the frontier is empty add nothing (it takes 3 at sf0.01)."""
     keys = _KEYS.replace("FROM document WHERE id IS NOT NULL", "FROM (SELECT id FROM document WHERE id IS NOT NULL UNION SELECT url FROM crawl_seed)")
 
@@ -388,17 +401,20 @@ def _crawl_sql(rounds: int = 6) -> str:
         times = f"greatest(0, least({new}, 9 - {n_in}))"
         return f"CASE WHEN {times} > 0 THEN round(round({score} + 0.0125::DOUBLE, 2) + ({times} - 1) * 0.01::DOUBLE, 2) ELSE {score} END"
 
+    hrefs = f"""SELECT DISTINCT id AS src, {_CANONICAL} AS dst FROM (SELECT *, {_dots('joined')} AS whole FROM (SELECT *, {_WHOLE} AS joined FROM (SELECT id, {_stripped('link')} AS bare FROM (
+        SELECT id, {_HREF} AS link FROM (SELECT id, unnest(regexp_extract_all(raw_html, '{_ANCHOR}', 1)) AS raw FROM live)) WHERE link <> '' AND NOT starts_with(link, '#')))) WHERE whole <> ''"""
     wave = "coalesce(z.wave, f.pw + 1)"
     fresh = f"round((0.4::DOUBLE * relevance + 0.3::DOUBLE * f.ps + 0.35::DOUBLE / {wave})::DECIMAL(18, 6), 2)::DOUBLE"
-    out = [f"""WITH {keys}, {_RELEVANCE}, {_GRAPH}, inl AS (SELECT DISTINCT {_CANON.format(_BARE)} AS src, id AS dst FROM (SELECT id, unnest(inlinks) AS link FROM document WHERE id IS NOT NULL) WHERE link <> ''),
+    out = [f"""WITH {keys}, {_RELEVANCE}, {_PAGES}, {_GRAPH}, inl AS (SELECT DISTINCT {_CANON.format(_BARE)} AS src, id AS dst FROM (SELECT id, unnest(inlinks) AS link FROM document WHERE id IS NOT NULL) WHERE link <> ''),
         rb AS (SELECT base, CASE WHEN status IN (401, 403) THEN false WHEN status >= 400 THEN true ELSE length(base) % 5 > 0 END AS ok FROM (
             SELECT base, min(http_status) AS status FROM (SELECT http_status, {_BASE.format('id')} AS base FROM document WHERE id IS NOT NULL) GROUP BY base)),
-        there AS (SELECT id FROM (SELECT id, http_status, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, batch_no DESC NULLS LAST, http_status DESC NULLS LAST) AS nth
-            FROM document WHERE id IS NOT NULL) WHERE nth = 1 AND coalesce(http_status NOT IN (404, 410), true) UNION SELECT url FROM crawl_seed),
+        live AS MATERIALIZED (SELECT id, raw_html FROM pages WHERE raw_html IS NOT NULL AND headers IN ('text/html', 'text/html; charset=UTF-8', 'text/html; charset=utf-8', 'text/html;charset=utf-8')),
+        begin_ AS MATERIALIZED (SELECT dst AS url, max(score) AS score, min(wave) AS wave FROM inl JOIN crawl_seed ON url = src GROUP BY dst),
+        there AS ({"SELECT id FROM live" if stored else _THERE}),
         okp AS MATERIALIZED (SELECT id FROM (SELECT id, {_BASE.format('id')} AS base FROM there) LEFT JOIN rb USING (base) WHERE coalesce(ok, true)),
-        lk AS MATERIALIZED (SELECT src, dst FROM (SELECT src, dst FROM edges UNION SELECT src, dst FROM inl) WHERE regexp_matches(dst, '^http://(www|en)') AND NOT regexp_matches(dst, '{_USEFUL}')
+        lk AS MATERIALIZED (SELECT src, dst FROM ({hrefs if stored else "SELECT src, dst FROM edges UNION SELECT src, dst FROM inl"}) WHERE regexp_matches(dst, '^http://(www|en)') AND NOT regexp_matches(dst, '{_USEFUL}')
             AND src IN (SELECT id FROM okp) AND dst IN (SELECT id FROM okp)),
-        z0 AS (SELECT url, max(score) AS score, min(wave) AS wave, 0::BIGINT AS n_in, NULL::INT AS turn FROM crawl_seed WHERE url IN (SELECT id FROM okp) GROUP BY url)"""]
+        z0 AS (SELECT url, max(score) AS score, min(wave) AS wave, 0::BIGINT AS n_in, NULL::INT AS turn FROM {"begin_" if stored else "crawl_seed"} WHERE url IN (SELECT id FROM okp) GROUP BY url)"""]
     for i in range(1, rounds + 1):
         out.append(f"""t{i} AS MATERIALIZED (SELECT url, score, wave FROM z{i - 1} WHERE turn IS NULL ORDER BY score DESC, url LIMIT 1000),
             f{i} AS MATERIALIZED (SELECT dst AS url, first(score ORDER BY score DESC, src) AS ps, first(wave ORDER BY score DESC, src) AS pw, count(*) AS n FROM lk JOIN t{i} ON url = src GROUP BY dst),
@@ -496,6 +512,7 @@ def oracle_sql() -> dict[str, str]:
         "salsa_auth_5": _salsa_sql("dst", "src", 5),
         "bounded_path": _path_sql(),
         "frontier_simulation": _crawl_sql(),
+        "crawl_stored_pages": _crawl_sql(8, stored=True),
         "merge_assessors": f"WITH {_MERGED} SELECT * FROM merged",
         "precision_recall_f1_at_k": f"""{_JUDGED}, l AS (SELECT query_id, max(rank) AS retrieved, max(n_rel) AS n_rel FROM j GROUP BY query_id),
             k AS (SELECT *, unnest([5, 10, 15, 20, 30, 100, 200, 500, 1000])::INT AS k FROM l),

@@ -12,7 +12,7 @@ from seamark.operators import evaluate as E
 from seamark.operators import graph as G
 from seamark.operators import index as I
 from seamark.operators import search as S
-from seamark.operators.crawl import crawl, robots_allowed, robots_rules
+from seamark.operators.crawl import crawl, crawl_stored, read_pages, robots_allowed, robots_rules
 from seamark.operators.heavy_keys import dominant_link_sources, key_load
 from seamark.operators.orphans import missing_references, orphan_references
 from seamark.sources import trec as T
@@ -387,3 +387,28 @@ def test_synced_documents_and_blocks(spark):
     with pytest.raises(ValueError):
         G.expand_base(pages.select("id"), pages.select("id"), edges, order="x")
     assert G.expand_base(pages.select("id").limit(1), pages.select("id"), edges, order="hash").count() == 2
+
+
+def test_crawl_of_stored_html(spark):
+    link = lambda *u: "".join(f"<a href='{x}'>x</a>" for x in u)
+    rows = [("http://www.a/1", "text/html", link("/2", "/3#top", "http://www.shut/4")), ("http://www.a/2", "text/html", link("/5")), ("http://www.a/3", "image/png", link("/5")),
+            ("http://www.shut/4", "text/html", link("/5")), ("http://www.a/5", "text/html", None), ("http://www.a/6", "text/html", "<p>alone")]
+    pages = spark.createDataFrame(rows, "id string, headers string, raw_html string")
+    seeds = spark.createDataFrame([("http://www.a/1", 4.0, 1)], "url string, score double, wave int")
+    rules = spark.createDataFrame([("http://www.shut", 403, True)], "base_url string, status int, allowed boolean")
+    assert {r["url"] for r in crawl_stored(pages, seeds, 10, rules).collect()} == {"http://www.a/1", "http://www.a/2"}
+    assert {r["url"] for r in crawl_stored(pages, seeds, 10, open_until=0).collect()} == {"http://www.a/1"}
+    texts, links = read_pages(pages, rules)
+    assert {r["id"] for r in texts.collect()} == {"http://www.a/1", "http://www.a/2", "http://www.a/6"} and links.count() == 4
+
+
+def test_report_and_ideal(spark):
+    run = E.best_run(spark.createDataFrame([("1", d, s) for d, s in (("a", 3.0), ("b", 2.0), ("c", 1.0))], "query_id string, doc_id string, grade double"))
+    qrels = spark.createDataFrame([("1", "b", 1), ("1", "x", 1), ("1", "y", 0)], "query_id string, doc_id string, grade int")
+    assert math.isclose(E.ndcg(run, qrels).first()["ndcg"], 1.0)  # a gain at rank 2 is not discounted
+    assert math.isclose(E.ndcg(run, qrels, ideal="qrels").first()["ndcg"], 0.5)
+    rows = {(r["measure"], r["cutoff"]): r["value"] for r in E.report(run, qrels).collect()}
+    assert rows["relevant", None] == 2 and rows["relevant_retrieved", None] == 1 and rows["precision", 5.0] == 0.2 and math.isclose(rows["f1", 5.0], 2 * 0.2 * 0.5 / 0.7)
+    assert E.report(run, qrels, per_query=True).where("query_id = '1'").count() == len(rows) and E.report(run.limit(0), qrels).count() == 0
+    with pytest.raises(ValueError):
+        E.ndcg(run, qrels, ideal="x")
