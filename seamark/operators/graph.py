@@ -96,9 +96,10 @@ def numbered(nodes: DataFrame) -> DataFrame:
     return store(nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()))
 
 
-def _by_number(edges: DataFrame, names: DataFrame, end: str) -> DataFrame:
-    """Edges with one end as a number; those whose end has none are left out."""
-    return edges.join(names.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n")), end).drop(end).withColumnRenamed(f"{end}_n", end)
+def _by_number(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Kept edges with numbers for their ends: those from nodes, dst null where it is none."""
+    ends = lambda c: names.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"))
+    return store(edges.join(ends("src"), "src").join(ends("dst"), "dst", "left").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst")))
 
 
 class Ways:
@@ -140,12 +141,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = 8, damping
     n = names.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("score"))
-    edges = closed(nodes, edges) if closed_graph else edges
-    weight = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
-    weight = store(_by_number(weight, names, "src"))
-    ways = Ways(_by_number(_by_number(edges, names, "src"), names, "dst"), "src")
-    state = names.select("n").join(weight.withColumnRenamed("src", "n"), "n", "left").select("n", "n_out", F.lit(1.0 / n).alias("score"))
-    state = lay_out(state, "n")
+    every = _by_number(edges, names)
+    inner = every.where("dst IS NOT NULL")
+    weight = (inner if closed_graph else every).groupBy(F.col("src").alias("n")).agg(F.count(F.lit(1)).alias("n_out"))
+    ways = Ways(inner, "src")
+    state = lay_out(names.select("n").join(weight, "n", "left").select("n", "n_out", F.lit(1.0 / n).alias("score")), "n")
     before, quiet, turn = None, 0, 0
     while turn < (most if rounds is None else rounds):
         lost = F.broadcast(state.agg(F.coalesce(F.sum(F.when(F.col("n_out").isNull(), F.col("score"))), F.lit(0.0)).alias("lost")))  # one row
@@ -181,9 +181,8 @@ def hits(base: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     Lengths don't change directions, so a round goes from hubs to authorities to hubs, and hubs are brought to length 1 before the next.
     """
     names = numbered(base)
-    inner = cut_lineage(_by_number(_by_number(edges, names, "src"), names, "dst"))
+    inner = _by_number(edges, names).where("dst IS NOT NULL")
     by_src, by_dst = Ways(inner, "src"), Ways(inner, "dst")
-    forget(inner)
     state = lay_out(names.select("n", F.lit(0.0).alias("authority"), F.lit(1.0).alias("hub")), "n")
     scale = F.lit(1.0)
     for turn in range(rounds):
@@ -213,13 +212,11 @@ def salsa(base: DataFrame, edges: DataFrame, kind: str = "hub", rounds: int | No
     own, far = ("src", "dst") if kind == "hub" else ("dst", "src")
     rounds = rounds or (3 if kind == "hub" else 5)
     names = numbered(base)
-    mine = edges.select(F.col(own).alias("own"), F.col(far).alias("far")).join(names.select(F.col("id").alias("own"), "n"), "own").select("n", "far")
-    far_names = numbered(mine.select(F.col("far").alias("id"))).withColumnsRenamed({"id": "far", "n": "f"})
-    far_deg = edges.groupBy(F.col(far).alias("far")).agg(F.count(F.lit(1)).alias("far_deg"))
-    ways = cut_lineage(mine.join(far_names.join(far_deg, "far"), "far").select("n", "f", "far_deg"))
+    both = store(edges.select(F.col(own).alias("own"), F.col(far).alias("far")))
+    far_names = store(both.groupBy("far").agg(F.count(F.lit(1)).alias("far_deg")).withColumn("f", F.monotonically_increasing_id()))
+    ways = store(both.join(names.select(F.col("id").alias("own"), "n"), "own").join(far_names, "far").select("n", "f", "far_deg"))
     by_own, by_far = Ways(ways.select("n", "f"), "n"), Ways(ways, "f")
-    forget(ways)
-    deg = mine.groupBy("n").agg(F.count(F.lit(1)).alias("deg"))
+    deg = ways.groupBy("n").agg(F.count(F.lit(1)).alias("deg"))
     state = names.select("n").join(deg, "n", "left")
     begun = F.broadcast(deg.agg(F.count(F.lit(1)).alias("begun")))
     state = lay_out(state.crossJoin(begun).select("n", "deg", F.when(F.col("deg").isNotNull(), 1.0 / F.col("begun")).otherwise(0.0).alias("score")), "n")
