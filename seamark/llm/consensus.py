@@ -17,8 +17,8 @@ from seamark.session import cut_lineage, forget, lay_out
 CLASS_PRIOR, RIGHT_PRIOR, WRONG_PRIOR = 1.0, 2.0, 1.0
 #: Rounds end when no reliability changes by more than TOLERANCE, after ROUNDS at the latest.
 ROUNDS, TOLERANCE = 30, 1e-3
-#: Votes of one item that one task takes at most, on average; items with more are parted.
-ITEM_VOTES = 100_000
+#: Votes of one item that one task takes at most, on average; items with more are parted.  There are at most LARGE_ITEMS of them, else the limit rises.
+ITEM_VOTES, LARGE_ITEMS = 100_000, 200_000
 #: An annotator with a lower posterior mean share of right labels is unreliable.
 RELIABLE = 0.6
 #: Posterior interval of a reliability: so many standard deviations either way.
@@ -58,11 +58,12 @@ class Consensus:
         self.turns = 0
         votes = cut_lineage(valid_votes(qrel, self.grades))
         per = votes.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("m"))
-        self.large = cut_lineage(per.where(F.col("m") > ITEM_VOTES))  # at most votes / ITEM_VOTES rows
+        limit = max(ITEM_VOTES, votes.count() // LARGE_ITEMS)
+        self.large = cut_lineage(per.where(F.col("m") > limit))  # at most LARGE_ITEMS rows
         self.salted = not self.large.isEmpty()
         self.part = ["query_id", "doc_id"]
         if self.salted:
-            votes = votes.join(F.broadcast(self.large), self.part, "left").withColumn("salt", F.pmod(F.xxhash64("assessor_id"), F.coalesce(F.ceil(F.col("m") / ITEM_VOTES), F.lit(1))).cast("int"))
+            votes = votes.join(F.broadcast(self.large), self.part, "left").withColumn("salt", F.pmod(F.xxhash64("assessor_id"), F.coalesce(F.ceil(F.col("m") / limit), F.lit(1))).cast("int"))
             self.part = [*self.part, "salt"]
         self.votes = lay_out(votes.select(*self.part, "assessor_id", "grade"), *self.part)
         if not rounds:

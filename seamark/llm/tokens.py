@@ -33,8 +33,8 @@ WINDOW, CUT_BITS = 16, 10
 LEAST, REACH = 256, 512
 #: Places of shared chunks that are broadcast (about 40 bytes each); longer lists are joined by a shuffle of the texts.
 BROADCAST_PLACES = 1_000_000
-#: Places from which on a chunk is hot; hot chunks are broadcast to the places that take them.
-HOT_PLACES = 100_000
+#: Places from which on a chunk is hot, and most hot chunks there are (a chunk has some 1,000 bytes); their ids are broadcast to the places that take them.
+HOT_PLACES, MOST_HOT = 100_000, 20_000
 
 _CLASS = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 other ASCII, 0 part of a longer character
 _CLASS[:128] = 3
@@ -278,9 +278,10 @@ def shared_places(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rid, seq, h, own) of all places of chunks that stand more than once, own at the first of them; and the hot ones of these chunks (h)."""
     found = store(chunk_hashes(rows).where("size > 0").drop("size"))
     groups = cut_lineage(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "seq")).alias("first")).where("n > 1"))
-    hot = groups.where(F.col("n") >= HOT_PLACES)  # at most chunks / HOT_PLACES rows
+    least = max(HOT_PLACES, found.count() // MOST_HOT)
+    hot = groups.where(F.col("n") >= least)  # at most MOST_HOT rows
     own = ((F.col("first.rid") == F.col("rid")) & (F.col("first.seq") == F.col("seq"))).alias("own")
-    places = found.join(groups.where(F.col("n") < HOT_PLACES), "h").unionByName(found.join(F.broadcast(hot), "h"))
+    places = found.join(groups.where(F.col("n") < least), "h").unionByName(found.join(F.broadcast(hot), "h"))
     return places.select("rid", "seq", "h", own), hot.select("h")
 
 
