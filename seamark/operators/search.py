@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seamark.functions.text import REFINE_STEMS, refined_tokens, term_counts, tokens
-from seamark.operators.index import Index, corpus_stats, term_stats
+from seamark.functions.text import REFINE_STEMS, refined_tokens, term_counts
+from seamark.operators.index import Index
 from seamark.session import cut_lineage
 
 K1, K2, B = 1.2, 100.0, 0.75
@@ -45,16 +45,6 @@ def match(index: Index, terms: DataFrame, weight: Column) -> DataFrame:
     return rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
-def match_texts(docs: DataFrame, terms: DataFrame, weight: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Like ``match``, of texts without an index, for a few terms; they are not stemmed."""
-    words = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("words"))
-    stats = corpus_stats(words.select("doc_id", F.size("words").cast("bigint").alias("len")))
-    found = words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    posts = found.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    rows = posts.join(F.broadcast(term_stats(posts).join(terms, "term")), "term").crossJoin(F.broadcast(stats))  # as many rows as terms, and one row
-    return rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
-
-
 def ranked(scores: DataFrame, k: int | None = None, score: str = "score") -> DataFrame:
     """Rank by score, ties by document, first ``k`` per query."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), "doc_id"))
@@ -86,8 +76,9 @@ def match_all(docs: DataFrame, *fields: str) -> DataFrame:
     return docs.select(*fields)
 
 
-def root_set(docs: DataFrame, words: list[str], k: int = 1000, key: str = "id", text: str = "text") -> DataFrame:
-    """(id): the first ``k`` hits of a topic by the default similarity; fewer if there are fewer."""
-    spark = docs.sparkSession
-    terms = spark.createDataFrame([("topic", w, 1) for w in words], "query_id string, term string, qtf long")
-    return ranked(match_texts(docs, terms, default_weight(), key, text), k).select(F.col("doc_id").alias("id"))
+def root_set(index: Index, words: list[str], k: int = 1000) -> DataFrame:
+    """(id): the first ``k`` hits of a topic by the default similarity; fewer if there are fewer.  Its words go through the index's analyzer."""
+    spark = index.posts.sparkSession
+    terms = term_counts(spark.createDataFrame([("topic", [w.lower() for w in words])], "doc_id string, words array<string>"), list(index.stop), index.stem)
+    terms = terms.select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
+    return ranked(match(index, terms, default_weight()), k).select(F.col("doc_id").alias("id"))

@@ -24,17 +24,22 @@ TOPIC = ["trawler", "harbour", "sank"]
 #: Stop list of the registered queries; longer ones are read from files (``read_words``).
 STOPS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 COUNTRIES = ["Norway", "South Korea", "Estonia", "Italy", "Ship News"]
-_INDEXES: dict[tuple[str, str], I.Index] = {}
+_INDEXES: dict[tuple[str, str, str], I.Index] = {}
 
 
-def _index(s, d) -> I.Index:
-    """Index of the documents of a folder: built by the first query that searches it, and used by all others of the program."""
-    at = (s.sparkContext.applicationId, d)
+def _index(s, d, of: str = "documents") -> I.Index:
+    """Index of the documents, or of the pages, of a folder: built by the first query that searches it, and used by all others of the program."""
+    at = (s.sparkContext.applicationId, d, of)
     if at not in _INDEXES:
-        _INDEXES[at] = I.build_index(table(s, d, "documents"), shared_folder(s), stop=tuple(STOPS))
+        docs, key = (table(s, d, of), "doc_id") if of == "documents" else (_pages(s, d).select("id", "text"), "id")
+        _INDEXES[at] = I.build_index(docs, shared_folder(s), key, stop=tuple(STOPS))
     return _INDEXES[at]
 
 
+def _roots(s, d) -> DataFrame:
+    return S.root_set(_index(s, d, "pages"), TOPIC)
+
+
 def _round(df: DataFrame, *cols: str, places: int = 8) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in cols})
 
@@ -126,7 +131,7 @@ def _link_scores(s, d) -> DataFrame:
 
 def _top_hits(s, d, kind: str) -> DataFrame:
     """Top 500 of the HITS scores of a topic's base set."""
-    base = cut_lineage(G.expand_base(S.root_set(_pages(s, d), TOPIC), *_graph(s, d)))
+    base = cut_lineage(G.expand_base(_roots(s, d), *_graph(s, d)))
     return G.top_scores(*_graph(s, d), _round(G.hits(base, _graph(s, d)[1]).select("id", F.col(kind).alias("score")), "score"))
 
 
@@ -154,7 +159,7 @@ def queries() -> dict:
         "query_string_page": lambda s, d: S.page_of_hits(_index(s, d), asked(s, d), 201, 220).select("query_id", "doc_id"),
         "term_lookup": lambda s, d: S.term_lookup(_index(s, d), "trawler"),
         "match_all_scan": lambda s, d: S.match_all(doc(s, d), "doc_id", "source", "n_chars"),
-        "root_set": lambda s, d: S.root_set(_pages(s, d), TOPIC),
+        "root_set": lambda s, d: _roots(s, d),
         "run_lines": lambda s, d: T.run_lines(E.best_run(table(s, d, "result_bm25")).withColumn("score", F.col("score").cast("decimal(18,6)"))),
         "trec_doc_format": lambda s, d: T.trec_documents(doc(s, d), "doc_id", "source", "text", "wave"),
         # urls and pages
@@ -195,7 +200,7 @@ def queries() -> dict:
         "top500_pagerank": lambda s, d: G.top_scores(*_graph(s, d), _round(G.pagerank(*_graph(s, d), rounds=None), "score", places=10)),
         "top500_authorities": lambda s, d: _top_hits(s, d, "authority"),
         "top500_hubs": lambda s, d: _top_hits(s, d, "hub"),
-        "expand_base": lambda s, d: G.expand_base(S.root_set(_pages(s, d), TOPIC), *_graph(s, d)),
+        "expand_base": lambda s, d: G.expand_base(_roots(s, d), *_graph(s, d)),
         "hits_10": lambda s, d: _round(G.hits(*_graph(s, d)), "authority", "hub"),
         "salsa_hub_3": lambda s, d: _round(G.salsa(*_graph(s, d), "hub"), "score"),
         "salsa_auth_5": lambda s, d: _round(G.salsa(*_graph(s, d), "authority"), "score"),
@@ -263,8 +268,10 @@ _TRADE = """lines AS MATERIALIZED (SELECT 'c' || o_custkey AS c, 's' || l_suppke
 _CLOSED = "closed AS MATERIALIZED (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))"
 _LINKS = "links AS MATERIALIZED (SELECT DISTINCT id, link FROM (SELECT id, unnest(outlinks) AS link FROM document WHERE id IS NOT NULL) WHERE link <> '')"
 _BASE = r"regexp_extract({0}, '^([a-zA-Z][^:/?#]*)://', 1) || '://' || regexp_extract({0}, '^[a-zA-Z][^:/?#]*://([^/?#]*)', 1)"
-_ROOT = rf"""rposts AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_TOKENS.format('text')}) AS term FROM pages) WHERE term IN {_list(TOPIC)} GROUP BY id, term),
-    rlens AS (SELECT id, coalesce(len({_TOKENS.format('text')}), 0) AS len FROM pages), rst AS (SELECT count(*) AS n, avg(len) AS avg_len FROM rlens),
+_ROOT = rf"""ptok AS MATERIALIZED (SELECT id, unnest({_TOKENS.format('text')}) AS term FROM pages), {stems('ptok')},
+    rall AS MATERIALIZED (SELECT id, stem AS term, count(*) AS tf FROM ptok JOIN stems USING (term) WHERE stem NOT IN {_STOP} GROUP BY id, stem),
+    rposts AS (SELECT * FROM rall WHERE term IN ('trawler', 'harbour', 'sank')), rlens AS (SELECT id, sum(tf) AS len FROM rall GROUP BY id),
+    rst AS (SELECT (SELECT count(*) FROM pages) AS n, (SELECT sum(tf) FROM rall) / (SELECT count(*) FROM pages) AS avg_len),
     rts AS (SELECT term, count(*) AS df, 1 AS qtf FROM rposts GROUP BY term),
     roots AS MATERIALIZED (SELECT id FROM (SELECT id, sum({_DEFAULT}) AS score FROM rposts JOIN rts USING (term) JOIN rlens USING (id), rst GROUP BY id) ORDER BY round(score, 9) DESC, id LIMIT 1000)"""
 
