@@ -48,14 +48,22 @@ def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return rows.withColumn("precision", F.col("hits") / F.col("rank")).withColumn("recall", F.col("hits") / F.col("n_rel"))
 
 
-def at_cutoffs(run: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
-    """(query_id, k, precision, recall, f1); beyond what was retrieved the hits stay, f1 is null without any hit."""
-    rows = judged(run, qrels)
+def at_cutoffs(run: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, total: int | None = None, compat: bool = False) -> DataFrame:
+    """(query_id, k, precision, recall, f1); beyond what was retrieved the hits stay, f1 is null without any hit.
+
+    With ``total`` only so many documents of a query are looked at.  ``compat`` looks at one more, and beyond them
+    gives the last precision as the recall and no f1, as older figures have it.
+    """
+    rows = judged(run if total is None else run.where(F.col("rank") <= total + compat), qrels)
     last = rows.groupBy("query_id").agg(F.max("rank").alias("retrieved"), F.max("n_rel").alias("n_rel"))
     grid = last.withColumn("k", F.explode(F.array(*[F.lit(k) for k in cutoffs])))
     at = grid.withColumn("at", F.least("k", "retrieved")).join(rows.select("query_id", F.col("rank").alias("at"), "hits"), ["query_id", "at"])
     p, r = F.col("hits") / F.col("k"), F.col("hits") / F.col("n_rel")
-    return at.select("query_id", "k", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).alias("f1"))
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r))
+    if compat:
+        beyond = F.col("k") > F.col("retrieved")
+        r, f1 = F.when(beyond, F.col("hits") / F.col("retrieved")).otherwise(r), F.when(~beyond, f1)
+    return at.select("query_id", "k", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
 def average_precision(run: DataFrame, qrels: DataFrame) -> DataFrame:

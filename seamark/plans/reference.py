@@ -210,6 +210,7 @@ def queries() -> dict:
         # evaluation
         "merge_assessors": _qrels,
         "precision_recall_f1_at_k": lambda s, d: _round(E.at_cutoffs(*_judged(s, d)), "precision", "recall", "f1"),
+        "cutoffs_compat": lambda s, d: _round(E.at_cutoffs(*_judged(s, d), total=20, compat=True), "precision", "recall", "f1"),
         "average_precision": lambda s, d: _round(E.average_precision(*_judged(s, d)), "ap"),
         "r_precision": lambda s, d: _round(E.r_precision(*_judged(s, d)), "r_precision"),
         "interpolated_pr": lambda s, d: _round(E.interpolated(*_judged(s, d)), "precision"),
@@ -525,6 +526,10 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT *, unnest([5, 10, 15, 20, 30, 100, 200, 500, 1000])::INT AS k FROM l),
             p AS (SELECT k.query_id, k, hits / k AS p, hits / k.n_rel AS r FROM k JOIN j ON j.query_id = k.query_id AND j.rank = least(k, retrieved))
             SELECT query_id, k, round(p, 8) AS precision, round(r, 8) AS recall, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 8) END AS f1 FROM p""",
+        "cutoffs_compat": f"""{_JUDGED}, t AS (SELECT * FROM j WHERE rank <= 21), l AS (SELECT query_id, max(rank) AS retrieved, max(n_rel) AS n_rel FROM t GROUP BY query_id),
+            k AS (SELECT *, unnest([5, 10, 15, 20, 30, 100, 200, 500, 1000])::INT AS k FROM l),
+            p AS (SELECT k.query_id, k, k > retrieved AS beyond, hits / k AS p, hits / k.n_rel AS r, hits / retrieved AS last FROM k JOIN t ON t.query_id = k.query_id AND t.rank = least(k, retrieved))
+            SELECT query_id, k, round(p, 8) AS precision, round(CASE WHEN beyond THEN last ELSE r END, 8) AS recall, CASE WHEN p + r > 0 AND NOT beyond THEN round(2 * p * r / (p + r), 8) END AS f1 FROM p""",
         "eval_means_at_k": f"""{_JUDGED}, l AS (SELECT query_id, max(rank) AS retrieved, max(n_rel) AS n_rel FROM j GROUP BY query_id),
             k AS (SELECT *, unnest([5, 10, 15, 20, 30, 100, 200, 500, 1000])::INT AS k FROM l),
             p AS (SELECT k.query_id, k, hits / k AS p, hits / k.n_rel AS r FROM k JOIN j ON j.query_id = k.query_id AND j.rank = least(k, retrieved))
