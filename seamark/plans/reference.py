@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seamark.functions import html as H
-from seamark.functions import text as X
 from seamark.functions import urls as U
 from seamark.operators import crawl as C
 from seamark.operators import evaluate as E
@@ -228,10 +227,6 @@ def queries() -> dict:
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 
-def _list(words) -> str:
-    return "(" + ", ".join("'" + w + "'" for w in words) + ")"
-
-
 _POSTS = f"posts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY doc_id, term)"
 _LENS = f"lens AS MATERIALIZED (SELECT doc_id, coalesce(len({_TOKENS.format('text')}), 0)::BIGINT AS len FROM documents)"
 _STOP = "('a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with')"
@@ -389,11 +384,22 @@ _NAME = r"""CASE WHEN path LIKE '%Category:%' THEN regexp_extract(path, 'Categor
 _KEYS = rf"""keys AS (SELECT id, list_filter(CASE WHEN contains(name, '_') THEN head || string_split(name, '_') WHEN contains(name, '-') THEN head || string_split(name, '-') ELSE [name] END, lambda w: w <> '') AS k
     FROM (SELECT id, {_NAME} AS name, CASE WHEN path LIKE '%Category:%' THEN ['Category'] ELSE []::VARCHAR[] END AS head
     FROM (SELECT DISTINCT id, regexp_extract(id, '^[a-zA-Z][^:/?#]*://[^/?#]*([^?#]*)', 1) AS path FROM document WHERE id IS NOT NULL)))"""
-_SEA = _list([*U.SHIP_WORDS, *U.NAMED_SHIPS])
-_RELEVANCE = rf"""rel AS (SELECT id, 1.0::DOUBLE + len(list_filter(k, lambda w: w IN {_SEA})) - len(list_filter(k, lambda w: w NOT IN {_SEA} AND w IN {_list(U.LAND_WORDS)}))
-    + CASE WHEN len(list_filter(k, lambda w: w IN {_SEA})) > 0 THEN 1.5 * len(list_filter(k, lambda w: w IN {_list(U.DISASTER_WORDS)}))
-      + CASE WHEN len(list_filter(k, lambda w: w IN {_list(U.DISASTER_WORDS)})) > 0 AND lower(k[1]) IN ('category', 'list') THEN 2 ELSE 0 END ELSE 0 END AS relevance FROM keys)"""
-_USEFUL = "^(?:" + "|".join(x.removeprefix("^") for x in U.USELESS_LINKS) + ")"
+# fixed values, written out for themselves so that they can check the engine's
+_SEA = """('uss','hms','rms','ms','titan','titanic','armada','submarin','ship','warship','boat','maritim','marin','cruis','vessel','seoul','shipwreck','wreckag','wreck','sink','sunk','lifeboat',
+    'submerg','fog','rocki','sewol','mv','naval','fleet','navy','liner','starship','battleship','passeng','voyag','sea','nautic','fisherman','distress',
+    'dona','paz','black','swan','white','vasa','queen','mary','rose','arizona','lusitania','sultana','republic','rms','titanic','ss','kiangya','seawise','giant','eastland','wilhelm','gustloff','rhone')"""
+_BAD = """('earthquak','fatal','accid','disast','death','rescu','survivor','rediscov','excav','tragedi','tragic','unidentifi','recov','helicopt','doom','collid','overturn','inquiri','catastroph','danger','lost','save')"""
+_LAND = """('aviat','airbu','boe','takeoff','aviat','jet','engin','land','airlin','aerial','pilot','airplan','airway','malfunct','runway','aeroplan','plane','aircraft','airport','turbul','cockpit','debri','crash','explos',
+    'rail','railway','train','line','railroad','tram','electr','derail','wagon','coach')"""
+_RELEVANCE = rf"""rel AS (SELECT id, 1.0::DOUBLE + len(list_filter(k, lambda w: w IN {_SEA})) - len(list_filter(k, lambda w: w NOT IN {_SEA} AND w IN {_LAND}))
+    + CASE WHEN len(list_filter(k, lambda w: w IN {_SEA})) > 0 THEN 1.5 * len(list_filter(k, lambda w: w IN {_BAD}))
+      + CASE WHEN len(list_filter(k, lambda w: w IN {_BAD})) > 0 AND lower(k[1]) IN ('category', 'list') THEN 2 ELSE 0 END ELSE 0 END AS relevance FROM keys)"""
+_USEFUL = (
+    r"^(?:http://en\.wikipedia\.org/w/index\.php|http://en\.wikipedia\.org/wiki/Main_Page|.+wiki/Help|http://www\.cruiselinefans.+|.*facebook.*|.*wikimedia.*|.+share.+|.+/shop.*|.+license.*|.+/blog.*|.+/copyright.*|"
+    r"http://en\.wikipedia\.org/wiki/Wikipedia:|.*mediawiki.*|.*language.*|.+/wiki.+Template:.+|.+/wiki/Special:.+|.+wiki/Portal:.+|.+wiki/Talk:.+|.+wiki.+talk:.+|.*donate.*|.*music.*|.*login.*|.*food.*|.*garden.*|"
+    r".*defence-news.*|.*exhibitions.*|.*privacy.*|.*finance.*|.*sport.*|.*horoscope.*|.*entertainment.*|.*user.*|.*advertise.*|.*watsapp.*|.*book.*|.*/science/.*|.*celebrity.*|.*/travel/.*|.*style.*|.*corona.*|"
+    r".*art.*|.*literature.*|.*religion.*|.*law.*|.*politics.*|http://en\.m|http://www\.yonhapnews\.co\.kr|http://www\.ytn\.co\.kr/|.*\.jpg$|.*\.JPG$|.*\.svg$|.*\.asp$|.*\.png$)"
+)
 
 
 _THERE = """SELECT id FROM (SELECT id, http_status, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, batch_no DESC NULLS LAST, http_status DESC NULLS LAST) AS nth
@@ -469,7 +475,7 @@ def oracle_sql() -> dict[str, str]:
         "extract_title": "SELECT DISTINCT id, regexp_extract(raw_html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM document WHERE raw_html IS NOT NULL",
         "extract_links": rf"""SELECT DISTINCT id, {_CANONICAL} AS target FROM (SELECT *, {_dots('joined')} AS whole FROM (SELECT *, {_WHOLE} AS joined FROM (SELECT id, {_stripped('link')} AS bare FROM (
             SELECT id, {_HREF} AS link FROM (SELECT id, unnest(regexp_extract_all(raw_html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1)) AS raw FROM document)) WHERE link <> '' AND NOT starts_with(link, '#')))) WHERE whole <> ''""",
-        "page_type_filter": f"SELECT headers, count(*) AS n FROM document WHERE headers IN {_list(H.PAGE_TYPES)} GROUP BY headers",
+        "page_type_filter": f"SELECT headers, count(*) AS n FROM document WHERE headers IN ('text/html', 'text/html; charset=UTF-8', 'text/html; charset=utf-8', 'text/html;charset=utf-8') GROUP BY headers",
         "robots_filter": f"""WITH d AS (SELECT id, http_status, {_BASE.format('id')} AS base FROM document WHERE id IS NOT NULL),
             r AS (SELECT base, min(http_status) AS status, length(base) % 5 > 0 AS allowed FROM d GROUP BY base)
             SELECT DISTINCT id FROM d JOIN r USING (base) WHERE CASE WHEN status IN (401, 403) THEN false WHEN status >= 400 THEN true ELSE allowed END""",
