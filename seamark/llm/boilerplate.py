@@ -26,6 +26,8 @@ BLOCK_BYTES = 1 << 20
 FRAME_SHARE, OPENER_SHARE = 0.9, 0.6
 #: Boxes inside content regions are frame if their shape stands beside so many different bodies.
 RECURS = 3
+#: Shapes that stand on most lines are broadcast, so many of them (32 bytes each); the others are joined by a shuffle.
+COMMON = 50_000
 
 _CAPITAL = re.compile(r"(?<=\s)[^\W\d_a-zß-öø-ÿ][\w'’-]*(?: [^\W\d_a-zß-öø-ÿ][\w'’-]*)*")
 _REPEAT = re.compile(r"( ?[^\w\s]* ?X)(?:\1)+")
@@ -129,7 +131,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learnt_shapes(judged: DataFrame) -> DataFrame:
-    """(shape, share, opens) of the shapes that are frame: the share of their lines that are, and of those that open a box.
+    """(shape, n, share, opens) of the shapes that are frame: their lines, the share of these that are, and of those that open a box.
 
     Lines of undecided boxes are frame if boxes of pages with RECURS different bodies have their shape: an article's own
     list goes with its body, wherever that is copied to, and a prompt stands in any.
@@ -143,7 +145,15 @@ def learnt_shapes(judged: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.sum("frames").alias("frames"), F.sum("openers").alias("openers"), F.coalesce(F.sum(F.when(boxed, F.col("n"))), F.lit(0)).alias("boxed"), F.count("body").alias("bodies")
     )
     share = (F.col("frames") + F.when(F.col("bodies") >= RECURS, F.col("boxed")).otherwise(0)) / F.col("n")
-    return s.select("shape", share.alias("share"), (F.col("openers") / F.col("n")).alias("opens")).where(F.col("share") >= FRAME_SHARE)
+    return s.select("shape", "n", share.alias("share"), (F.col("openers") / F.col("n")).alias("opens")).where(F.col("share") >= FRAME_SHARE)
+
+
+def _with_shapes(lines: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Lines with share and opens of their shape, null where it is none of ``shapes``.  A prompt that very many lines show makes no task of its own."""
+    known = shapes.select("shape", "share", "opens")
+    common = F.broadcast(shapes.orderBy(F.desc("n"), "shape").limit(COMMON).select("shape", "share", "opens"))
+    first = lines.join(common, "shape", "left")
+    return first.where("share IS NOT NULL").unionByName(first.where("share IS NULL").drop("share", "opens").join(known, "shape", "left"))
 
 
 def frame_lines(pages: DataFrame, id: str = "id", text: str = "text", html: str = "raw_html") -> DataFrame:
@@ -160,10 +170,11 @@ def frame_lines(pages: DataFrame, id: str = "id", text: str = "text", html: str
     whole = judged.where("quality = 2")
     sure = whole.select("id", F.explode("frame").alias("line_no"))
     rest = judged.where("quality < 2").join(best, ["id", "quality"], "left_semi")
-    shapes = learnt_shapes(judged)
-    boxes = whole.select("id", F.explode("undecided").alias("u")).select("id", "u.line", "u.shape").join(shapes.select("shape"), "shape").select("id", F.col("line").alias("line_no"))
+    shapes = cut_lineage(learnt_shapes(judged))
+    boxes = whole.select("id", F.explode("undecided").alias("u")).select("id", "u.line", "u.shape")
+    boxes = _with_shapes(boxes, shapes).where("share IS NOT NULL").select("id", F.col("line").alias("line_no"))
     lines = rest.select("id", "rid", F.explode("undecided").alias("u")).select("id", "rid", "u.line", "u.shape", "u.sentence", "u.entry", "u.behind")
-    known = lines.join(shapes, "shape", "left")
+    known = _with_shapes(lines, shapes)
     # the last line before that is no entry itself tells whether a box is open; content in between closes it
     known = known.withColumn("run", F.sum(F.col("behind").cast("int")).over(W.partitionBy("rid").orderBy("line").rowsBetween(W.unboundedPreceding, 0)))
     before = W.partitionBy("rid", "run").orderBy("line").rowsBetween(W.unboundedPreceding, -1)

@@ -31,7 +31,9 @@ HTML = """<html><head><title>t</title></head><body><ul class="m"><li><a href="/a
 TEXT = "Home - Maps\nThe old ferry sank near the harbour in heavy fog, and all of its crew were saved by a tug.\n\nShare this page\nAn inquiry into the loss of the ferry was opened by the port on the following Monday.\nMost read\n* the lost tug"
 
 
-def test_frame_lines(spark):
+@pytest.mark.parametrize("common", [50_000, 1])
+def test_frame_lines(spark, monkeypatch, common):
+    monkeypatch.setattr("seamark.llm.boilerplate.COMMON", common)
     rows = [("p1", TEXT, HTML, None, 1), ("p1", TEXT, None, None, 1), ("p2", TEXT, None, [], 1), ("p3", None, HTML, None, 1), (None, TEXT, HTML, None, 1), ("p4", "", HTML, None, 1), ("p5", TEXT, "", None, 1)]
     df = spark.createDataFrame(rows, PAGE)
     got = {}
