@@ -79,9 +79,13 @@ def r_precision(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
 def interpolated(run: DataFrame, qrels: DataFrame, recalls: tuple[float, ...] = RECALLS) -> DataFrame:
     """(query_id, recall_level, precision): best precision from the first rank that reaches the level on; 0 if none does."""
-    rows = judged(run, qrels)
-    on = W.partitionBy("query_id").orderBy("rank").rowsBetween(0, W.unboundedFollowing)
-    rows = rows.withColumn("best", F.max("precision").over(on))
+    return _interpolated(judged(run, qrels), recalls)
+
+
+def _interpolated(rows: DataFrame, recalls: tuple[float, ...] = RECALLS) -> DataFrame:
+    # from the last rank back: a frame that begins at each row and ends with the last one is computed anew per row
+    back = W.partitionBy("query_id").orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("best", F.max("precision").over(back))
     parts = [F.struct(F.lit(r).alias("recall_level"), F.coalesce(F.min_by("best", F.when(F.col("recall") >= r, F.col("rank"))), F.lit(0.0)).alias("precision")) for r in recalls]
     return rows.groupBy("query_id").agg(F.array(*parts).alias("x")).select("query_id", F.explode("x").alias("x")).select("query_id", "x.*")
 
