@@ -418,7 +418,7 @@ def test_interpolation_of_a_long_ranking_reads_each_rank_once(spark):
     # a frame from each row to the last one takes time with the square of the longest ranking
     best = spark.range(60_000).selectExpr("'1' AS query_id", "CAST(id AS STRING) AS doc_id", "CAST(-id AS DOUBLE) AS score", "CAST(id + 1 AS INT) AS rank")
     qrels = spark.range(0, 60_000, 3).selectExpr("'1' AS query_id", "CAST(id AS STRING) AS doc_id", "1 AS grade")
-    for df in (E.interpolated(best, qrels),):
+    for df in (E.interpolated(best, qrels), E.pr_curve(best, qrels)):
         assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
     got = {r["recall_level"]: r["precision"] for r in E.interpolated(best, qrels).collect()}
     assert got[0.0] == 1.0 and math.isclose(got[1.0], 20_000 / 59_998) and len(got) == 11
