@@ -422,3 +422,9 @@ def test_interpolation_of_a_long_ranking_reads_each_rank_once(spark):
         assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
     got = {r["recall_level"]: r["precision"] for r in E.interpolated(best, qrels).collect()}
     assert got[0.0] == 1.0 and math.isclose(got[1.0], 20_000 / 59_998) and len(got) == 11
+
+
+def test_report_judges_the_run_once(spark):
+    run = E.best_run(spark.createDataFrame([("1", d, s) for d, s in (("a", 3.0), ("b", 2.0))], "query_id string, doc_id string, grade double"))
+    plan = E.report(run, spark.createDataFrame([("1", "b", 1)], "query_id string, doc_id string, grade int"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "parquet" in plan  # all measures read the stored rows, not the run and the judgements
