@@ -125,29 +125,34 @@ def term_counts(docs: DataFrame, stop: list[str] | None = None, stem: bool = Fal
     drop = frozenset(stop or ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stems = Stems()
-        for batch in batches:
-            column = batch.column("words")
-            sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
-            coded = pc.list_flatten(column).dictionary_encode()
-            if not len(coded):
-                continue
-            words = coded.dictionary.to_pylist()
-            if stop_first:
-                words = [None if w in drop else w for w in words]
-            if stem:
-                words = [None if w is None else stems[w] for w in words]
-            if not stop_first:
-                words = [None if w in drop else w for w in words]
-            terms = pa.array(words, pa.string()).dictionary_encode()
-            code = np.asarray(pc.fill_null(terms.indices, -1), np.int64)[np.asarray(coded.indices)]
-            row = np.repeat(np.arange(len(sizes)), sizes)[code >= 0]
-            code, many = code[code >= 0], max(len(terms.dictionary), 1)
-            length = np.bincount(row, minlength=len(sizes))
-            both, tf = np.unique(row * many + code, return_counts=True)
-            row, code = both // many, both % many
+        for batch, row, code, tf, length, terms in counted(batches, drop, stem, stop_first):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), pa.array(length[row], pa.int64()), terms.dictionary.take(pa.array(code)), pa.array(tf, pa.int64())], names=["doc_id", "len", "term", "tf"]
+                [batch.column("doc_id").take(pa.array(row)), pa.array(length[row], pa.int64()), terms.take(pa.array(code)), pa.array(tf, pa.int64())], names=["doc_id", "len", "term", "tf"]
             )
 
     return docs.select("doc_id", "words").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, len long, term string, tf long")
+
+
+def counted(batches: Iterator[pa.RecordBatch], drop: frozenset = frozenset(), stem: bool = False, stop_first: bool = False) -> Iterator[tuple]:
+    """(batch, row, code, tf, length, terms) of batches of (doc_id, words): the row, the place among ``terms`` and the count of each posting, and the length of each row."""
+    stems = Stems()
+    for batch in batches:
+        column = batch.column("words")
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+        coded = pc.list_flatten(column).dictionary_encode()
+        if not len(coded):
+            continue
+        words = coded.dictionary.to_pylist()
+        if stop_first:
+            words = [None if w in drop else w for w in words]
+        if stem:
+            words = [None if w is None else stems[w] for w in words]
+        if not stop_first:
+            words = [None if w in drop else w for w in words]
+        terms = pa.array(words, pa.string()).dictionary_encode()
+        code = np.asarray(pc.fill_null(terms.indices, -1), np.int64)[np.asarray(coded.indices)]
+        row = np.repeat(np.arange(len(sizes)), sizes)[code >= 0]
+        code, many = code[code >= 0], max(len(terms.dictionary), 1)
+        length = np.bincount(row, minlength=len(sizes))
+        both, tf = np.unique(row * many + code, return_counts=True)
+        yield batch, both // many, both % many, tf, length, terms.dictionary

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamark.functions.text import term_counts, tokens
-from seamark.session import parallelism
+from seamark.operators.topk import pack, unpack
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", stop: list[str] | None = None, stem: bool = False, stop_first: bool = False) -> DataFrame:
@@ -23,51 +23,43 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", stop: lis
 
 @dataclass
 class Index:
-    """A stored index: ``posts`` (doc_id, len, term, tf), known to be bucketed by document and sorted by term, ``terms`` (term, df, ttf) and ``stats``, one row (n_docs, total_len, avg_len)."""
+    """A stored index: ``shards``, the packed postings (see ``topk.pack``), ``terms`` (term, df, ttf) and ``stats``, one row (n_docs, total_len, avg_len)."""
 
-    posts: DataFrame
+    shards: DataFrame
     terms: DataFrame
     stats: DataFrame
     stop: tuple[str, ...] = ()
     stem: bool = False
 
+    @property
+    def posts(self) -> DataFrame:
+        """(doc_id, len, term, tf)."""
+        return unpack(self.shards)
 
-def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", stop: tuple[str, ...] = (), stem: bool = True, buckets: int | None = None) -> Index:
+
+def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", stop: tuple[str, ...] = (), stem: bool = True) -> Index:
     """Write the index of documents with unique keys to ``path`` and open it.
 
-    Documents are counted where they lie.  A bucket has all terms of its documents, so scores are added up without a shuffle, and
-    its rows are sorted by term, so a look-up reads few row groups.  ``buckets`` should give buckets of some 100 MB.
+    Documents are counted and packed where they lie; only their terms' counts are shuffled.
     """
     spark = docs.sparkSession
     words = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("words"))
-    rows = term_counts(words, list(stop), stem)
-    many = buckets or parallelism(spark)
-    # one writer per bucket, by the hash that buckets are numbered with
-    rows.repartition(many, "doc_id").write.bucketBy(many, "doc_id").sortBy("term").option("path", f"{path}/posts").format("parquet").saveAsTable(_name(path))
-    posts = spark.table(_name(path))
-    posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf")).write.parquet(f"{path}/terms")
+    # row groups of some 100 MB at most
+    pack(words, list(stop), stem).write.option("parquet.block.row.count.limit", 16).parquet(f"{path}/shards")
+    counts = spark.read.parquet(f"{path}/shards").select(F.explode(F.arrays_zip("terms", "df", "ttf")).alias("x"))
+    counts.groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df"), F.sum("x.ttf").alias("ttf")).write.parquet(f"{path}/terms")
     total = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("ttf"), F.lit(0)).alias("total_len"))
     n = docs.select(F.count(F.lit(1)).alias("n_docs"))
     stats = n.crossJoin(total).withColumn("avg_len", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")))  # one row each
-    stats.withColumns({"stop": F.array(*[F.lit(w) for w in stop]).cast("array<string>"), "stem": F.lit(stem), "buckets": F.lit(many)}).coalesce(1).write.parquet(f"{path}/stats")
+    stats.withColumns({"stop": F.array(*[F.lit(w) for w in stop]).cast("array<string>"), "stem": F.lit(stem)}).coalesce(1).write.parquet(f"{path}/stats")
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """The index stored at ``path``; its buckets are made known to this session if they are not yet."""
+    """The index stored at ``path``."""
     stats = spark.read.parquet(f"{path}/stats")
     how = stats.first()
-    if not spark.catalog.tableExists(_name(path)):
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/posts").schema)
-        spark.sql(f"CREATE TABLE {_name(path)} ({columns}) USING parquet CLUSTERED BY (doc_id) SORTED BY (term) INTO {how['buckets']} BUCKETS LOCATION '{path}/posts'")
-    return Index(spark.table(_name(path)), spark.read.parquet(f"{path}/terms"), stats.select("n_docs", "total_len", "avg_len"), tuple(how["stop"]), how["stem"])
-
-
-def _name(path: str) -> str:
-    """Name of the table of an index's postings."""
-    import hashlib
-
-    return "posts_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+    return Index(spark.read.parquet(f"{path}/shards"), spark.read.parquet(f"{path}/terms"), stats.select("n_docs", "total_len", "avg_len"), tuple(how["stop"]), how["stem"])
 
 
 def term_stats(posts: DataFrame) -> DataFrame:

@@ -428,3 +428,36 @@ def test_report_judges_the_run_once(spark):
     run = E.best_run(spark.createDataFrame([("1", d, s) for d, s in (("a", 3.0), ("b", 2.0))], "query_id string, doc_id string, grade double"))
     plan = E.report(run, spark.createDataFrame([("1", "b", 1)], "query_id string, doc_id string, grade int"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "parquet" in plan  # all measures read the stored rows, not the run and the judgements
+
+
+def test_search_of_many_queries_in_blocks(spark, tmp_path, monkeypatch):
+    # equal queries, equal documents, a term that all documents hold, more hits than are asked for; against plain sums
+    texts = [" ".join(["sea"] + [f"w{i % m}" for m in (2, 3, 7, 11)] * (1 + i % 3)) for i in range(400)]
+    docs = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)] + [(5000, None)], "doc_id long, text string").repartition(5)
+    index = I.build_index(docs.where("text IS NOT NULL"), str(tmp_path / "i"), stop=("the",))
+    asked = ["w1 w5", "w5 w1", "sea", "sea w10 w10", "w6 w2 w9 w0", "nowhere", "nowhere w3"] * 40
+    queries = spark.createDataFrame([(f"q{i}", f"{q} w{i % 9}") for i, q in enumerate(asked)], "query_id string, text string")
+    monkeypatch.setattr("seamark.operators.topk.LEAST_GROUPS", 5)
+    bags = [{t: x.split().count(t) for t in x.split()} for x in texts]
+    lens, df = [len(x.split()) for x in texts], {}
+    for b in bags:
+        for t in b:
+            df[t] = df.get(t, 0) + 1
+    avg, weight = sum(lens) / len(lens), S.bm25_weight()
+    for k in (7, 1000):
+        out = S.bm25(index, queries, k)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.rdd.getNumPartitions() >= 8  # a task for each share of the queries, and no score is shuffled
+        got = {}
+        for r in out.collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], round(r["score"], 9)))
+        for i, q in enumerate(asked):
+            terms = f"{q} w{i % 9}".split()
+            hits = []
+            for n, b in enumerate(bags):
+                own = [t for t in sorted(set(terms)) if t in b]
+                if own:
+                    score = sum(weight.query(400, df[t], terms.count(t)) * weight.posting(b[t], lens[n], avg) for t in own)
+                    hits.append((-round(score, 9), n * 3))
+            want = [(r + 1, d, -s) for r, (s, d) in enumerate(sorted(hits)[:k])]
+            assert sorted(got[f"q{i}"]) == want
+    assert {r["rank"] for r in S.page_of_hits(index, queries, 21, 30).collect()} == set(range(21, 31))
