@@ -461,3 +461,17 @@ def test_search_of_many_queries_in_blocks(spark, tmp_path, monkeypatch):
             want = [(r + 1, d, -s) for r, (s, d) in enumerate(sorted(hits)[:k])]
             assert sorted(got[f"q{i}"]) == want
     assert {r["rank"] for r in S.page_of_hits(index, queries, 21, 30).collect()} == set(range(21, 31))
+
+
+def test_default_similarity_shuffles_no_scores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("seamark.operators.topk.LEAST_GROUPS", 1)
+    docs = spark.createDataFrame([(i, f"sea w{i % 3} w{i % 5}") for i in range(60)], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", f"w{i % 3} " * (1 + i // 3 % 4) + "tug") for i in range(1200)], "query_id string, text string")
+    index = I.build_index(docs, str(tmp_path / "i"))
+    out = S.default_similarity(index, queries, 5)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    # w0 to w2 stand on 20 documents each or 24 with the second word; the ones that hold the word twice come first
+    assert len(got) == 1200 and all(got[f"q{i}"] == [x for x in range(60) if x % 3 == i % 3 == x % 5][:4] + [x for x in range(60) if (x % 3 == i % 3) != (x % 5 == i % 3)][:1] for i in range(1200))
