@@ -475,3 +475,14 @@ def test_default_similarity_shuffles_no_scores(spark, tmp_path, monkeypatch):
         got.setdefault(r["query_id"], []).append(r["doc_id"])
     # w0 to w2 stand on 20 documents each or 24 with the second word; the ones that hold the word twice come first
     assert len(got) == 1200 and all(got[f"q{i}"] == [x for x in range(60) if x % 3 == i % 3 == x % 5][:4] + [x for x in range(60) if (x % 3 == i % 3) != (x % 5 == i % 3)][:1] for i in range(1200))
+
+
+def test_page_of_hits_is_cut_within_the_search(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("seamark.operators.topk.LEAST_GROUPS", 1)
+    docs = spark.createDataFrame([(i, "sea " * (1 + i % 2)) for i in range(50)], "doc_id long, text string").repartition(2)
+    index = I.build_index(docs, str(tmp_path / "i"))
+    queries = spark.createDataFrame([("a", "sea"), ("b", "SEA, sea"), ("c", "none")] + [(f"r{i}", "sea " * i) for i in range(3, 9)], "query_id string, text string")
+    plan = S.page_of_hits(index, queries, 24, 28)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    got = {q: [r["doc_id"] for r in S.page_of_hits(index, queries, 24, 28).orderBy("rank").where(F.col("query_id") == q).collect()] for q in "abc"}
+    assert got == {"a": [47, 49, 0, 2, 4], "b": [47, 49, 0, 2, 4], "c": []}
