@@ -508,6 +508,22 @@ def test_search_scores_few_documents_in_full(monkeypatch):
     assert sum(m for g, m in scored if g not in (7, 200)) < matched / 5
 
 
+def test_page_of_hits_scores_few_documents_in_full(monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 5000)
+    n, scored = 20_000, []
+    tf = np.stack([1 + np.arange(n) % 7, np.arange(n) * 13 % 11])
+    search = topk._Search(["a", "b"], [([0, 1], [1.0, 2.0], ["q"])], lambda tf, length, avg: tf / (tf + length / avg), 1.0, 30)
+    keep = search._keep
+    monkeypatch.setattr(search, "_keep", lambda g, score, *x: (scored.append(len(score)), keep(g, score, *x)))
+    for i in range(0, n, 2000):
+        term, doc = np.nonzero(tf[:, i : i + 2000])
+        search.add((pa.array(range(i, i + 2000)), np.ones(2000, np.int32), pa.array(["a", "b"]), np.cumsum(np.bincount(term)), doc.astype(np.int32), tf[:, i : i + 2000][term, doc].astype(np.int32)))
+    (page,) = search.found(pa.string(), pa.int64(), 21)
+    score = (tf / (tf + 1.0)).T @ [1.0, 2.0]
+    assert page["rank"].to_pylist() == list(range(21, 31)) and page["doc_id"].to_pylist() == np.lexsort((np.arange(n), -score))[20:30].tolist()
+    assert sum(scored) < n / 10
+
+
 def test_page_of_hits_is_cut_within_the_search(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("seamark.operators.topk.LEAST_GROUPS", 1)
     docs = spark.createDataFrame([(i, "sea " * (1 + i % 2)) for i in range(50)], "doc_id long, text string").repartition(2)
