@@ -11,6 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 BETWEEN_TOKENS = r"[^\p{L}\p{N}]+"
+#: A text of Latin-1, the spaces, dashes and quotes of U+2000 to U+203F, and the euro sign.  Looking for another character instead takes ten times as long.
+LATIN = r"\A[\u0000-\u00FF\u2000-\u203F\u20AC]*+\z"
+# what the bytes of Latin texts are in UTF-8: letters and digits, in lower case; of the two bytes from U+0080 on, the second ones
+_ASCII = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
+_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+_AFTER_C2 = np.isin(np.arange(256), [ord(c) for c in "ªµº²³¹¼½¾"])
+_AFTER_C3 = ~np.isin(np.arange(256), [ord(c) - 0x40 for c in "×÷"])
 
 # Words, and stems, that query refinement drops.
 REFINE_WORDS = (
@@ -28,6 +35,33 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(F.lower(text), BETWEEN_TOKENS), ""), F.array().cast("array<string>"))
 
 
+def latin_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, token) of texts that match LATIN: the same tokens as ``tokens`` gives, from the bytes of all texts at once."""
+    texts = pc.fill_null(texts, "")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    word, low = _ASCII[data], _LOWER[data]
+    two = np.flatnonzero((data & 0xFE) == 0xC2)  # U+0080 to U+00FF; all others of two bytes and more part tokens
+    second = data[two + 1]
+    after_c3 = (data[two] == 0xC3) & _AFTER_C3[second]
+    word[two] = word[two + 1] = after_c3 | (data[two] == 0xC2) & _AFTER_C2[second]
+    low[two[after_c3 & (second < 0x9F)] + 1] += 0x20
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, stops = edge[::2], edge[1::2]
+    # a token ends where its text does
+    cut = np.unique(ends[1:-1])
+    cut = cut[(cut > 0) & (cut < len(data))]
+    cut = cut[word[cut] & word[cut - 1]]
+    if len(cut):
+        starts, stops = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([stops, cut]))
+    row = np.repeat(np.arange(len(texts)), np.diff(starts.searchsorted(ends)))
+    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(wide)
+    return row, pa.Array.from_buffers(texts.type, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low[word])])
+
+
 def without(terms: Column, words: list[str]) -> Column:
     """Terms that are not among ``words``; exact case, order and repeats kept."""
     return F.filter(terms, lambda x: ~x.isin(*words)) if words else terms
@@ -134,12 +168,20 @@ def term_counts(docs: DataFrame, stop: list[str] | None = None, stem: bool = Fal
 
 
 def counted(batches: Iterator[pa.RecordBatch], drop: frozenset = frozenset(), stem: bool = False, stop_first: bool = False) -> Iterator[tuple]:
-    """(batch, row, code, tf, length, terms) of batches of (doc_id, words): the row, the place among ``terms`` and the count of each posting, and the length of each row."""
+    """(batch, row, code, tf, length, terms) of batches of (doc_id, words): the row, the place among ``terms`` and the count of each posting, and the length of each row.
+
+    Batches of (doc_id, words, text) have the words of those texts only that do not match LATIN.
+    """
     stems = Stems()
     for batch in batches:
         column = batch.column("words")
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
-        coded = pc.list_flatten(column).dictionary_encode()
+        at = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64))
+        coded = pc.list_flatten(column)
+        if "text" in batch.schema.names:
+            text = batch.column("text")
+            plain, own = latin_tokens(text if column.null_count == len(column) else pc.if_else(pc.is_null(column), text, pa.scalar(None, text.type)))
+            at, coded = np.concatenate([at, plain]), pa.concat_arrays([coded, own])
+        coded = coded.dictionary_encode()
         if not len(coded):
             continue
         words = coded.dictionary.to_pylist()
@@ -151,8 +193,8 @@ def counted(batches: Iterator[pa.RecordBatch], drop: frozenset = frozenset(), st
             words = [None if w in drop else w for w in words]
         terms = pa.array(words, pa.string()).dictionary_encode()
         code = np.asarray(pc.fill_null(terms.indices, -1), np.int64)[np.asarray(coded.indices)]
-        row = np.repeat(np.arange(len(sizes)), sizes)[code >= 0]
+        row = at[code >= 0]
         code, many = code[code >= 0], max(len(terms.dictionary), 1)
-        length = np.bincount(row, minlength=len(sizes))
+        length = np.bincount(row, minlength=batch.num_rows)
         both, tf = np.unique(row * many + code, return_counts=True)
         yield batch, both // many, both % many, tf, length, terms.dictionary

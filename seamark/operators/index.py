@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamark.functions.text import term_counts, tokens
+from seamark.functions.text import LATIN, term_counts, tokens
 from seamark.operators.topk import pack, unpack
 
 
@@ -43,7 +43,8 @@ def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     Documents are counted and packed where they lie; only their terms' counts are shuffled.
     """
     spark = docs.sparkSession
-    words = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("words"))
+    # few texts have a character that only the JVM parts tokens at
+    words = docs.select(F.col(key).alias("doc_id"), F.when(~F.col(text).rlike(LATIN), tokens(F.col(text))).alias("words"), F.col(text).alias("text"))
     # row groups of some 100 MB at most
     pack(words, list(stop), stem).write.option("parquet.block.row.count.limit", 16).parquet(f"{path}/shards")
     counts = spark.read.parquet(f"{path}/shards").select(F.explode(F.arrays_zip("terms", "df", "ttf")).alias("x"))

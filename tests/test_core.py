@@ -524,6 +524,30 @@ def test_page_of_hits_scores_few_documents_in_full(monkeypatch):
     assert sum(scored) < n / 10
 
 
+def test_page_of_hits_holds_no_more_postings_than_asked(spark, tmp_path, monkeypatch):
+    # of a block, only postings of the queries' terms are held, so that a block has many documents; like queries stay together in runs
+    search = topk._Search(["b"], [([0], [1.0], ["q"])], lambda tf, length, avg: tf / (tf + length / avg), 1.0, 2)
+    search.add((pa.array([7, 8, 9]), np.array([2, 1, 2], np.int32), pa.array(["a", "b", "c"]), np.array([3, 5, 6]), np.array([0, 1, 2, 0, 2, 1], np.int32), np.ones(6, np.int32)))
+    assert search.held == 2 and next(search.found(pa.string(), pa.int64(), 1))["doc_id"].to_pylist() == [7, 9]
+    monkeypatch.setattr(topk, "LEAST_GROUPS", 1)
+    docs = spark.createDataFrame([(i, f"w{i % 300} w{i % 200}") for i in range(600)], "doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"w{i}") for i in range(300)], "query_id string, text string")
+    pages = S.page_of_hits(I.build_index(docs, str(tmp_path / "index")), asked, 2, 3)
+    held = {i: [x for x in range(600) if i in (x % 300, x % 200)] for i in range(300)}
+    both = {i: sorted(held[i], key=lambda x: (x % 300 != x % 200, x)) for i in held}  # twice the word comes first
+    assert sorted(map(tuple, pages.select("query_id", "doc_id").collect())) == sorted((f"q{i}", x) for i in both for x in both[i][1:3])
+
+
+def test_tokens_from_bytes(spark, tmp_path):
+    # the index's tokens of Latin texts come from the bytes of a batch; all others, and what they are, from the JVM
+    texts = ["".join(map(chr, range(1, 256))), *(f"a{chr(i)}B{chr(i)} {chr(i)}" for i in range(1, 1100)), *(f"É{chr(i)}é" for i in range(0x1FF0, 0x2080)), "abc", "def", None, "", "Ünter 12€ – «Straße»…", "Œuvre İI", "\U0001f600x𝐀", "Ende"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string").repartition(3)
+    asked = lambda df: sorted(map(tuple, df.select("doc_id", "term", "tf").collect()))
+    row, token = X.latin_tokens(pa.array(["abc", None, "Déf g", "", "hi"]).slice(1))
+    assert row.tolist() == [1, 1, 3] and token.to_pylist() == ["déf", "g", "hi"] and not len(X.latin_tokens(pa.array([None], pa.string()))[0])
+    assert asked(I.build_index(docs, str(tmp_path / "index"), stem=False).posts) == asked(I.postings(docs))
+
+
 def test_page_of_hits_is_cut_within_the_search(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("seamark.operators.topk.LEAST_GROUPS", 1)
     docs = spark.createDataFrame([(i, "sea " * (1 + i % 2)) for i in range(50)], "doc_id long, text string").repartition(2)
